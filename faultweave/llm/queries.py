@@ -7,7 +7,9 @@ import importlib
 #: name -> (module, function)
 _QUERIES = {
     "op2_fingerprints": ("faultweave.llm.sketches", "op2_fingerprints"),
+    "op3_private": ("faultweave.llm.private", "op3_private"),
     "op5_shards": ("faultweave.llm.shards", "op5_shards"),
+    "op10_leaks": ("faultweave.llm.leaks", "op10_leaks"),
 }
 
 

@@ -39,15 +39,15 @@ def _range_of(spark: SparkSession, df: DataFrame, cuts: list[tuple[int, int]]) -
     if not cuts:
         return df.withColumn("range", F.lit(0))
     steps = max(1, len(cuts)).bit_length()
-    frame = spark.createDataFrame([(1, [k for k, _ in cuts], [t for _, t in cuts])], "one int, ck array<long>, ct array<long>")
-    df = df.withColumn("one", F.lit(1)).join(F.broadcast(frame), "one").withColumn("range", F.lit(0))
+    ck, ct = (F.split(F.lit(",".join(str(c[n]) for c in cuts)), ",").cast("array<bigint>") for n in (0, 1))  # folded to constants
+    df = df.withColumn("range", F.lit(0))
     for step in reversed(range(steps)):
         probe = F.col("range") + (1 << step)
         at = F.when(probe <= len(cuts), probe).otherwise(1)
-        k, t = F.get("ck", at - 1), F.get("ct", at - 1)
+        k, t = F.get(ck, at - 1), F.get(ct, at - 1)
         before = (probe <= len(cuts)) & ((k < F.col("key")) | ((k == F.col("key")) & (t < F.col("tie"))))
         df = df.withColumn("range", F.when(before, probe).otherwise(F.col("range")))
-    return df.drop("one", "ck", "ct")
+    return df
 
 
 def shard(spark: SparkSession, documents: DataFrame, n_shards: int = 24, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -76,12 +76,10 @@ def with_next(df: DataFrame, id_col: str, columns: list[str], ties: list[str], p
     low = F.lit(-1).cast("int")
     bucket = F.lit(0)
     if cuts:
-        frame = F.broadcast(spark.createDataFrame([(1, cuts)], "one int, cuts array<long>"))
-        df = df.withColumn("one", F.lit(1)).join(frame, "one").drop("one")
+        held = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # folded to a constant
         # cuts are sorted, so how many lie at or below the id is the range
-        bucket = F.size(F.filter("cuts", lambda c: c <= F.col(id_col)))
+        bucket = F.size(F.filter(held, lambda c: c <= F.col(id_col)))
     df = df.withColumn("_range", F.when(F.col(id_col).isNull(), low).otherwise(bucket))
-    df = df.drop("cuts") if cuts else df
     order = [F.col(id_col).asc_nulls_first(), *[F.xxhash64(c) for c in ties]]
     key = F.struct(F.col(id_col).isNotNull().alias("k"), F.coalesce(F.col(id_col), F.lit(0)).alias("i"), *[F.xxhash64(c).alias(f"h{n}") for n, c in enumerate(ties)])
     firsts = sorted((r for r in df.groupBy("_range").agg(F.min(key).alias("f")).collect()), key=lambda r: r["_range"])  # one small row a range
