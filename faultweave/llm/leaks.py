@@ -35,7 +35,7 @@ def template(words: Column) -> Column:
     """Each word's template token: a placeholder, or the word in lower case without outer punctuation.
 
     A number starts with a digit (or a sign or currency and a digit); a unit is a word of UNITS right
-    after a number; a name starts with an ASCII capital where no sentence starts.
+    after a number; a name is an ASCII capital and a small letter on, where no sentence starts (so text all in capitals has no names).
     """
     digit = lambda c: (c >= "0") & (c < ":")
 
@@ -43,12 +43,12 @@ def template(words: Column) -> Column:
         words, cores = both["words"], both["cores"]
 
         def canon(w: Column, i: Column) -> Column:
-            before = F.get(words, i - 1)
+            before, second = F.get(words, i - 1), F.substring(w, 2, 1)
             number = digit(w) | (F.substring(w, 1, 1).isin("$", "+", "-", "€", "£") & digit(F.substring(w, 2, 1)))
             starts = (i == 0) | F.substring(F.rtrim(before, F.lit("\"')]}")), -1, 1).isin(".", "!", "?", ":")
             return (
                 F.when(number, F.lit(NUM))
-                .when((w >= "A") & (w < "[") & ~starts, F.lit(NAME))
+                .when((w >= "A") & (w < "[") & (second != "") & (second == F.lower(second)) & ~starts, F.lit(NAME))
                 .when(digit(before) & F.lower(w).isin(UNITS), F.lit(UNIT))
                 .when(w == "", F.get(words, i))
                 .otherwise(F.lower(w))
