@@ -6,11 +6,16 @@ import importlib
 
 #: name -> (module, function)
 _QUERIES = {
+    "op1_lm_scores": ("faultweave.llm.scoring", "op1_lm_scores"),
     "op2_fingerprints": ("faultweave.llm.sketches", "op2_fingerprints"),
     "op3_private": ("faultweave.llm.private", "op3_private"),
     "op5_shards": ("faultweave.llm.shards", "op5_shards"),
     "op10_leaks": ("faultweave.llm.leaks", "op10_leaks"),
 }
+#: name -> (module, constant)
+_SQL = {
+    "op1_lm_scores": ("faultweave.llm.scoring", "OP1_SQL"),
+}
 
 
 def queries() -> dict:
@@ -18,4 +23,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: getattr(importlib.import_module(module), sql) for name, (module, sql) in _SQL.items()}
