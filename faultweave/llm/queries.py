@@ -10,6 +10,7 @@ _QUERIES = {
     "op2_fingerprints": ("faultweave.llm.sketches", "op2_fingerprints"),
     "op3_private": ("faultweave.llm.private", "op3_private"),
     "op5_shards": ("faultweave.llm.shards", "op5_shards"),
+    "op6_similar": ("faultweave.llm.similar", "op6_similar"),
     "op10_leaks": ("faultweave.llm.leaks", "op10_leaks"),
 }
 #: name -> (module, constant)
