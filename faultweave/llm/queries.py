@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_lm_scores": ("faultweave.llm.scoring", "op1_lm_scores"),
     "op2_fingerprints": ("faultweave.llm.sketches", "op2_fingerprints"),
     "op3_private": ("faultweave.llm.private", "op3_private"),
+    "op4_packing": ("faultweave.llm.packing", "op4_packing"),
     "op5_shards": ("faultweave.llm.shards", "op5_shards"),
     "op6_similar": ("faultweave.llm.similar", "op6_similar"),
     "op10_leaks": ("faultweave.llm.leaks", "op10_leaks"),
