@@ -12,6 +12,7 @@ _QUERIES = {
     "op4_packing": ("faultweave.llm.packing", "op4_packing"),
     "op5_shards": ("faultweave.llm.shards", "op5_shards"),
     "op6_similar": ("faultweave.llm.similar", "op6_similar"),
+    "op7_languages": ("faultweave.llm.languages", "op7_languages"),
     "op10_leaks": ("faultweave.llm.leaks", "op10_leaks"),
 }
 #: name -> (module, constant)
