@@ -13,6 +13,7 @@ _QUERIES = {
     "op5_shards": ("faultweave.llm.shards", "op5_shards"),
     "op6_similar": ("faultweave.llm.similar", "op6_similar"),
     "op7_languages": ("faultweave.llm.languages", "op7_languages"),
+    "op9_pages": ("faultweave.llm.pages", "op9_pages"),
     "op10_leaks": ("faultweave.llm.leaks", "op10_leaks"),
 }
 #: name -> (module, constant)
