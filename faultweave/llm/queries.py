@@ -14,6 +14,7 @@ _QUERIES = {
     "op6_similar": ("faultweave.llm.similar", "op6_similar"),
     "op7_languages": ("faultweave.llm.languages", "op7_languages"),
     "op9_pages": ("faultweave.llm.pages", "op9_pages"),
+    "op8_repeats": ("faultweave.llm.repeats", "op8_repeats"),
     "op10_leaks": ("faultweave.llm.leaks", "op10_leaks"),
 }
 #: name -> (module, constant)
