@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from faultweave.llm._shared import table
 
@@ -28,7 +29,6 @@ EVIDENCE = 20
 _CACHE_WORDS = 400_000
 _RUN = re.compile(r"[^\W\d_]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64())])
 
 
 def default_vocabulary() -> str:
@@ -173,8 +173,9 @@ def fit(labelled: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE
 _known: dict[str, object] = {}
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, lang_pred, score) of ``documents(id long, text)``: every word of every whole text counts."""
+def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The frame with lang_pred and score added: every word of every whole text counts."""
+    place, names = documents.columns.index(text_col), [*documents.columns, "lang_pred", "score"]
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +185,7 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
         for rb in it:
             for i in range(0, rb.num_rows, 200):
                 part = rb.slice(i, 200)
-                texts = [text_words(t) for t in part.column(1).to_pylist()]
+                texts = [text_words(t) for t in part.column(place).to_pylist()]
                 known: dict[str, int] = _known["words"]
                 new = [w for w in dict.fromkeys(w for ws in texts for w in ws) if w not in known]
                 if len(known) + len(new) > _CACHE_WORDS:
@@ -206,9 +207,10 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
                     best = int(np.argmax(p))
                     langs.append(m.languages[best])
                     scores.append(float(p[best] / p.sum()))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], schema=_SCHEMA)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=names)
 
-    return documents.mapInArrow(run, "doc_id long, lang_pred string, score double")
+    schema = StructType([*documents.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    return documents.mapInArrow(run, schema)
 
 
 def held_out(id_col: Column) -> Column:
@@ -225,7 +227,7 @@ def identify(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     model = fit(docs.where(F.col("id").isNotNull() & ~held_out(F.col("id"))), vocabulary, sample)
-    out = predict(docs.select("id", "text"), model)
+    out = predict(docs.select(F.col("id").alias("doc_id"), "text"), model)
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
