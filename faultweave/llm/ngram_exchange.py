@@ -22,15 +22,22 @@ from pyspark.sql import functions as F
 from faultweave.llm import words as W
 
 #: Words in a batch, at most (a longer text is a batch of its own).
-BATCH_WORDS = 3_000_000
+BATCH_WORDS = 2_000_000
+#: An n-gram's hash keeps log2(bytes of all texts) + SPARE bits, so at any size of the corpus less than one n-gram in 2**SPARE shares its hash.
+SPARE = 24
 
 _OUT = "dest int, batch string, gram int, n long, a binary, b binary, c binary, d binary"
 _FIELDS = pa.schema([("dest", pa.int32()), ("batch", pa.string()), ("gram", pa.int32()), ("n", pa.int64()), *[(k, pa.binary()) for k in "abcd"]])
 
 
-def edges_of(parts: int) -> np.ndarray:
+def edges_of(parts: int, bits: int) -> np.ndarray:
     """Where the hash ranges begin."""
-    return np.array([(i << 64) // parts for i in range(parts)], np.uint64)
+    return np.array([(i << bits) // parts for i in range(parts)], np.uint64)
+
+
+def distinct_counts(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct hashes, shortened to ``bits``, and how often each occurs."""
+    return np.unique(h >> np.uint64(64 - bits), return_counts=True)
 
 
 def _rows(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -46,26 +53,35 @@ class Batch:
 
 
 def _pack_texts(b: Batch) -> tuple:
-    u, inverse = np.unique(b.h, return_inverse=True)
+    u, inverse, counts = np.unique(b.h, return_inverse=True, return_counts=True)
+    # words by falling frequency: small numbers are common, which the byte planes like
+    order = np.argsort(-counts, kind="stable")
+    rank = np.empty(len(u), np.uint32)
+    rank[order] = np.arange(len(u), dtype=np.uint32)
     meta = np.concatenate([b.ids, b.null.astype(np.int64), b.counts])
-    return len(b.ids), W.pack(meta), W.pack_sorted(u), W.pack(inverse.astype(np.uint32)), b""
+    return len(b.ids), W.pack(meta), W.pack_sorted(u), W.pack(rank[inverse]), W.pack(rank)
 
 
-def _unpack_texts(n: int, a: bytes, b: bytes, c: bytes) -> Batch:
+def _unpack_texts(n: int, a: bytes, b: bytes, c: bytes, d: bytes) -> Batch:
     meta = W.unpack(a, np.int64)
     u = W.unpack_sorted(b, np.uint64)
-    h = u[W.unpack(c, np.uint32)] if len(u) else u
+    by_rank = np.empty_like(u)
+    by_rank[W.unpack(d, np.uint32)] = u
+    h = by_rank[W.unpack(c, np.uint32)]
     return Batch(meta[:n], meta[n : 2 * n].astype(bool), meta[2 * n :], h)
 
 
-def exchange(documents: DataFrame, grams: Callable[[Batch], dict], finish: Callable, out_schema: pa.Schema, out_ddl: str, parts: int, batch_words: int = BATCH_WORDS) -> DataFrame:
+def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish: Callable, out_ddl: str, parts: int, batch_words: int = BATCH_WORDS) -> DataFrame:
     """``documents(id long, text string)`` through the exchange.
 
-    grams(batch) gives {number: (sorted distinct uint64, counts)} and must be a pure function of the
-    batch; it runs again at the end. finish(batch, {number: (grams, counts, corpus counts)}, total)
-    yields record batches of ``out_schema``; total is the sum of all counts of gram number 0.
+    grams(batch, number, bits) gives (sorted distinct hashes below 2**bits, counts) for number in
+    ``numbers`` and must be a pure function of the batch; it runs again at the end. finish(batch, known, total, bits) yields
+    record batches; known(number) is (hashes, counts in the batch, counts in the corpus), total
+    the sum of all counts of number 0.
     """
-    cuts = edges_of(parts)
+    size = documents.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(64, max(32, size.bit_length() + SPARE))
+    cuts = edges_of(parts, bits)
 
     def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[Batch] = []
@@ -73,17 +89,19 @@ def exchange(documents: DataFrame, grams: Callable[[Batch], dict], finish: Calla
         def flush() -> Iterator[pa.RecordBatch]:
             b = Batch(*[np.concatenate([getattr(x, k) for x in held]) for k in ("ids", "null", "counts", "h")])
             held.clear()
-            name = f"{task:08d}-{next(numbers):06d}"
-            rows = [(-1 - (task % parts), name, -1, *_pack_texts(b))]
-            for number, (u, c) in grams(b).items():
+            name = f"{task:08d}-{next(serial):06d}"
+            yield from _rows([(-1 - (task % parts), name, -1, *_pack_texts(b))])
+            for number in numbers:
+                rows = []
+                u, c = grams(b, number, bits)
                 at = np.append(np.searchsorted(u, cuts), len(u))
                 for p in range(parts):
                     s, e = at[p], at[p + 1]
                     if e > s or number == 0:
                         rows.append((p, name, number, int(e - s), W.pack_sorted(u[s:e]), W.pack(c[s:e].astype(np.uint32)), None, None))
-            yield from _rows(rows)
+                yield from _rows(rows)
 
-        task, numbers = TaskContext.get().partitionId(), count()
+        task, serial = TaskContext.get().partitionId(), count()
         for rb in it:
             ids = rb.column(0)
             null = np.asarray(ids.is_null())
@@ -127,15 +145,17 @@ def exchange(documents: DataFrame, grams: Callable[[Batch], dict], finish: Calla
 
         def done() -> Iterator[pa.RecordBatch]:
             own = next(r for r in rows if r["gram"] == -1)
-            b = _unpack_texts(own["n"], own["a"], own["b"], own["c"])
-            known, total = {}, sum(r["n"] for r in rows if r["gram"] == 0)
-            for number, (u, c) in grams(b).items():
-                sums, at = c.astype(np.int64).copy(), np.searchsorted(u, cuts)
+            b = _unpack_texts(own["n"], own["a"], own["b"], own["c"], own["d"])
+
+            def known(number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                u, c = grams(b, number, bits)
+                sums, at = c.astype(np.int64), np.searchsorted(u, cuts)
                 for r in rows:
                     if r["gram"] == number:
                         sums[at[r["dest"]] + W.unpack_sorted(r["a"], np.uint32).astype(np.int64)] = W.unpack(r["b"], np.int64)
-                known[number] = (u, c, sums)
-            yield from finish(b, known, total)
+                return u, c, sums
+
+            yield from finish(b, known, sum(r["n"] for r in rows if r["gram"] == 0), bits)
 
         for rb in it:
             for r in rb.to_pylist():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from faultweave.llm import words as W
 from faultweave.llm._shared import shuffle_partitions, table
-from faultweave.llm.ngram_exchange import Batch, exchange
+from faultweave.llm.ngram_exchange import Batch, distinct_counts, exchange
 
 ORDER, BACKOFF = 3, 0.4
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_score", pa.float64())])
@@ -33,24 +33,21 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     other documents to each other; an empty table gives no rows; other columns are ignored.
     """
 
-    def grams(b: Batch) -> dict:
-        left, out = W.left_in_text(b.counts), {}
-        for n in range(1, order + 1):
-            out[n - 1] = np.unique(W.grams(b.h, n)[left >= n], return_counts=True)
-        return out
+    def grams(b: Batch, number: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return distinct_counts(W.grams(b.h, number + 1)[W.left_in_text(b.counts) > number], bits)
 
-    def finish(b: Batch, known: dict, total: int) -> Iterator[pa.RecordBatch]:
+    def finish(b: Batch, known, total: int, bits: int) -> Iterator[pa.RecordBatch]:
         left, doc = W.left_in_text(b.counts), np.repeat(np.arange(len(b.counts)), b.counts)
         others = []  # for n: at each place, how often other documents have the n-gram that starts there
         for n in range(1, order + 1):
             ok = left >= n
-            u, _, sums = known[n - 1]
-            at = np.searchsorted(u, W.grams(b.h, n)[ok])
-            key = doc[ok] * np.int64(max(1, len(u))) + at
-            _, inverse, own = np.unique(key, return_inverse=True, return_counts=True)
+            u, _, sums = known(n - 1)
+            at = np.searchsorted(u, W.grams(b.h, n)[ok] >> np.uint64(64 - bits))
+            _, inverse, own = np.unique(doc[ok] * np.int64(max(1, len(u))) + at, return_inverse=True, return_counts=True)
             c = np.zeros(len(b.h), np.int64)
             c[ok] = sums[at] - own[inverse]
             others.append(c)
+            del u, sums, at, inverse, own
         rest = np.maximum(1, total - b.counts)[doc].astype(float)
         score = np.where(others[0] > 0, others[0], backoff) / rest
         place = np.arange(len(b.h)) - np.repeat(np.cumsum(b.counts) - b.counts, b.counts)
@@ -64,7 +61,7 @@ def lm_scores(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         yield pa.RecordBatch.from_arrays([ids, pa.array(b.counts, pa.int64()), pa.array(sums, pa.float64())], schema=_SCHEMA)
 
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = exchange(docs, grams, finish, _SCHEMA, "doc_id long, n_words long, log_score double", shuffle_partitions(documents.sparkSession))
+    rows = exchange(docs, list(range(order)), grams, finish, "doc_id long, n_words long, log_score double", shuffle_partitions(documents.sparkSession))
     return rows.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from faultweave.llm import words as W
 from faultweave.llm._shared import Saved, components, shuffle_partitions, table
-from faultweave.llm.ngram_exchange import Batch, exchange
+from faultweave.llm.ngram_exchange import Batch, distinct_counts, exchange
 
 WORDS, SIMILAR = 5, 75
 #: Shingles in an index block; a larger group is cut into blocks by hash and the blocks are met in pairs.
@@ -149,17 +149,17 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     spark = documents.sparkSession
     saved, parts = Saved(spark), shuffle_partitions(spark)
 
-    def grams(b: Batch) -> dict:
-        return {0: np.unique(_distinct_sets(b, width)[3], return_counts=True)}
+    def grams(b: Batch, number: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        return distinct_counts(_distinct_sets(b, width)[3], bits)
 
-    def finish(b: Batch, known: dict, total: int) -> Iterator[pa.RecordBatch]:
+    def finish(b: Batch, known, total: int, bits: int) -> Iterator[pa.RecordBatch]:
         sizes, names, first, v = _distinct_sets(b, width)
         nodes = names.view(np.int64)
         ids = pa.array(b.ids, pa.int64(), mask=b.null)
         n = len(b.ids)
         yield pa.RecordBatch.from_arrays([ids, pa.array(b.null), pa.array(sizes), pa.array(nodes), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64()))], schema=_SCHEMA)
-        u, _, sums = known[0]
-        df = sums[np.searchsorted(u, v)]
+        u, _, sums = known(0)
+        df = sums[np.searchsorted(u, v >> np.uint64(64 - bits))]  # a shared hash only makes a shingle look less rare
         own, rows, at = sizes[first], [], 0
         for i, size in zip(first, own, strict=True):
             s, d = v[at : at + size], df[at : at + size]
@@ -176,7 +176,7 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = saved.save(exchange(docs, grams, finish, _SCHEMA, _DDL, parts))
+    rows = saved.save(exchange(docs, [0], grams, finish, _DDL, parts))
     members = rows.where("is_null IS NOT NULL").select("doc_id", "n_shingles", "node")
     sets = rows.where("is_null IS NULL")
     postings = sets.select("node", F.explode("keys").alias("key"))
