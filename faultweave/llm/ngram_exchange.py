@@ -1,10 +1,12 @@
 """Corpus-wide n-gram counts for every batch of texts: one shuffle out by hash, one back.
 
 A task turns its texts into batches of words. For each batch it sends every hash range the sorted
-distinct n-grams of that range with their counts, and sends its words along. Each range sums its
-counts and answers every batch with the places whose corpus count differs from the batch's own.
-Payloads are packed differences of sorted hashes, about 5.5 bytes an n-gram; nothing is collected,
-a hot n-gram is one entry per batch, and recomputing a lost task gives the same batches.
+distinct n-grams of that range with their counts. Each range sums its counts and answers every
+batch with the places whose corpus count differs from the batch's own; there the batch's words,
+from a second reading of the texts, meet the answers. Payloads are packed differences of sorted
+hashes, about 4.5 bytes an n-gram; nothing is collected, and a hot n-gram is one entry per batch.
+A batch is named by its task and a checksum of its content, so a reading that differs (an input
+that is not the same when read again) is an error and never a wrong count.
 """
 
 from __future__ import annotations
@@ -14,8 +16,6 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -83,14 +83,33 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
     bits = min(64, max(32, size.bit_length() + SPARE))
     cuts = edges_of(parts, bits)
 
-    def send(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Batch]]:
+        """(name, task, batch): the same ones whenever the same rows are read in the same order."""
         held: list[Batch] = []
+        task, serial = -1, count()
 
-        def flush() -> Iterator[pa.RecordBatch]:
+        def flush() -> tuple[str, int, Batch]:
             b = Batch(*[np.concatenate([getattr(x, k) for x in held]) for k in ("ids", "null", "counts", "h")])
             held.clear()
-            name = f"{task:08d}-{next(serial):06d}"
-            yield from _rows([(-1 - (task % parts), name, -1, *_pack_texts(b))])
+            check = int(np.sum(b.h * np.arange(1, len(b.h) + 1, dtype=np.uint64)) ^ np.sum(b.ids.astype(np.uint64)))
+            return f"{task:08d}-{next(serial):06d}-{check:016x}", task, b
+
+        for rb in it:
+            if task < 0 and rb.num_rows:
+                task = rb.column(2)[0].as_py()
+            ids = rb.column(0)
+            null = np.asarray(ids.is_null())
+            ids = np.asarray(ids.fill_null(0)).astype(np.int64)
+            for i in range(0, len(ids), 1000):
+                h, counts = W.tokens(rb.column(1).slice(i, 1000))
+                if held and sum(len(x.h) for x in held) + len(h) > batch_words:
+                    yield flush()
+                held.append(Batch(ids[i : i + 1000], null[i : i + 1000], counts, h))
+        if held:
+            yield flush()
+
+    def send_grams(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, _, b in batches(it):
             for number in numbers:
                 rows = []
                 u, c = grams(b, number, bits)
@@ -101,28 +120,15 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
                         rows.append((p, name, number, int(e - s), W.pack_sorted(u[s:e]), W.pack(c[s:e].astype(np.uint32)), None, None))
                 yield from _rows(rows)
 
-        task, serial = TaskContext.get().partitionId(), count()
-        for rb in it:
-            ids = rb.column(0)
-            null = np.asarray(ids.is_null())
-            ids = np.asarray(ids.fill_null(0)).astype(np.int64)
-            step = max(1, min(len(ids), 2000))
-            for i in range(0, len(ids), step):
-                h, counts = W.tokens(rb.column(1).slice(i, step))
-                if held and sum(len(x.h) for x in held) + len(h) > batch_words:
-                    yield from flush()
-                held.append(Batch(ids[i : i + step], null[i : i + step], counts, h))
-        if held:
-            yield from flush()
+    def send_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, task, b in batches(it):
+            yield from _rows([(task % parts, name, -1, *_pack_texts(b))])
 
     def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # one hash range a partition at most times a few: payloads stay packed until their gram number's turn
         held: dict[tuple[int, int], list[tuple]] = {}
         for rb in it:
-            own = rb.filter(pc.less(rb.column(0), 0))
-            if own.num_rows:
-                yield own
-            for r in rb.filter(pc.greater_equal(rb.column(0), 0)).to_pylist():
+            for r in rb.to_pylist():
                 held.setdefault((r["dest"], r["gram"]), []).append((r["batch"], r["n"], r["a"], r["b"]))
         for (dest, gram), rows in held.items():
             keys = np.concatenate([W.unpack_sorted(x[2], np.uint64) for x in rows])
@@ -144,7 +150,9 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
         name, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            own = next(r for r in rows if r["gram"] == -1)
+            own = next((r for r in rows if r["gram"] == -1), None)
+            if own is None or not any(r["gram"] == 0 for r in rows):
+                raise RuntimeError(f"batch {name} differs between two readings of the documents: give the exchange a frame that reads alike each time")
             b = _unpack_texts(own["n"], own["a"], own["b"], own["c"], own["d"])
 
             def known(number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,6 +175,8 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
         if rows:
             yield from done()
 
-    sent = documents.mapInArrow(send, _OUT).repartition(parts, F.when(F.col("dest") < 0, -1 - F.col("dest")).otherwise(F.col("dest")))
-    back = sent.mapInArrow(add, _OUT).repartition(parts, "batch").sortWithinPartitions("batch")
+    # the number of the partition that is read, which (unlike a task's number) is the same in both readings
+    documents = documents.select("id", "text", F.spark_partition_id().alias("part"))
+    summed = documents.mapInArrow(send_grams, _OUT).repartition(parts, "dest").mapInArrow(add, _OUT)
+    back = summed.unionAll(documents.mapInArrow(send_texts, _OUT)).repartition(parts, "batch").sortWithinPartitions("batch")
     return back.mapInArrow(answer, out_ddl)
