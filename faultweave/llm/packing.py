@@ -9,6 +9,8 @@ best-fit, longest first, also by counts. The plan is in lengths, so its size dep
 from __future__ import annotations
 
 import bisect
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -25,7 +27,8 @@ SIZE, END_ID = 4096, 1
 PARTNERS, MAX_WASTE, ROUNDS = 24, 16, 200
 #: Parts that a length's rows are ranked in, so that a common length is never one task.
 SALTS = 64
-_CACHE_WORDS = 400_000
+_CACHE_CHUNKS, _CACHE_RUNS = 500_000, 700_000
+_RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
 
@@ -39,25 +42,49 @@ class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
     The vocabulary drops white space and never joins over it, so a text's ids are those of its
-    space-separated chunks one after the other; chunks are remembered, up to a bound.
+    space-separated chunks one after the other. It never joins a letter with what is no letter
+    either, but for contractions, so a chunk without an apostrophe is the ids of its runs. Both are
+    remembered, up to a bound, and new runs are encoded together.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {"": b""}
-
-    def __call__(self, text: str) -> bytes:
-        chunks = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) > _CACHE_WORDS:
-                known = self.known = {"": b""}
-                new = [c for c in dict.fromkeys(chunks) if c]
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+        self.tokenizer, self.chunks, self.runs = Tokenizer.from_file(path), {"": b""}, {}
+
+    def encode_all(self, runs: list[str]) -> None:
+        if not runs:
+            return
+        e = self.tokenizer.encode(runs, is_pretokenized=True, add_special_tokens=False)
+        raw = np.array(e.ids, "<u4").tobytes()
+        ends = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(runs)) * 4).tolist()
+        start = 0
+        for run, end in zip(runs, ends, strict=True):
+            self.runs[run], start = raw[start:end], end
+
+    @staticmethod
+    def split(chunk: str) -> list[str]:
+        if "'" in chunk or "<|" in chunk or not unicodedata.is_normalized("NFC", chunk):
+            return [chunk]
+        # letter by letter lower case, as the vocabulary has it: the two that differ in context stay as they are
+        return _RUNS.findall(chunk if "\u03a3" in chunk or "\u0130" in chunk else chunk.lower())
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        if len(self.chunks) > _CACHE_CHUNKS:
+            self.chunks = {"": b""}
+        if len(self.runs) > _CACHE_RUNS:
+            self.runs = {}
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        known = self.chunks
+        new = {c: self.split(c) for c in {c for cs in split for c in cs if c not in known}}
+        self.encode_all(list({r for rs in new.values() for r in rs if r not in self.runs}))
+        runs = self.runs
+        for c, rs in new.items():
+            known[c] = runs[rs[0]] if len(rs) == 1 else b"".join([runs[r] for r in rs])
+        return [b"".join([known[c] for c in cs]) for cs in split]
+
+
+_encoders: dict[str, object] = {}
 
 
 def pieces(documents: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
@@ -65,14 +92,18 @@ def pieces(documents: DataFrame, vocabulary: str, size: int = SIZE, end_id: int
     last = np.array([end_id], "<u4").tobytes()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = Encoder(vocabulary)
+        if _encoders.get("path") != vocabulary:
+            _encoders.update(path=vocabulary, encoder=Encoder(vocabulary))
+        encode: Encoder = _encoders["encoder"]  # the worker's next tasks find what this one has learned
         for rb in it:
             rows = []
-            for doc, text in zip(rb.column(0).to_pylist(), pc.fill_null(rb.column(1), "").to_pylist(), strict=True):
-                ids = encode(text) + last
-                n = len(ids) // 4
-                for k, s in enumerate(range(0, n, size)):
-                    rows.append((doc, k, s, min(size, n - s), zlib.crc32(ids[4 * s : 4 * (s + size)])))
+            for i in range(0, rb.num_rows, 200):
+                part = rb.slice(i, 200)
+                for doc, ids in zip(part.column(0).to_pylist(), encode(pc.fill_null(part.column(1), "").to_pylist()), strict=True):
+                    ids += last
+                    n = len(ids) // 4
+                    for k, s in enumerate(range(0, n, size)):
+                        rows.append((doc, k, s, min(size, n - s), zlib.crc32(ids[4 * s : 4 * (s + size)])))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)] if rows else [pa.array([], f.type) for f in _PIECES], schema=_PIECES)
 
     return documents.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
@@ -195,7 +226,7 @@ def pack(documents: DataFrame, vocabulary: str | None = None, id_col: str = "doc
     at = place(plan(histogram, size))
     keys = (at["length"] << 44) + at["lo"]
     ranked = cut.withColumn("nth", F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32", "start")))
-    ranked = ranked.join(F.broadcast(before), ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
+    ranked = ranked.join(before, ["length", "salt"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth") - 1).alias("rank"))
     shared = spark.sparkContext.broadcast((keys, at["lo"], at["sequence"], at["offset"]))
 
     def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
