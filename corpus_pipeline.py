@@ -26,37 +26,36 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and texts whose language is not settled; learns from the labelled rows it is given."""
     labelled = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").where(F.col("id").isNotNull())
     model = languages.fit(labelled.where(~languages.held_out(F.col("id"))))
-    told = languages.predict(docs, model)
+    told = languages.predict(docs.select(F.struct("*").alias("row"), "text"), model)
     unlabelled = F.lit(not model.languages)  # nothing was learned: only texts without a letter go
-    return told.where(unlabelled & F.col("text").rlike(r"\p{L}") | (F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select(docs.columns)
+    return told.where((unlabelled & F.col("text").rlike(r"\p{L}")) | (F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of linked texts, the one with the smallest id; texts without words stay."""
-    named = docs.withColumn("row_id", _row_id(docs))
-    groups = Saved(spark).save(similar.similar_documents(named, id_col="row_id"))
-    kept = groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("row_id")).agg(F.count("*").alias("copies"))
-    out = named.join(kept, "row_id")
-    single = out.where("copies = 1").select(docs.columns)
+    named = docs.select(F.struct("*").alias("row"), _row_id(docs).alias("id"), "text")
+    groups = Saved(spark).save(similar.similar_documents(named, id_col="id"))
+    kept = groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("copies"))
+    out = named.join(kept, "id")
     # rows that repeat an id: of those with one text, one stays
-    again = out.where("copies > 1").withColumn("nth", F.row_number().over(Window.partitionBy("row_id", F.xxhash64("text")).orderBy("row_id")))
-    return single.union(again.where("nth = 1").select(docs.columns))
+    again = out.where("copies > 1").withColumn("nth", F.row_number().over(Window.partitionBy("id", F.xxhash64("text")).orderBy("id")))
+    return out.where("copies = 1").select("row.*").union(again.where("nth = 1").select("row.*"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a benchmark item, word for word or with other numbers, names or units."""
-    named = docs.withColumn("row_id", _row_id(docs))
-    found = leaks.find_leaks(named, table(spark, sf_dir, "benchmark"), id_col="row_id").select(F.col("doc_id").alias("row_id")).distinct()
-    return named.join(found, "row_id", "left_anti").select(docs.columns)
+    named = docs.select(F.struct("*").alias("row"), _row_id(docs).alias("id"), "text")
+    found = leaks.find_leaks(named, table(spark, sf_dir, "benchmark"), id_col="id").select(F.col("doc_id").alias("id")).distinct()
+    return named.join(found, "id", "left_anti").select("row.*")
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind in angle brackets; n_chars becomes the new length."""
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    found = private.find_private(docs, keep=keep)
-    spans = F.concat(F.transform("base", lambda s: s), F.col("added"))
-    out = found.withColumn("text", F.when(F.col("text").isNotNull(), private.redact(F.col("text"), spans)))
-    return out.withColumn("n_chars", F.when(F.size(spans) > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    found = private.find_private(docs.select("doc_id", "text", F.struct("*").alias("row")), keep=("row",))
+    spans, text = F.concat("base", "added"), F.col("row.text")
+    new = F.when(text.isNotNull(), private.redact(text, spans))
+    changed = {"text": new, "n_chars": F.when(F.size(spans) > 0, F.char_length(new).cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from faultweave.llm._shared import Saved, table
 
 SIZE, END_ID = 4096, 1
-#: Partners tried for each longest length; tokens a pattern may waste; rounds of the fit.
-PARTNERS, MAX_WASTE, ROUNDS = 24, 16, 200
+#: Partners tried for each longest length; tokens a pattern may waste (each is tried, the shortest plan is taken; None: no pattern, for histograms of few large lengths where any costs more); rounds of the fit.
+PARTNERS, WASTES, ROUNDS = 24, (16, 2, 0, None), 200
 #: Parts that a length's rows are ranked in, so that a common length is never one task.
 SALTS = 64
 _CACHE_CHUNKS, _CACHE_RUNS = 500_000, 700_000
@@ -109,7 +109,7 @@ def pieces(documents: DataFrame, vocabulary: str, size: int = SIZE, end_id: int
     return documents.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def _patterns(lengths: np.ndarray, size: int) -> np.ndarray:
+def _patterns(lengths: np.ndarray, size: int, waste: int) -> np.ndarray:
     """Patterns of two to four lengths, as rows of indices into ``lengths`` (ascending), -1 for none."""
     out: set[tuple[int, ...]] = set()
     fit = lambda room: bisect.bisect_right(values, room) - 1
@@ -124,7 +124,7 @@ def _patterns(lengths: np.ndarray, size: int) -> np.ndarray:
             while left > 0 and len(found) < 4 and (c := fit(left)) >= 0:
                 found.append(c)
                 left -= values[c]
-            if left <= MAX_WASTE:
+            if left <= waste:
                 out.add(tuple(sorted(found, reverse=True)))
     return np.array([p + (-1,) * (4 - len(p)) for p in sorted(out)], np.int64).reshape(-1, 4)
 
@@ -143,13 +143,17 @@ def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
-    """[(how many sequences, their lengths)] that hold every length as often as the histogram says."""
+    """[(how many sequences, their lengths)] that hold every length as often as the histogram says, in as few sequences as any tried waste gives."""
+    return min((_plan(histogram, size, waste) for waste in WASTES), key=lambda groups: sum(m for m, _ in groups))
+
+
+def _plan(histogram: dict[int, int], size: int, waste: int | None) -> list[tuple[int, list[int]]]:
     left = {n: c for n, c in histogram.items() if c > 0}
     groups: list[tuple[int, list[int]]] = [(left.pop(size), [size])] if size in left else []
     lengths = np.array(sorted(left), np.int64)
     open_: dict[int, list[tuple[int, list[int]]]] = {}
-    if len(lengths):
-        patterns = _patterns(lengths, size)
+    if len(lengths) and waste is not None:
+        patterns = _patterns(lengths, size, waste)
         if len(patterns):
             x = fit_counts(patterns, np.array([left[n] for n in lengths.tolist()]))
             for k in np.argsort(-x, kind="stable"):

@@ -162,7 +162,7 @@ def repeated(streams: list[list[str]], owners: list[int], least: int = MIN_REPEA
     owner, stream, n = np.array(owner), np.array(stream), len(codes)
     # suffixes that share ``least`` tokens lie together: a run with two owners is a repeat for all of it
     run = np.cumsum(np.append(True, lcp[1:] < least))
-    low, high = np.full(run[-1] + 1, np.iinfo(np.int64).max), np.full(run[-1] + 1, -1)
+    low, high = (np.full(run[-1] + 1, x) for x in (np.iinfo(np.int64).max, np.iinfo(np.int64).min))
     np.minimum.at(low, run, owner[order])
     np.maximum.at(high, run, owner[order])
     hit = order[(low < high)[run]]

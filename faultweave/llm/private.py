@@ -137,7 +137,7 @@ def find_private(
         support = edges.join(trusted, "value").groupBy("pattern", "kind").agg(F.sum("trust").alias("support"))
         good = support.join(instances, "pattern").select("pattern", "kind", "support", (F.col("support") / F.col("n_instances")).alias("conf")).where((F.col("support") >= min_support) & (F.col("conf") >= min_confidence))
         found = unseen.join(good.select("pattern", "kind", "conf"), "pattern").where(_shape_fits(F.col("kind"), F.col("value")))
-        found = found.groupBy("kind", "value").agg((1 - F.exp(F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999999)))))).alias("trust"))
+        found = found.groupBy("kind", "value").agg(F.least(F.lit(0.999999), 1 - F.exp(F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999999)))))).alias("trust"))
         trusted = saved.save(graph.where("seed").select("kind", "value", F.lit(1.0).alias("trust")).distinct().union(found.where(F.col("trust") >= min_confidence)))
     best = trusted.where("trust < 1.0").groupBy("value").agg(F.max_by("kind", F.struct("trust", -F.col("kind"))).alias("kind"))
     occurrences = rows.select("row", F.explode("cand").alias("c")).withColumn("value", F.lower("c.value"))
