@@ -1,12 +1,12 @@
-"""Shared folders, saved tables and distributed components for the llm operators."""
+"""What the llm operators share: tables, the separator of words, and the library's saved tables and components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from faultweave.operators.components import Saved, components, shared_dir
+
+__all__ = ["SPACE", "Saved", "components", "shared_dir", "shuffle_partitions", "table"]
 
 #: ASCII white space that separates words in every word-based operator.
 SPACE = "[ \\t-\\r]+"
@@ -16,69 +16,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. A local session without one gets its own; a cluster without one is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if known.isDefined():
-        return known.get()
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    made = tempfile.mkdtemp(prefix="faultweave-")
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-class Saved:
-    """Tables written to the shared folder: they cut lineage, survive lost executors and can be dropped early."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, shared_dir(spark)
-
-    def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/saved-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
-        out._saved_path = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def components(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """Connected components of ``edges(a long, b long)`` as ``(node long, component long)``, component the smallest node.
-
-    Alternating large-star and small-star steps: each node's neighbours are linked with the smallest
-    one, so a hub of any degree costs a sum over its edges and never sits in one task as a list.
-    Isolated nodes do not appear. Null ends are ignored. Each round is written to the shared folder.
-    """
-    saved = Saved(spark)
-    pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    now = saved.save(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    while True:
-        both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        large = saved.save(large.distinct())
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a")
-        small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").union(low.select("a", F.col("m").alias("b")))
-        then = saved.save(small.distinct())
-        # finished when every node has one parent and no parent has a parent
-        change = then.groupBy("a").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0]
-        nested = then.select(F.col("b").alias("a")).distinct().join(then, "a", "left_semi").limit(1).count()
-        saved.drop(now)
-        saved.drop(large)
-        now = then
-        if (change or 0) <= 1 and not nested:
-            break
-    roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)

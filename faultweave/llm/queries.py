@@ -20,6 +20,8 @@ _QUERIES = {
 #: name -> (module, constant)
 _SQL = {
     "op1_lm_scores": ("faultweave.llm.scoring", "OP1_SQL"),
+    "op6_similar": ("faultweave.llm.similar", "OP6_SQL"),
+    "op8_repeats": ("faultweave.llm.repeats", "OP8_SQL"),
 }
 
 

@@ -157,3 +157,14 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
+
+
+OP8_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS ws FROM documents),
+g AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM w WHERE len(ws) >= 50)),
+m AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT doc_id, i FROM g WHERE h IN (SELECT h FROM m)),
+j AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 50 THEN 0 ELSE 1 END AS fresh FROM c),
+k AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM j)
+SELECT doc_id, (min(i) - 1)::BIGINT AS start_word, (max(i) + 49)::BIGINT AS end_word, (max(i) - min(i) + 50)::BIGINT AS n_words FROM k GROUP BY doc_id, run
+"""

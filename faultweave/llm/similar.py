@@ -181,7 +181,7 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     sets = rows.where("is_null IS NULL")
     postings = sets.select("node", F.explode("keys").alias("key"))
     heads = postings.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
-    near = components(spark, postings.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    near = components(postings.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
     near = saved.save(near)
     once = sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n")).join(near, "node")
     once = saved.save(once)
@@ -211,7 +211,7 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
         yield from done()
 
     links = placed.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(search, "a long, b long")
-    joined = components(spark, links)
+    joined = components(links)
     names = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = saved.save(names)
     least = names.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -221,3 +221,16 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
 
 def op6_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_documents(table(spark, sf_dir, "documents"))
+
+
+OP6_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ \t-\r]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 2))) AS i FROM w WHERE len(ws) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(v, c) AS (SELECT a, a FROM g UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.v),
+m AS (SELECT v, min(c) AS c FROM r GROUP BY v)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(m.c, w.doc_id) AS component_id FROM w LEFT JOIN n ON n.doc_id = w.doc_id LEFT JOIN m ON m.v = w.doc_id
+"""
