@@ -335,6 +335,10 @@ KEY_SQL = f"""WITH {_CASES}, k AS (SELECT ord, CASE WHEN mode = 'mismatch' THEN
 g AS (SELECT key, count(*) AS n, min(ord) AS first_case FROM k GROUP BY key) SELECT row_number() OVER (ORDER BY first_case) - 1 AS label, n, first_case FROM g"""
 
 
+CLUSTER_SIGNATURE_SQL = KEY_SQL.split("\ng AS")[0] + """
+r AS (SELECT key, row_number() OVER (ORDER BY min(ord)) - 1 AS label FROM k GROUP BY key) SELECT ord AS "Case", 'bucket_' || label AS bucket FROM k JOIN r USING (key)"""
+
+
 def q_cluster_signature_orders(spark, d):
     o = _t(spark, d, "orders").join(_t(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
     keyed = o.select(F.col("o_orderkey"), F.concat_ws("/", "o_orderstatus", "o_orderpriority", "c_mktsegment").alias("key"))
@@ -455,7 +459,7 @@ p AS (SELECT a.ord AS a, b.ord AS b, {key("a")} = {key("b")} AS same_key, a.mode
 m AS (SELECT *, least(1.0, 0.18 * di + 0.16 * ds + 0.24 * dc + 0.14 * dl + 0.10 * dloop + 0.05 * drep + 0.04 * duni + 0.04 * dearly + 0.05 * dsame) AS m0,
   greatest(CASE WHEN di > 0 AND ds > 0 THEN 0.80 ELSE 0 END, CASE WHEN one_short THEN 0.88 ELSE 0 END, CASE WHEN dloop > 0 THEN 0.82 ELSE 0 END, CASE WHEN dearly > 0 THEN 0.84 ELSE 0 END, CASE WHEN dsame > 0 THEN 0.88 ELSE 0 END)::DOUBLE AS floor_,
   CASE WHEN ma = mb THEN 0.0 WHEN asim >= 0.5 THEN 0.15 ELSE 0.45 END::DOUBLE AS pen FROM p),
-dist AS (SELECT a, b, CASE WHEN same_key THEN 0.0::DOUBLE WHEN ma = 'mismatch' AND mb = 'mismatch' THEN (CASE WHEN spike_same THEN greatest(0.0, greatest(m0, floor_) - 0.16) ELSE greatest(m0, floor_) END)
+dist AS (SELECT a, b, same_key, ma, mb, CASE WHEN same_key THEN 0.0::DOUBLE WHEN ma = 'mismatch' AND mb = 'mismatch' THEN (CASE WHEN spike_same THEN greatest(0.0, greatest(m0, floor_) - 0.16) ELSE greatest(m0, floor_) END)
   WHEN ma = 'mismatch' THEN cab WHEN mb = 'mismatch' THEN cba WHEN dret THEN 0.90 WHEN one_set THEN greatest(0.75, pen + 0.30 * fd + 0.30 * (1 - asim) + 0.10 * src)
   WHEN asim = 1 AND has_set THEN least(1.0, 0.20 * fd + 0.10 * pen) ELSE least(1.0, pen + 0.30 * fd + 0.30 * (1 - asim) + 0.10 * src + 0.05 * tst) END AS d FROM m)"""
 
@@ -463,6 +467,18 @@ dist AS (SELECT a, b, CASE WHEN same_key THEN 0.0::DOUBLE WHEN ma = 'mismatch' A
 DISTANCE_SQL = f"""WITH {_CASES}, {_pair_sql()} SELECT a, b, round(d, 6) AS distance FROM dist"""
 
 
+_DOCS = BLOB_SQL.split("WITH ", 1)[1].rsplit("\nSELECT", 1)[0]  # the cases and their cleaned blobs' tokens, as t
+HYBRID_SQL = f"""WITH {_DOCS}, {_pair_sql()},
+docs AS (SELECT case_id AS item_id, array_to_string(list_filter(ts, lambda x, i: i = 1 OR x <> ts[i - 1]), ' ') AS text FROM t),
+{_TFIDF.replace("benchmark", "docs")},
+s AS (SELECT case_id, sqrt(sum(weight * weight)) AS size FROM vec GROUP BY case_id),
+dots AS (SELECT x.case_id AS a, y.case_id AS b, sum(x.weight * y.weight) AS dot FROM vec x JOIN vec y ON x.space = y.space AND x.term = y.term AND x.case_id < y.case_id GROUP BY ALL),
+cosine AS (SELECT a, b, least(1.0, dot / (sa.size * sb.size)) AS cosine FROM dots JOIN s sa ON sa.case_id = a JOIN s sb ON sb.case_id = b),
+f AS (SELECT dist.a, dist.b, same_key, d, coalesce(cosine, 0.0) AS cosine, CASE WHEN ma = 'mismatch' AND mb = 'mismatch' THEN (CASE WHEN d < 0.72 THEN 0.96 ELSE 1.0 END) ELSE (CASE WHEN d < 0.72 THEN 0.85 ELSE 0.92 END) END::DOUBLE AS w
+  FROM dist LEFT JOIN cosine ON cosine.a = dist.a AND cosine.b = dist.b)
+SELECT a, b, round(d, 6) AS signature, round(cosine, 5) AS cosine, round(CASE WHEN same_key THEN 0.0::DOUBLE ELSE w * d + (1 - w) * (1 - cosine) END, 5) AS distance FROM f"""
+
+
 def q_hybrid_matrix(spark, d):
     return distances.distance_pairs(_cases(spark, d)).select("a", "b", F.round("signature", 6).alias("signature"), F.round("cosine", 5).alias("cosine"), F.round("distance", 5).alias("distance"))
 
@@ -582,11 +598,11 @@ QUERIES = {
     "set_and_place_overlap": (q_set_and_place_overlap, OVERLAP_SQL),
     "fatal_taxonomy": (q_fatal_taxonomy, TAXONOMY_SQL),
     "signature_distance": (q_signature_distance, DISTANCE_SQL),
-    "hybrid_matrix": (q_hybrid_matrix, None),
+    "hybrid_matrix": (q_hybrid_matrix, HYBRID_SQL),
     "radius_grid": (q_radius_grid, RADIUS_SQL),
     "second_neighbour": (q_second_neighbour, SECOND_SQL),
     "density_components": (q_density_components, DENSITY_SQL),
-    "cluster_signature": (_clustered("signature"), None),
+    "cluster_signature": (_clustered("signature"), CLUSTER_SIGNATURE_SQL),
     "cluster_tfidf": (_clustered("tfidf"), None),
     "cluster_hybrid": (_clustered("hybrid"), None),
     "cluster_signature_then_tfidf": (_clustered("signature_then_tfidf"), None),
