@@ -34,7 +34,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of linked texts, the one with the smallest id; texts without words stay."""
     named = docs.select(F.struct("*").alias("row"), _row_id(docs).alias("id"), "text")
-    groups = Saved(spark).save(similar.similar_documents(named, id_col="id"))
+    inner = Saved(spark)
+    groups = Saved(spark).save(similar.similar_documents(named, id_col="id", saved=inner))
+    inner.drop_all()  # before the texts are joined
     kept = groups.where("component_id = doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("copies"))
     out = named.join(kept, "id")
     # rows that repeat an id: of those with one text, one stays

@@ -136,7 +136,7 @@ def divide_skip(sets: list[np.ndarray], similar: int = SIMILAR, side: np.ndarray
     return links
 
 
-def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similar: int = SIMILAR, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
+def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WORDS, similar: int = SIMILAR, block_shingles: int = BLOCK_SHINGLES, saved: Saved | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id reachable by links.
 
     Words are runs of non-space with A-Z as a-z; a text of fewer than ``width`` words is one shingle;
@@ -144,10 +144,11 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     100 |A and B| >= similar |A or B|, so repeated rows and equal sets link. A null doc_id is a row
     of its own that joins sets but never names a component unless all of its ids are null; ties
     need no rule; an empty table gives no rows; other columns are ignored. All texts, all shingles
-    and all links count: nothing is capped or sampled.
+    and all links count: nothing is capped or sampled. ``saved`` holds the tables that
+    the result is read from, for a caller that will drop them.
     """
     spark = documents.sparkSession
-    saved, parts = Saved(spark), shuffle_partitions(spark)
+    saved, parts = saved or Saved(spark), shuffle_partitions(spark)
 
     def grams(b: Batch, number: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         return distinct_counts(_distinct_sets(b, width)[3], bits)
