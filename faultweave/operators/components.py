@@ -28,18 +28,25 @@ class Saved:
     """Tables written to the shared folder: they cut lineage, survive lost executors and can be dropped early."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.root = spark, shared_dir(spark)
+        self.spark, self.root, self.frames = spark, shared_dir(spark), []
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/saved-{uuid.uuid4().hex}"
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._saved_path = path
+        self.frames.append(out)
         return out
 
     def drop(self, df: DataFrame) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.frames = [f for f in self.frames if f is not df]
+
+    def drop_all(self) -> None:
+        """Drops every table still there: for a caller that has saved what it made of them."""
+        for df in list(self.frames):
+            self.drop(df)
 
 
 def components(edges: DataFrame) -> DataFrame:
