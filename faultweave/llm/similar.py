@@ -25,6 +25,8 @@ from faultweave.llm.ngram_exchange import Batch, distinct_counts, exchange
 WORDS, SIMILAR = 5, 75
 #: Shingles in an index block; a larger group is cut into blocks by hash and the blocks are met in pairs.
 BLOCK_SHINGLES = 1_000_000
+#: Words in a batch of the exchange: a batch's sets take several times the memory of its words.
+BATCH_WORDS = 700_000
 #: The DivideSkip constant: T / (MU log2 M + 1) lists count as long, M the longest list.
 MU = 0.0085
 _DDL = "doc_id long, is_null boolean, n_shingles long, node long, shingles binary, keys array<long>"
@@ -177,7 +179,7 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    rows = saved.save(exchange(docs, [0], grams, finish, _DDL, parts))
+    rows = saved.save(exchange(docs, [0], grams, finish, _DDL, parts, BATCH_WORDS))
     members = rows.where("is_null IS NOT NULL").select("doc_id", "n_shingles", "node")
     sets = rows.where("is_null IS NULL")
     postings = sets.select("node", F.explode("keys").alias("key"))
