@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from faultweave.llm import words as W
 
 #: Words in a batch, at most (a longer text is a batch of its own).
-BATCH_WORDS = 2_000_000
+BATCH_WORDS = 1_400_000
 #: An n-gram's hash keeps log2(bytes of all texts) + SPARE bits, so at any size of the corpus less than one n-gram in 2**SPARE shares its hash.
 SPARE = 24
 
