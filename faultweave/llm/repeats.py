@@ -1,9 +1,9 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by sparse suffixes.
 
 Suffixes are kept at content-selected places (minimisers of word 16-grams), so two copies of a passage
-keep the same ones. Only suffixes whose first 16 words another text has too stay; they are sorted by
-the words that follow and by those before, neighbours are compared to the left and right, and
-what matches for ``least`` words or more is a repeat. Equal texts are one text until the end.
+keep the same ones. Only suffixes whose first 16 words another text has too stay; of those with one
+beginning, every window of ``least`` words that holds it is compared by its hash with all the
+others', so what matches to the left and right in any mixture is found. Equal texts are one text until the end.
 """
 
 from __future__ import annotations
@@ -19,11 +19,11 @@ from faultweave.llm import words as W
 from faultweave.llm._shared import Saved, shuffle_partitions, table
 
 LEAST, GRAM = 50, 16
-#: Suffixes with one beginning that are sorted in one task; more are dealt out by a hash of their text.
+#: Suffixes with one beginning that are compared in one task; windows around a more common one are dealt out by their own hashes.
 GROUP = 5000
 _CODE = 3  # bytes of a word in a suffix
 _A = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("cls", pa.int64()), ("n_words", pa.int64()), ("gram", pa.int64()), ("pos", pa.int64())])
-_B = pa.schema([("gram", pa.int64()), ("part", pa.int32()), ("cls", pa.int64()), ("pos", pa.int64()), ("n_before", pa.int32()), ("n_after", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+_B = pa.schema([("hot", pa.bool_()), ("gram", pa.int64()), ("cls", pa.int64()), ("pos", pa.int64()), ("n_before", pa.int32()), ("n_after", pa.int32()), ("words", pa.binary())])
 
 
 def sampled(h: np.ndarray, counts: np.ndarray, least: int = LEAST, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
@@ -43,10 +43,13 @@ def _codes(h: np.ndarray) -> np.ndarray:
     return (h.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :_CODE] | 1).copy()
 
 
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Words that rows of codes have in common from the left."""
-    same = (a == b).all(axis=2)
-    return np.where(same.all(axis=1), same.shape[1], (~same).argmax(axis=1))
+def _two_texts(key: np.ndarray, cls: np.ndarray) -> np.ndarray:
+    """Rows whose key a row of another text has too."""
+    order = np.argsort(key)
+    key, cls = key[order], cls[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    shared = np.minimum.reduceat(cls, starts) < np.maximum.reduceat(cls, starts)
+    return order[np.repeat(shared, np.diff(np.append(starts, len(key))))]
 
 
 def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -56,7 +59,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     end exclusive; overlapping or touching passages are one run. Texts that another doc_id has too
     are wholly repeated. Null, empty and shorter texts have none; rows that repeat both id and text
     are one document and give the same rows each; null ids count as one id per text; an empty table
-    gives no rows; other columns are ignored.
+    gives no rows; other columns are ignored. ``group`` decides where suffixes are compared, never what is found.
     """
     spark = documents.sparkSession
     saved, parts = Saved(spark), shuffle_partitions(spark)
@@ -82,13 +85,15 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     first = saved.save(docs.mapInArrow(select, "doc_id long, doc long, cls long, n_words long, gram long, pos long"))
     known = first.where("gram IS NULL").select("doc_id", "doc", "cls", "n_words")
     spots = first.where("gram IS NOT NULL").select("gram", "cls", "pos").distinct()
-    shared = spots.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("gram", F.ceil(F.col("n") / group).cast("int").alias("parts"))
-    kept = spots.join(shared, "gram").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("pos", "gram", "parts"))).alias("spots"))
+    shared = spots.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("gram", (F.col("n") > group).alias("hot"))
+    kept = spots.join(shared, "gram").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("pos", "gram", "hot"))).alias("spots"))
     texts = known.groupBy("cls").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.max("n_words").alias("n_words"))
     texts = saved.save(texts)
     wanted = saved.save(texts.join(kept, "cls").select("doc", "spots"))
     given = docs.select("doc", "cls", "text").join(wanted, "doc")
 
+    side = least - gram  # words that a window has beside the beginning
+
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = np.zeros((least, _CODE), np.uint8)
         for rb in it:
@@ -97,54 +102,95 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
                 h, counts = W.tokens(part.column(2))
                 codes, ends, rows = _codes(h), np.cumsum(counts), []
                 for cls, spots, n, end in zip(part.column(1).to_pylist(), part.column(3).to_pylist(), counts, ends, strict=True):
-                    own = np.concatenate([pad, codes[end - n : end], pad])
+                    own, around = np.concatenate([pad, codes[end - n : end], pad]), np.zeros(n - least + 1, bool)
                     for s in spots:
                         p = s["pos"]
-                        before, after = own[p : p + least][::-1], own[p + least : p + 2 * least]
-                        rows.append((s["gram"], (cls >> 7) % s["parts"], cls, p, min(least, p), min(least, int(n) - p), before.tobytes(), after.tobytes()))
+                        if s["hot"]:
+                            around[max(0, p - side) : p + 1] = True
+                        else:
+                            rows.append((False, s["gram"], cls, p, min(least, p), min(least, int(n) - p), own[p + gram : p + 2 * least].tobytes()))
+                    at = np.flatnonzero(around)
+                    if len(at):
+                        g = W.grams(h[end - n : end], least)[at].view(np.int64)
+                        m, none = len(at), pa.nulls(len(at), pa.int32())
+                        yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), pa.array(g), pa.array(np.full(m, cls)), pa.array(at), none, none, pa.nulls(m, pa.binary())], schema=_B)
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _B, strict=True)], schema=_B)
 
-    suffixes = given.mapInArrow(cut, "gram long, part int, cls long, pos long, n_before int, n_after int, before binary, after binary")
+    suffixes = given.mapInArrow(cut, "hot boolean, gram long, cls long, pos long, n_before int, n_after int, words binary")
 
     def compare(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["cls", "start", "end"]
         tail: pa.Table | None = None
 
         def found(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Suffixes of whole groups: each one's windows that another text has."""
             n = t.num_rows
-            gid_, part, cls, pos, nb, na = (np.asarray(t.column(k).combine_chunks()) for k in ("gram", "part", "cls", "pos", "n_before", "n_after"))
-            gid = np.cumsum(np.append(True, (gid_[1:] != gid_[:-1]) | (part[1:] != part[:-1])))
-            sides = {k: np.frombuffer(b"".join(t.column(k).to_pylist()), np.uint8).reshape(n, least, _CODE) for k in ("before", "after")}
-            out = []
-            for order in (np.arange(n), np.lexsort((np.ascontiguousarray(sides["before"]).reshape(n, -1).view(f"S{least * _CODE}").ravel(), gid))):
-                for step in (1, 2):
-                    a, b = order[:-step], order[step:]
-                    ok = (gid[a] == gid[b]) & (cls[a] != cls[b])
-                    a, b = a[ok], b[ok]
-                    if not len(a):
-                        continue
-                    right = np.minimum(_common(sides["after"][a], sides["after"][b]), np.minimum(na[a], na[b]))
-                    left = np.minimum(_common(sides["before"][a], sides["before"][b]), np.minimum(nb[a], nb[b]))
-                    good = left + right >= least
-                    for x in (a[good], b[good]):
-                        out.append((cls[x], pos[x] - left[good], pos[x] + right[good]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["cls", "start", "end"])
+            gram_, cls, pos, nb, na = (np.asarray(t.column(k).combine_chunks()) for k in ("gram", "cls", "pos", "n_before", "n_after"))
+            codes = np.frombuffer(b"".join(t.column("words").to_pylist()), np.uint8).reshape(n, side + least, _CODE)
+            p, q = W._power(side + least + 1)
+            sums = np.zeros((n, side + least + 1), np.uint64)
+            number = sum(codes[:, :, k].astype(np.uint64) << np.uint64(8 * k) for k in range(_CODE))
+            np.cumsum(W.mix(number) * p[: side + least], axis=1, out=sums[:, 1:])
+            salt = W.mix(gram_.view(np.uint64))
+            low, high = np.full(n, -1), np.full(n, -1)
+            for d in range(side + 1):  # words of the window before the suffix
+                ok = np.flatnonzero((nb >= d) & (na >= least - d))
+                if len(ok):
+                    s = side - d
+                    hit = ok[_two_texts(W.mix((sums[ok, s + least] - sums[ok, s]) * q[s] + salt[ok]), cls[ok])]
+                    low[hit] = np.where(low[hit] < 0, d, low[hit])
+                    high[hit] = d
+            hit = high >= 0  # all windows of a suffix hold its beginning: together they are one run
+            if hit.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cls[hit]), pa.array((pos - high)[hit]), pa.array((pos - low)[hit] + least)], names=names)
+
+        # of the window that the last batch ended in: its hash, its first text, whether another text has it, places not yet told
+        window, owner, shared, held = None, None, False, []
+
+        def told(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            """Windows sorted by hash and text; only the places of one window in one text are held back."""
+            nonlocal window, owner, shared, held
+            key, cls, pos = (np.asarray(t.column(k).combine_chunks()) for k in ("gram", "cls", "pos"))
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            lasts = np.append(starts[1:], len(key)) - 1
+            two = cls[starts] != cls[lasts]
+            if window == key[0]:
+                two[0] = two[0] or shared or cls[0] != owner
+                first = owner
+            else:
+                first, held = cls[0], []
+            if two[0] and held:
+                at = np.concatenate(held)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), first)), pa.array(at), pa.array(at + least)], names=names)
+                held = []
+            out = np.repeat(two, lasts - starts + 1)
+            if out.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cls[out]), pa.array(pos[out]), pa.array(pos[out] + least)], names=names)
+            if len(starts) > 1:
+                first, held = cls[starts[-1]], []
+            window, owner, shared = key[-1], first, two[-1]
+            if not shared:
+                held.append(pos[starts[-1] :])
 
         for rb in it:
             t = pa.Table.from_batches([rb])
-            if tail is not None:
-                t = pa.concat_tables([tail, t])
-            gram, part = np.asarray(t.column("gram").combine_chunks()), np.asarray(t.column("part").combine_chunks())
-            others = np.flatnonzero((gram != gram[-1]) | (part != part[-1]))
-            whole = int(others[-1]) + 1 if len(others) else 0  # the last group may go on in the next batch
-            if whole:
-                yield from found(t.slice(0, whole))
-            tail = t.slice(whole)
+            cold = t.num_rows - int(np.asarray(t.column("hot").combine_chunks()).sum())  # the hot ones come last
+            if cold:
+                now = t.slice(0, cold)
+                tail = now if tail is None else pa.concat_tables([tail, now])
+                gram_ = np.asarray(tail.column("gram").combine_chunks())
+                others = np.flatnonzero(gram_ != gram_[-1])
+                whole = int(others[-1]) + 1 if len(others) else 0  # the last group may go on in the next batch
+                if whole:
+                    yield from found(tail.slice(0, whole))
+                tail = tail.slice(whole)
+            if cold < t.num_rows:
+                yield from told(t.slice(cold))
         if tail is not None and tail.num_rows:
             yield from found(tail)
 
-    dealt = suffixes.repartition(parts, "gram", "part").sortWithinPartitions("gram", "part", "after", "cls", "pos")
+    dealt = suffixes.repartition(parts, "hot", "gram").sortWithinPartitions("hot", "gram", "cls", "pos")
     pieces = saved.save(dealt.mapInArrow(compare, "cls long, start long, end long").distinct())
     whole = texts.where(F.col("doc") != F.col("other")).where(F.col("n_words") >= least).select("cls", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("end"))
     w = Window.partitionBy("cls").orderBy("start", "end")

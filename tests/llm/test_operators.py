@@ -330,3 +330,36 @@ def test_sha_of_edited_text(spark, tmp_path):
         t, n = t or "", n or ""
         k = len(t) // 2
         assert got[i] == hashlib.sha256((t[: len(t) - k] + n[:k]).encode()).hexdigest()
+
+
+def plain_repeats(data):
+    at, want = {}, []
+    for d, w in data:
+        for k in range(len(w) - 49):
+            at.setdefault(tuple(w[k : k + 50]), set()).add(d)
+    for d, w in data:
+        runs = []
+        for k in range(len(w) - 49):
+            if len(at[tuple(w[k : k + 50])]) > 1:
+                if runs and k <= runs[-1][1]:
+                    runs[-1][1] = k + 50
+                else:
+                    runs.append([k, k + 50])
+        want += [(d, a, b) for a, b in runs]
+    return sorted(want, key=str)
+
+
+@pytest.mark.parametrize("group", [1, 7, repeats.GROUP])
+def test_repeats_around_a_common_line(spark, group):
+    """One licence line in all texts; a few share what stands around it."""
+    rng = random.Random(21)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    line = prose(40)
+    data = [(i, prose(60) + line + prose(60)) for i in range(60)]
+    for i in range(10):
+        left, right = prose(8), prose(8)
+        data += [(100 + 2 * i + k, prose(30) + left + line + right + prose(30)) for k in range(2)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in data], "doc_id long, text string").repartition(3)
+    want = plain_repeats(data)
+    assert {d for d, _, _ in want} == set(range(100, 120))
+    assert rows(repeats.repeated_passages(df, group=group), "doc_id", "start_word", "end_word") == want
