@@ -363,3 +363,17 @@ def test_repeats_around_a_common_line(spark, group):
     want = plain_repeats(data)
     assert {d for d, _, _ in want} == set(range(100, 120))
     assert rows(repeats.repeated_passages(df, group=group), "doc_id", "start_word", "end_word") == want
+
+
+def test_repeats_beyond_the_next_neighbours(spark):
+    """A passage many times in one text and once in another, and partners hidden behind texts that agree more on one side."""
+    rng = random.Random(22)
+    prose = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    passage, gram, left, right = prose(120), prose(16), prose(33), prose(33)
+    data = [(1, sum((passage + prose(3) for _ in range(30)), [])), (2, prose(9) + passage + prose(9))]
+    data += [(10 + i, prose(40) + left[13:] + gram + right[:20] + prose(40)) for i in range(2)]
+    data += [(20 + i, prose(40) + gram + right + prose(40)) for i in range(3)] + [(30 + i, prose(40) + left + gram + prose(40)) for i in range(3)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in data], "doc_id long, text string").repartition(3)
+    want = plain_repeats(data)
+    assert {1, 2, 10, 11} == {d for d, _, _ in want}
+    assert rows(repeats.repeated_passages(df), "doc_id", "start_word", "end_word") == want
