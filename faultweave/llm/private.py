@@ -126,8 +126,11 @@ def find_private(
     seeds = rows.select(F.explode("base").alias("s")).select("s.kind", F.lower("s.value").alias("value"), F.explode(_contexts(F.col("s.before"), F.col("s.after"))).alias("pattern"), F.lit(True).alias("seed"))
     cands = rows.select(F.explode("cand").alias("s")).select(F.lit(None).cast("int").alias("kind"), F.lower("s.value").alias("value"), F.explode(_contexts(F.col("s.before"), F.col("s.after"))).alias("pattern"), F.lit(False).alias("seed"))
     graph = saved.save(seeds.union(cands).distinct())
-    # a pattern without enough seeds of one kind can never be trusted in the first round, nor later without it
-    lively = graph.where("seed").groupBy("pattern", "kind").agg(F.count("*").alias("n")).where(f"n >= {min_support}").select("pattern").distinct()
+    instances = graph.groupBy("pattern").agg(F.countDistinct("value").alias("n_instances"))
+    # no round trusts a value by more than 1: a pattern's support is at most its seeds and fitting candidates of one kind
+    kinds = F.explode(F.when(F.col("seed"), F.array("kind")).otherwise(F.filter(F.array(*map(F.lit, range(len(KINDS)))), lambda k: _shape_fits(k, F.col("value")))))
+    reach = graph.select("pattern", "value", kinds.alias("kind")).groupBy("pattern", "kind").agg(F.countDistinct("value").alias("n"))
+    lively = reach.join(instances, "pattern").where((F.col("n") >= min_support) & (F.col("n") / F.col("n_instances") >= min_confidence)).select("pattern").distinct()
     graph = saved.save(graph.join(lively, "pattern", "left_semi"))
     instances = graph.groupBy("pattern").agg(F.countDistinct("value").alias("n_instances"))
     trusted = graph.where("seed").select("kind", "value", F.lit(1.0).alias("trust")).distinct()

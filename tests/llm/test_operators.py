@@ -377,3 +377,13 @@ def test_repeats_beyond_the_next_neighbours(spark):
     want = plain_repeats(data)
     assert {1, 2, 10, 11} == {d for d, _, _ in want}
     assert rows(repeats.repeated_passages(df), "doc_id", "start_word", "end_word") == want
+
+
+def test_private_patterns_of_discovered_values(spark):
+    """'desk' has the seeds and discovers numbers; these alone make 'hotline' a pattern, which discovers one more."""
+    texts = [f"x{i}q desk +1 ({200 + i}) 555-0143 y{i}q" for i in range(100)] + [f"z{i}q desk 555-0{i:02}9-22 u{i}q" for i in range(12)]
+    texts += [f"v{i}q hotline 555-0{i:02}9-22 t{i}q" for i in range(12)] + ["end hotline 555-0777-44 stop", "seen 555-0888-44 alone"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["added"]] for r in private.find_private(df).collect()}
+    assert [found[i] for i in range(100, 112)] == [found[i] for i in range(112, 124)] == [[(3, f"555-0{i:02}9-22")] for i in range(12)]
+    assert found[124] == [(3, "555-0777-44")] and found[125] == []
