@@ -23,6 +23,8 @@ PATTERNS = {
 }
 #: What may be an identifier that the seeds' expressions don't take: a run of such characters with a digit or an @.
 CANDIDATE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{6,}+"
+#: And groups of digits, bare or in brackets, that single blanks, dots or hyphens join: one span. It starts only where no such group goes on.
+GROUPS = r"(?<![A-Za-z0-9@._%+-])(?<![0-9)][\x20.-])(?:\([0-9]++\)|[0-9]++)(?:[\x20.-]?(?:\([0-9]++\)|[0-9]++))++(?![A-Za-z@_%+]|[.-][A-Za-z0-9@_%+-])"
 CONTEXT_CHARS = 64
 ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE = 3, 3, 0.8
 _SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
@@ -81,6 +83,18 @@ def base_spans(text: Column) -> Column:
     return F.concat(*[of(n, kind) for n, kind in enumerate(KINDS)])
 
 
+def candidates(text: Column) -> Column:
+    """Token runs and digit groups that may be identifiers; one that is both counts once."""
+    figures = lambda m: F.char_length(F.regexp_replace(m["value"], "[^0-9]", ""))
+    groups = F.filter(matches(text, GROUPS), lambda m: figures(m).between(7, 19))
+
+    def joined(both: Column) -> Column:
+        fresh = F.filter(both["groups"], lambda g: ~F.exists(both["runs"], lambda r: (r["start"] == g["start"]) & (r["end"] == g["end"])))
+        return F.concat(both["runs"], fresh)
+
+    return _let(F.struct(matches(text, CANDIDATE).alias("runs"), groups.alias("groups")), joined)
+
+
 def _shape_fits(kind: Column, value: Column) -> Column:
     digits = F.char_length(F.regexp_replace(value, "[^0-9]", ""))
     letters = value.rlike("[A-Za-z@_%+]")
@@ -119,7 +133,7 @@ def find_private(
     saved = Saved(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept_cols = [F.col(c).alias(f"keep_{c}") for c in keep]
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *kept_cols, base_spans(text).alias("base"), matches(text, CANDIDATE).alias("cand"))
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *kept_cols, base_spans(text).alias("base"), candidates(text).alias("cand"))
     overlaps = lambda c, b: (c["start"] < b["end"]) & (b["start"] < c["end"])
     rows = rows.withColumn("cand", F.filter("cand", lambda c: ~F.exists("base", lambda b: overlaps(c, b))))
     rows = saved.save(rows)
@@ -144,7 +158,10 @@ def find_private(
         trusted = saved.save(graph.where("seed").select("kind", "value", F.lit(1.0).alias("trust")).distinct().union(found.where(F.col("trust") >= min_confidence)))
     best = trusted.where("trust < 1.0").groupBy("value").agg(F.max_by("kind", F.struct("trust", -F.col("kind"))).alias("kind"))
     occurrences = rows.select("row", F.explode("cand").alias("c")).withColumn("value", F.lower("c.value"))
-    added = occurrences.join(best, "value").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value")))).alias("added"))
+    occurrences = occurrences.join(best, "value").groupBy("row").agg(F.collect_list(F.struct(F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value"), "kind")).alias("all"))
+    inside = lambda c, b: (c["start"] >= b["start"]) & (c["end"] <= b["end"]) & (c["end"] - c["start"] < b["end"] - b["start"])
+    outer = F.filter("all", lambda c: ~F.exists("all", lambda b: inside(c, b)))  # a part of a longer one is not told again
+    added = occurrences.select("row", F.explode(outer).alias("c")).select("row", "c", "c.kind").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value")))).alias("added"))
     plain = "array<struct<kind:int,start:int,end:int,value:string>>"
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
     out = rows.join(added, "row", "left")

@@ -387,3 +387,19 @@ def test_private_patterns_of_discovered_values(spark):
     found = {r["doc_id"]: [(s["kind"], s["value"]) for s in r["added"]] for r in private.find_private(df).collect()}
     assert [found[i] for i in range(100, 112)] == [found[i] for i in range(112, 124)] == [[(3, f"555-0{i:02}9-22")] for i in range(12)]
     assert found[124] == [(3, "555-0777-44")] and found[125] == []
+
+
+def test_private_numbers_with_blanks_and_brackets(spark):
+    from pyspark.sql import functions as F
+
+    spans = {
+        "x (017) 555-7713, y": ["(017) 555-7713"], "020 7946 0958.": ["020 7946 0958"], "(020 7946 0958)": ["020 7946 0958"], "a 12.34.5678 b": ["12.34.5678"],
+        "4111 1111 1111 1112 é": ["4111 1111 1111 1112"], "12 345": ["12 345"], "020 7946 0958x": [], "1 2  3 4": ["1 2", "3 4"], "1 " * 5000 + "x": [("1 " * 5000).strip()], "7": [],
+    }
+    df = spark.createDataFrame([(t,) for t in spans], "t string")
+    assert {t: [m["value"] for m in ms] for t, ms in df.select("t", private.matches(F.col("t"), private.GROUPS)).collect()} == spans
+    texts = [f"x{i}q call +1 ({200 + i}) 555-0143 y{i}q card: 4000 0000 0000 {1000 + i}" for i in range(40)]
+    texts += ["now call (017) 555-7713 today", "now call 020 7946 0958, please", "serial 020 7946 0959 sold", "now call 555-7714 today"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: [(s["kind"], s["value"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["added"]] for r in private.find_private(df).collect()}
+    assert [got[i] for i in range(40, 44)] == [[(3, v, v)] if v else [] for v in ("(017) 555-7713", "020 7946 0958", None, "555-7714")]
