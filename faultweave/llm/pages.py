@@ -8,6 +8,7 @@ finds substrings that repeat on distinct pages, and blocks that these cover are
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultweave.llm._shared import Saved, shuffle_partitions, table
+from faultweave.llm.leaks import _window_hashes
 
-#: Tokens of a repeat at least, the part of a block that repeats must cover, tokens in one suffix array.
+#: Tokens of a repeat at least, the part of a block that repeats must cover, tokens in one suffix array at most.
 MIN_REPEAT, COVERED, ARRAY_TOKENS = 6, 0.8, 500_000
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|title|svg|iframe|select|object|button)\b.*?(?:</\1\s*>|\Z)"
@@ -148,24 +150,26 @@ def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, lcp
 
 
-def repeated(streams: list[list[str]], owners: list[int], least: int = MIN_REPEAT) -> list[float]:
-    """For each token stream, the part of its tokens inside substrings of ``least`` tokens or more that a stream of another owner has too."""
+def repeated(streams: list[list[str]], owners: list[int], least: int = MIN_REPEAT, others: list[int] | None = None) -> list[float]:
+    """For each token stream, the part of its tokens inside substrings of ``least`` tokens or more that another owner has too; ``others`` are second owners of the streams."""
     ids: dict[str, int] = {}
-    codes, owner, stream = [], [], []
+    codes, owner, other, stream, left = [], [], [], [], []
     for s, words in enumerate(streams):
         for w in words:
             codes.append(ids.setdefault(w, len(ids)))
         codes.append(-1 - s)  # a separator that repeats nowhere
         owner += [owners[s]] * (len(words) + 1)
+        other += [(others or owners)[s]] * (len(words) + 1)
+        left += range(len(words), -1, -1)
         stream += [s] * (len(words) + 1)
     order, lcp = suffix_array(np.array(codes))
-    owner, stream, n = np.array(owner), np.array(stream), len(codes)
+    owner, other, stream, left, n = np.array(owner), np.array(other), np.array(stream), np.array(left), len(codes)
     # suffixes that share ``least`` tokens lie together: a run with two owners is a repeat for all of it
     run = np.cumsum(np.append(True, lcp[1:] < least))
     low, high = (np.full(run[-1] + 1, x) for x in (np.iinfo(np.int64).max, np.iinfo(np.int64).min))
     np.minimum.at(low, run, owner[order])
-    np.maximum.at(high, run, owner[order])
-    hit = order[(low < high)[run]]
+    np.maximum.at(high, run, other[order])
+    hit = order[(low < high)[run] & (left[order] >= least)]
     edge = np.zeros(n + least + 1, np.int64)
     np.add.at(edge, hit, 1)
     np.add.at(edge, hit + least, -1)
@@ -179,9 +183,10 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null, empty and textless pages give an empty text; null and repeated ids, null urls (one host of
     their own) and repeated rows stay rows; broken or cut markup is read as far as it goes; an empty
-    table gives no rows; other columns are ignored. Article elements are never cut down. Whole blocks
-    that repeat are known over the whole host; longer hosts' token streams are cut by hash into
-    suffix arrays of about ``array_tokens``, in which runs inside differing blocks are found.
+    table gives no rows; other columns are ignored. Article elements are never cut down. Pages with one
+    token stream (but for what markup drops) are copies and count as one page; what has fewer than
+    ``least`` tokens is no repeat. Hosts of more than ``array_tokens`` tokens have no suffix array:
+    their windows of ``least`` tokens are grouped by hash over the whole host, with the same result.
     """
     spark = pages.sparkSession
     saved = Saved(spark)
@@ -194,36 +199,45 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             out = []
             for h, page, source in zip(*(c.to_pylist() for c in rb.columns), strict=True):
                 found = blocks(source)
-                out += [(h, page, kind, text, text.count(" ") + 1) for kind, text in found if kind < 2]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 5, (pa.string(), pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["host", "page", "kind", "block", "n"])
+                content = " ".join(text for kind, text in found if kind)
+                owner = int.from_bytes(hashlib.blake2b(content.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+                out += [(h, page, owner, kind, text, text.count(" ") + 1) for kind, text in found if kind < 2]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)], names=["host", "page", "owner", "kind", "block", "n"])
 
-    loose = rows.select(host.alias("host"), "page", "html").mapInArrow(outside, "host string, page long, kind int, block string, n int")
-    # one row a distinct block of a host: its least and greatest page tell whether pages share it
-    distinct = saved.save(loose.groupBy("host", "block", "n").agg(F.min("page").alias("low"), F.max("page").alias("high"), F.max("kind").alias("kind")))
+    loose = rows.select(host.alias("host"), "page", "html").mapInArrow(outside, "host string, page long, owner long, kind int, block string, n int")
+    # one row a distinct block of a host: its least and greatest owner tell whether pages share it
+    distinct = saved.save(loose.groupBy("host", "block", "n").agg(F.min("owner").alias("low"), F.max("owner").alias("high"), F.max("kind").alias("kind")))
     # only hosts with unmarked text have anything to judge
     open_hosts = distinct.where("kind = 1").groupBy("host").agg(F.count("*").alias("open")).select("host")
     judged = distinct.join(open_hosts, "host", "left_semi")
     volume = judged.groupBy("host").agg(F.ceil(F.sum("n") / array_tokens).cast("int").alias("arrays"))
-    judged = judged.join(volume, "host").withColumn("part", F.pmod(F.xxhash64("block"), F.col("arrays")))
+    judged = judged.join(volume, "host")
 
     def sift(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            shares = repeated([r["block"].split(" ") for r in held], [r["low"] for r in held], least) if held else []
-            gone = [r["block"] for r, share in zip(held, shares, strict=True) if r["kind"] == 1 and (r["low"] < r["high"] or share >= COVERED)]
+            shares = repeated([r["block"].split(" ") for r in held], [r["low"] for r in held], least, [r["high"] for r in held]) if held else []
+            gone = [r["block"] for r, share in zip(held, shares, strict=True) if r["kind"] == 1 and share >= COVERED]
             if gone:
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(gone), pa.string()), pa.array(gone, pa.string())], names=["host", "block"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(gone), pa.string()), pa.array(gone, pa.string())], names=["host", "block"])
 
         for rb in it:
             for r in rb.to_pylist():
-                if (r["host"], r["part"]) != key:
+                if r["host"] != key:
                     yield from done()
-                    key, held = (r["host"], r["part"]), []
+                    key, held = r["host"], []
                 held.append(r)
         yield from done()
 
-    gone = judged.repartition(shuffle_partitions(spark), "host", "part").sortWithinPartitions("host", "part", "block").mapInArrow(sift, "host string, block string")
+    gone = judged.where("arrays = 1").repartition(shuffle_partitions(spark), "host").sortWithinPartitions("host", "block").mapInArrow(sift, "host string, block string")
+    wide = judged.where("arrays > 1").withColumn("site", F.xxhash64("host")).withColumn("spot", F.xxhash64("host", "block"))
+    windows = wide.select("site", "spot", "kind", "low", "high", F.posexplode(_window_hashes(F.split("block", " ", -1), least)).alias("at", "window"))
+    twice = windows.groupBy("site", "window").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low < high").select("site", "window")
+    hits = windows.where("kind = 1").join(twice, ["site", "window"], "left_semi").groupBy("spot").agg(F.sort_array(F.collect_set("at")).alias("at"))
+    steps = F.transform("at", lambda x, i: F.least(F.lit(least), F.get("at", i + 1) - x))  # the last one has no next: all its tokens
+    hits = hits.select("spot", F.aggregate(steps, F.lit(0), lambda a, x: a + x).alias("covered"))
+    gone = gone.union(wide.join(hits, "spot").where((F.col("kind") == 1) & (F.col("covered") / F.col("n") >= COVERED)).select("host", "block"))
     unmarked = loose.where("kind = 1").select("host", "page", "block").distinct()
     dropped = saved.save(unmarked.join(gone, ["host", "block"]).groupBy("page").agg(F.collect_set("block").alias("dropped")))
 

@@ -403,3 +403,14 @@ def test_private_numbers_with_blanks_and_brackets(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r["doc_id"]: [(s["kind"], s["value"], texts[r["doc_id"]][s["start"] : s["end"]]) for s in r["added"]] for r in private.find_private(df).collect()}
     assert [got[i] for i in range(40, 44)] == [[(3, v, v)] if v else [] for v in ("(017) 555-7713", "020 7946 0958", None, "555-7714")]
+
+
+@pytest.mark.parametrize("array_tokens", [8, pages.ARRAY_TOKENS])
+def test_pages_of_a_host_of_any_size(spark, array_tokens):
+    """Lines with a changing part on two pages each, among others; the size of the suffix arrays decides nothing."""
+    page = "<html><body><div><p>Posted by {} in News and Sport of group {}</p></div><div><p>own words of page {}</p></div></body></html>"
+    data = [(i, f"http://h.org/{i}", page.format(f"n{i}", f"g{i // 2} h{i // 2} i{i // 2} j{i // 2} k{i // 2} l{i // 2} m{i // 2}", i)) for i in range(40)]
+    data += [(90, "http://h.org/90", "<p>nothing of this text stands anywhere else here</p>")]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in pages.main_text(df, array_tokens=array_tokens).collect()}
+    assert got == {i: f"own words of page {i}" for i in range(40)} | {90: "nothing of this text stands anywhere else here"}
