@@ -414,3 +414,15 @@ def test_pages_of_a_host_of_any_size(spark, array_tokens):
     df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
     got = {r["page_id"]: r["text"] for r in pages.main_text(df, array_tokens=array_tokens).collect()}
     assert got == {i: f"own words of page {i}" for i in range(40)} | {90: "nothing of this text stands anywhere else here"}
+
+
+@pytest.mark.parametrize("array_tokens", [8, pages.ARRAY_TOKENS])
+def test_pages_with_copies(spark, array_tokens):
+    """A page under two urls, or with two ids, keeps its text, and so do short paragraphs that two pages have."""
+    story = "<html><nav>Menu {}</nav><body><p>the river rose again over night and took the old bridge</p><p>Yes.</p></body></html>"
+    other = "<html><body><p>a wholly different text of another day stands here</p><p>Yes.</p></body></html>"
+    data = [(1, "http://h.org/a", story.format(1)), (2, "http://h.org/b", story.format(2)), (3, "http://h.org/a", story.format(1)), (4, "http://h.org/c", other), (5, None, other), (6, None, other)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    got = {r["page_id"]: r["text"] for r in pages.main_text(df, array_tokens=array_tokens).collect()}
+    river, day = "the river rose again over night and took the old bridge\n\nYes.", "a wholly different text of another day stands here\n\nYes."
+    assert got == {1: river, 2: river, 3: river, 4: day, 5: day, 6: day}
