@@ -71,11 +71,37 @@ def _window_hashes(tokens: Column, width: int) -> Column:
     return _let(F.transform(tokens, lambda t: F.xxhash64(t)), rolled)
 
 
+def _chains(at: Column, window: int) -> Column:
+    """(tokens, first) of all chains of runs in the sorted places of hits, longest first; more than half of a chain's windows are hits."""
+
+    def of(b: Column) -> Column:
+        """starts and ends: where in ``at`` each run of hits without a gap begins and ends."""
+        at, starts, ends = b["at"], b["starts"], b["ends"]
+
+        def chain(i: Column, j: Column) -> Column:
+            s, e = F.get(starts, i), F.get(ends, j)
+            return F.struct((F.get(at, e) - F.get(at, s) + window).alias("tokens"), F.get(at, s).alias("first"), (e - s + 1).alias("n"))
+
+        last = F.size(starts) - 1
+        all_ = F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(F.sequence(i, last), lambda j: chain(i, j))))
+        return F.sort_array(F.filter(all_, lambda c: c["n"] * 2 > c["tokens"] - window), False)
+
+    def runs(at: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(at) - 1)
+        return F.struct(
+            at.alias("at"),
+            F.filter(places, lambda k: (k == 0) | (F.get(at, k - 1) != F.get(at, k) - 1)).alias("starts"),
+            F.filter(places, lambda k: (k == F.size(at) - 1) | (F.get(at, k + 1) != F.get(at, k) + 1)).alias("ends"),
+        )
+
+    return _let(_let(at, runs), of)
+
+
 def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, min_words: int = MIN_WORDS, min_tokens: int = MIN_TOKENS) -> DataFrame:
     """Benchmark items that documents hold, whole or in part, word for word or with other slot values.
 
     Returns (doc_id, item_id, start_word, item_start, n_tokens, coverage, n_slots, n_changed, consistent): the
-    best alignment of each pair, kept if it has ``min_tokens`` tokens (or the item's all, if it has
+    best alignment of each pair (a run of matching windows or a chain of runs, over half of whose windows match), kept if it has ``min_tokens`` tokens (or the item's all, if it has
     fewer) and its slots are consistent. Items shorter than the window, null or empty texts on
     either side match nothing; a window with fewer than ``min_words`` plain words is no evidence.
     Null or repeated doc_ids match by id and text, so repeated rows give one result; repeated items
@@ -94,29 +120,36 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     key = F.xxhash64("doc_id", "text")
     windows = docs.where("text IS NOT NULL").select("doc_id", key.alias("doc_key"), F.posexplode(_window_hashes(template(words_of(F.col("text"))), window)).alias("dpos", "h"))
     hits = windows.join(F.broadcast(placed) if small else placed, "h")
-    lines = hits.groupBy("doc_id", "doc_key", "item_id", "item_text", "item_size", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.countDistinct("ipos").alias("n"), F.min("ipos").alias("first"), F.max("ipos").alias("last"))
-    tokens = F.col("last") - F.col("first") + window
-    enough = (tokens >= F.least(F.lit(min_tokens), F.col("item_size"))) & (F.col("n") * 2 > F.col("last") - F.col("first"))
-    lines = saved.save(lines.where(enough))
+    lines = hits.groupBy("doc_id", "doc_key", "item_id", "item_text", "item_size", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.sort_array(F.collect_set("ipos")).alias("at"))
+    lines = lines.select("*", _chains(F.col("at"), window).alias("chains")).drop("at")
+    lines = lines.withColumn("chains", F.filter("chains", lambda c: c["tokens"] >= F.least(F.lit(min_tokens), F.col("item_size"))))
+    lines = saved.save(lines.where(F.size("chains") > 0))
     wanted = lines.select("doc_key").distinct()
     texts = docs.where("text IS NOT NULL").withColumn("doc_key", key).join(wanted, "doc_key", "left_semi")
     texts = texts.groupBy("doc_key").agg(F.min("text").alias("text")).select("doc_key", words_of(F.col("text")).alias("dwords"))
     texts = texts.select("doc_key", "dwords", template(F.col("dwords")).alias("dtokens"))
     both = lines.join(texts, "doc_key").join(items.select("item_id", "item_text", "words", "tokens"), ["item_id", "item_text"])
-    spots = F.filter(F.sequence("first", F.col("last") + window - 1), lambda p: F.get("tokens", p).startswith("\u0001") & F.get("dtokens", p + F.col("shift")).eqNullSafe(F.get("tokens", p)))
     bare = lambda w: F.lower(F.rtrim(w, F.lit(_TRAIL)))
-    pairs = F.transform(spots, lambda p: F.struct(bare(F.get("words", p)).alias("a"), bare(F.get("dwords", p + F.col("shift"))).alias("b")))
-    both = both.select("doc_id", "item_id", "shift", "first", "last", "item_size", F.array_distinct(pairs).alias("pairs"))
-    a, b = (F.size(F.array_distinct(F.col(f"pairs.{side}"))) for side in "ab")
-    n = F.size("pairs")
-    agree = F.when(n == 0, F.lit(1.0)).otherwise(F.least(a, b) / n)
-    changed = F.size(F.filter("pairs", lambda x: x["a"] != x["b"]))
-    scored = both.select(
-        "doc_id", "item_id", (F.col("first") + F.col("shift")).cast("int").alias("start_word"), F.col("first").cast("int").alias("item_start"), (F.col("last") - F.col("first") + window).cast("int").alias("n_tokens"),
-        ((F.col("last") - F.col("first") + window) / F.col("item_size")).alias("coverage"), n.cast("int").alias("n_slots"), changed.cast("int").alias("n_changed"), agree.alias("consistent"),
-    )
-    scored = scored.where(F.col("consistent") >= MIN_CONSISTENT)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_tokens", "consistent", (-F.col("start_word")).alias("s"), (-F.col("item_start")).alias("i"), "coverage", "n_slots", "n_changed")).alias("m"))
+
+    def scored(c: Column) -> Column:
+        """The chain's score, or null if its slots are not consistent."""
+        slot = lambda p: F.get("tokens", p).startswith("\u0001") & F.get("dtokens", p + F.col("shift")).eqNullSafe(F.get("tokens", p))
+        spots = F.filter(F.sequence(c["first"], c["first"] + c["tokens"] - 1), slot)
+        pairs = F.array_distinct(F.transform(spots, lambda p: F.struct(bare(F.get("words", p)).alias("a"), bare(F.get("dwords", p + F.col("shift"))).alias("b"))))
+
+        def judged(pairs: Column) -> Column:
+            n = F.size(pairs)
+            distinct = lambda side: F.size(F.array_distinct(F.transform(pairs, lambda x: x[side])))
+            agree = F.when(n == 0, F.lit(1.0)).otherwise(F.least(distinct("a"), distinct("b")) / n)
+            changed = F.size(F.filter(pairs, lambda x: x["a"] != x["b"]))
+            return F.struct(c["tokens"].cast("int").alias("n_tokens"), agree.alias("consistent"), (-(c["first"] + F.col("shift"))).cast("int").alias("s"), (-c["first"]).cast("int").alias("i"), (c["tokens"] / F.col("item_size")).alias("coverage"), n.alias("n_slots"), changed.alias("n_changed"))
+
+        return _let(_let(pairs, judged), lambda m: F.when(m["consistent"] >= MIN_CONSISTENT, m))
+
+    # longest first: once one is consistent, only equally long ones are looked at
+    none = F.lit(None).cast("struct<n_tokens:int,consistent:double,s:int,i:int,coverage:double,n_slots:int,n_changed:int>")
+    m = F.aggregate("chains", none, lambda acc, c: F.when(acc.isNotNull() & (acc["n_tokens"] > c["tokens"]), acc).otherwise(_let(scored(c), lambda new: F.when(acc.isNull() | (new > acc), new).otherwise(acc))))
+    best = both.select("doc_id", "item_id", m.alias("m")).where("m IS NOT NULL").groupBy("doc_id", "item_id").agg(F.max("m").alias("m"))
     return best.select("doc_id", "item_id", (-F.col("m.s")).alias("start_word"), (-F.col("m.i")).alias("item_start"), "m.n_tokens", "m.coverage", "m.n_slots", "m.n_changed", "m.consistent")
 
 

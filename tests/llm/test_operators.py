@@ -426,3 +426,23 @@ def test_pages_with_copies(spark, array_tokens):
     got = {r["page_id"]: r["text"] for r in pages.main_text(df, array_tokens=array_tokens).collect()}
     river, day = "the river rose again over night and took the old bridge\n\nYes.", "a wholly different text of another day stands here\n\nYes."
     assert got == {1: river, 2: river, 3: river, 4: day, 5: day, 6: day}
+
+
+def test_leaks_in_parts(spark):
+    """Runs of an item stand for themselves: more leaked text or text in between hides none of them."""
+    rng = random.Random(3)
+    plain = lambda n: [rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice("bdfgklmnprst") + rng.choice("aeiou") + rng.choice("bdglmnrst") for _ in range(n)]
+    item = plain(140)
+    parts = item[:30] + plain(60) + item[90:100] + plain(5)
+    every = [w if (k + 1) % 14 else "zzz" for k, w in enumerate(item)]
+    torn = item[:8] + plain(20) + item[28:38] + plain(9)
+    names = "if Anna and Boris meet Clara then they all go to see Dora with".split()
+    swapped = "if Emil and Frank meet Greta then they all go to see Hanna with".split()
+    wrong = "if Emil and Emil meet Emil then they all go to see Emil with".split()
+    mixed = swapped + item[:1] + wrong + plain(3)
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(names + item[1:2] + names))], "item_id long, text string")
+    data = [(1, parts), (2, every), (3, torn), (4, item), (5, mixed)]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in data], "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["item_start"], r["n_tokens"]) for r in leaks.find_leaks(df, bench).collect()}
+    assert got[1, 1] == (0, 0, 30) and got[2, 1] == (0, 0, 55) and got[4, 1] == (0, 0, 140) and (3, 1) not in got
+    assert got[5, 2] == (0, 0, 14)
