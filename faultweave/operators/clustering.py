@@ -41,7 +41,8 @@ def cluster_signature(cases: DataFrame, k: int = 0) -> DataFrame:
 def grouped(spark, points: DataFrame, values: DataFrame, solve: Callable[[int, dict[str, np.ndarray]], np.ndarray]) -> DataFrame:
     """solve(n, columns of ``values``) on all points of ``points(case_id, ord)``, ranked 0..n-1; values' ``a`` and ``b`` are ords.
 
-    The one task that a sequential loop needs: it gets the pairs as columns, not as objects.
+    The one task that a sequential loop needs: it gets the pairs as columns, not as objects, after the
+    tasks that made them (they are dealt to one partition only then). No points give no rows.
     """
     ranked = points.select("case_id", "ord")
     cols = [c for c in values.columns if c not in ("a", "b")]
@@ -49,9 +50,10 @@ def grouped(spark, points: DataFrame, values: DataFrame, solve: Callable[[int, d
     rows = rows.unionByName(values.select(F.lit(1).alias("kind"), F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"), *[F.col(c).cast("double").alias(c) for c in cols]))
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(it))
-        if not t.num_rows:
+        batches = [rb for rb in it if rb.num_rows]
+        if not batches:
             return
+        t = pa.Table.from_batches(batches)
         kind, a, b = (t.column(c).to_numpy() for c in ("kind", "a", "b"))
         own = np.argsort(a[kind == 0], kind="stable")
         ords, ids = a[kind == 0][own], b[kind == 0][own]
@@ -59,7 +61,7 @@ def grouped(spark, points: DataFrame, values: DataFrame, solve: Callable[[int, d
         out = solve(len(ords), data)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ords), pa.array(out.astype(np.int32))], names=["case_id", "ord", "label"])
 
-    return rows.coalesce(1).mapInArrow(run, "case_id long, ord long, label int")
+    return rows.repartition(1).mapInArrow(run, "case_id long, ord long, label int")
 
 
 def by_matrix(cases: DataFrame, pairs: DataFrame, k: int, groups: Callable[[np.ndarray, int], list[list[int]]]) -> DataFrame:

@@ -53,7 +53,7 @@ def mismatch_distance() -> Column:
     ibex = F.when((ibex_a != "") & (ibex_a != ibex_b), 0.75).otherwise(0.0)
     spike = F.when((spike_a != "") & (spike_a != spike_b), 0.75).otherwise(0.0)
     length = F.when(len_a == len_b, 0.0).when(short_a | short_b, 0.95).otherwise(0.6)
-    context = 1.0 - overlap(*_pair("mismatch_context_mnemonics"))
+    context = 1.0 - F.col("places")
     flags = [("has_signature_loop", 0.80), ("has_repeating_tail", 0.35), ("early_mismatch", 0.70), ("same_reg_pair", 0.85)]
     loop, repeat, early, same = (_differs(n, by) for n, by in flags)
     uni_a, uni_b = _pair("tail_mnem_uniformity")
@@ -61,9 +61,9 @@ def mismatch_distance() -> Column:
     terms = [(0.18, ibex), (0.16, spike), (0.24, context), (0.14, length), (0.10, loop), (0.05, repeat), (0.04, F.abs(uni_a - uni_b)), (0.04, early), (0.05, same)]
     score = F.least(F.lit(1.0), reduce(lambda x, y: x + y, [w * d for w, d in terms]))
     raised = [(0.80, (ibex > 0) & (spike > 0)), (0.88, short_a != short_b), (0.82, loop > 0), (0.84, early > 0), (0.88, same > 0)]
-    for floor, when in raised:
-        score = F.when(when, F.greatest(score, F.lit(floor))).otherwise(score)
-    return F.when((spike_a != "") & (spike_a == spike_b), F.greatest(F.lit(0.0), score - 0.16)).otherwise(score)
+    # greatest() skips nulls: each floor counts where its condition holds, and the score is written once
+    score = F.greatest(score, *[F.when(when, F.lit(floor)) for floor, when in raised])
+    return F.greatest(F.lit(0.0), score - F.when((spike_a != "") & (spike_a == spike_b), F.lit(0.16)).otherwise(F.lit(0.0)))
 
 
 def cross_mode_distance() -> Column:
@@ -80,7 +80,7 @@ def cross_mode_distance() -> Column:
 def other_distance() -> Column:
     """Neither row is a mismatch."""
     (kind_a, kind_b), (set_a, set_b), (mode_a, mode_b) = _pair("sim_fatal_kind"), _pair("sim_error_asserts"), _pair("failure_mode")
-    alike = jaccard(set_a, set_b)
+    alike = F.col("alike")
     penalty = F.when(mode_a == mode_b, 0.0).when(alike >= 0.5, 0.15).otherwise(0.45)
     fatal, asserts = fatal_distance(kind_a, kind_b), 1.0 - alike
     known = lambda name: F.when((_pair(name)[0] == _pair(name)[1]) & (_pair(name)[0] != ""), 0.0).otherwise(0.35)
@@ -109,13 +109,17 @@ def blend(signature: Column, cosine_distance: Column) -> Column:
 
 
 def case_pairs(cases: DataFrame) -> DataFrame:
-    """Every pair of rows, the earlier one under ``a_``, the later under ``b_``.
+    """Every pair of rows, the earlier one under ``a_``, the later under ``b_``, with ``alike`` (their asserts) and ``places`` (their contexts).
 
-    The distance matrix is a value per pair by definition; callers collapse cases with one key first.
+    The distance matrix is a value per pair by definition.
     """
     a = cases.select(*[F.col(c).alias(f"a_{c}") for c in cases.columns])
     b = cases.select(*[F.col(c).alias(f"b_{c}") for c in cases.columns])
-    return a.join(b, F.col("a_ord") < F.col("b_ord"))
+    return _compared(a.join(b, F.col("a_ord") < F.col("b_ord")))
+
+
+def _compared(pairs: DataFrame) -> DataFrame:
+    return pairs.withColumn("alike", jaccard(*_pair("sim_error_asserts"))).withColumn("places", overlap(*_pair("mismatch_context_mnemonics")))
 
 
 def distance_pairs(cases: DataFrame, with_text: bool = True) -> DataFrame:
