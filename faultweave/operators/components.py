@@ -24,39 +24,74 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
+#: While this is on, a write's shuffle files go when the write is done, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Saved:
-    """Tables written to the shared folder: they cut lineage, survive lost executors and can be dropped early."""
+    """Tables written to the shared folder: they cut lineage, survive lost executors and can be dropped early.
+
+    What a table was made from is not needed once it is written, so its shuffle files go at once.
+    """
+
+    #: Every table of this process that is not dropped yet, oldest first.
+    live: list[tuple[Saved, DataFrame]] = []
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.frames = spark, shared_dir(spark), []
 
     def save(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/saved-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._saved_path = path
         self.frames.append(out)
+        Saved.live.append((self, out))
         return out
 
     def drop(self, df: DataFrame) -> None:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._saved_path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
         self.frames = [f for f in self.frames if f is not df]
+        Saved.live = [x for x in Saved.live if x[1] is not df]
 
     def drop_all(self) -> None:
         """Drops every table still there: for a caller that has saved what it made of them."""
         for df in list(self.frames):
             self.drop(df)
 
+    @classmethod
+    def drop_since(cls, count: int, but: DataFrame) -> None:
+        """Drops all tables saved after the first ``count`` live ones but one: for a caller that has saved what an operator made of its own tables."""
+        for saved, df in list(cls.live[count:]):
+            if df is not but:
+                saved.drop(df)
+
+
+#: Rows of one or two numbers that are broadcast at most; a larger set is joined by shuffle.
+MAX_BROADCAST = 2_000_000
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """``rows`` whose ``key`` is not in ``gone(key)``, a saved table of distinct numbers: its size is counted, and only a small one is broadcast, so rows move only beyond that."""
+    n = gone.count()
+    return rows if not n else rows.join(F.broadcast(gone) if n <= MAX_BROADCAST else gone, key, "left_anti")
+
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, saved: Saved | None = None) -> DataFrame:
     """Connected components of ``edges(a long, b long)`` as ``(node long, component long)``, component the smallest node.
 
     Alternating large-star and small-star steps: each node's neighbours are linked with the smallest
     one, so a hub of any degree costs a sum over its edges and never sits in one task as a list.
-    Isolated nodes do not appear. Null ends are ignored. Each round is written to the shared folder.
+    Isolated nodes do not appear. Null ends are ignored. Each round is written to the shared folder; the
+    last one stays there, in ``saved`` if it is given.
     """
-    saved = Saved(edges.sparkSession)
+    saved = saved or Saved(edges.sparkSession)
     pairs = edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b")
     now = saved.save(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
