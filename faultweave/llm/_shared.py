@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from faultweave.operators.components import Saved, components, shared_dir
+from faultweave.operators.components import MAX_BROADCAST, Saved, components, shared_dir, without
 
-__all__ = ["SPACE", "Saved", "components", "shared_dir", "shuffle_partitions", "table"]
+__all__ = ["MAX_BROADCAST", "SPACE", "Saved", "components", "shared_dir", "shuffle_partitions", "table", "without"]
 
 #: ASCII white space that separates words in every word-based operator.
 SPACE = "[ \\t-\\r]+"

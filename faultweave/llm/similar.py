@@ -184,7 +184,7 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
     sets = rows.where("is_null IS NULL")
     postings = sets.select("node", F.explode("keys").alias("key"))
     heads = postings.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
-    near = components(postings.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct())
+    near = components(postings.join(heads, "key").where("node <> head").select(F.col("node").alias("a"), F.col("head").alias("b")).distinct(), saved)
     near = saved.save(near)
     once = sets.groupBy("node").agg(F.first("shingles").alias("shingles"), F.first("n_shingles").alias("n")).join(near, "node")
     once = saved.save(once)
@@ -214,7 +214,7 @@ def similar_documents(documents: DataFrame, id_col: str = "doc_id", text_col: st
         yield from done()
 
     links = placed.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node").mapInArrow(search, "a long, b long")
-    joined = components(links)
+    joined = components(links, saved)
     names = members.where("node <> 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
     names = saved.save(names)
     least = names.groupBy("component").agg(F.min("least").alias("component_id"))
