@@ -23,11 +23,11 @@ from pyspark.sql import functions as F
 from faultweave.llm._shared import Saved, table
 
 SIZE, END_ID = 4096, 1
-#: Partners tried for each longest length; tokens a pattern may waste (each is tried, the shortest plan is taken; None: no pattern, for histograms of few large lengths where any costs more); rounds of the fit.
+#: Partners tried for each longest length; tokens a pattern may waste (each is tried, the shortest plan is taken; None: the patterns are best-fit's own sequences of two to four pieces); rounds of the fit.
 PARTNERS, WASTES, ROUNDS = 24, (16, 2, 0, None), 200
 #: Parts that a length's rows are ranked in, so that a common length is never one task.
 SALTS = 64
-_CACHE_CHUNKS, _CACHE_RUNS = 500_000, 700_000
+_CACHE_CHUNKS, _CACHE_RUNS, _CACHE_CHARS = 500_000, 700_000, 40_000_000
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -42,15 +42,26 @@ class Encoder:
     """Token ids of texts as little-endian uint32 bytes.
 
     The vocabulary drops white space and never joins over it, so a text's ids are those of its
-    space-separated chunks one after the other. It never joins a letter with what is no letter
-    either, but for contractions, so a chunk without an apostrophe is the ids of its runs. Both are
-    remembered, up to a bound, and new runs are encoded together.
+    space-separated chunks one after the other. A chunk of plain characters without an apostrophe is
+    also the ids of its runs of letters and of others. Plain are only characters whose lower case and
+    kind were found to be the tokenizer's own; every other chunk is encoded as it stands. Chunks and
+    runs are remembered, up to a bound, and new ones are encoded together.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.chunks, self.runs = Tokenizer.from_file(path), {"": b""}, {}
+        self.tokenizer, self.chunks, self.runs, self.chars = Tokenizer.from_file(path), {"": b""}, {}, 0
+        tried = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x530)) if chr(c) != "'" and self.alone(chr(c))]
+        whole = self.tokenizer.encode_batch([f"a{c}b{c}{c}" for c in tried], add_special_tokens=False)
+        parts = self.tokenizer.encode_batch([" ".join(_RUNS.findall(f"a{c}b{c}{c}".lower())) for c in tried], add_special_tokens=False)
+        plain = "".join(c for c, x, y in zip(tried, whole, parts, strict=True) if x.ids == y.ids)
+        self.plain = re.compile(f"[{re.escape(plain)}]*").fullmatch
+
+    @staticmethod
+    def alone(c: str) -> bool:
+        """Whether a character's lower case and normal form are one character whatever stands around it."""
+        return c != "\u03a3" and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c)
 
     def encode_all(self, runs: list[str]) -> None:
         if not runs:
@@ -62,23 +73,20 @@ class Encoder:
         for run, end in zip(runs, ends, strict=True):
             self.runs[run], start = raw[start:end], end
 
-    @staticmethod
-    def split(chunk: str) -> list[str]:
-        if "'" in chunk or "<|" in chunk or not unicodedata.is_normalized("NFC", chunk):
+    def split(self, chunk: str) -> list[str]:
+        if "<|" in chunk or not self.plain(chunk):
             return [chunk]
-        # letter by letter lower case, as the vocabulary has it: the two that differ in context stay as they are
-        return _RUNS.findall(chunk if "\u03a3" in chunk or "\u0130" in chunk else chunk.lower())
+        return _RUNS.findall(chunk.lower())
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > _CACHE_CHUNKS:
-            self.chunks = {"": b""}
-        if len(self.runs) > _CACHE_RUNS:
-            self.runs = {}
+        if len(self.chunks) > _CACHE_CHUNKS or len(self.runs) > _CACHE_RUNS or self.chars > _CACHE_CHARS:
+            self.chunks, self.runs, self.chars = {"": b""}, {}, 0
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         known = self.chunks
         new = {c: self.split(c) for c in {c for cs in split for c in cs if c not in known}}
         self.encode_all(list({r for rs in new.values() for r in rs if r not in self.runs}))
         runs = self.runs
+        self.chars += sum(map(len, new))
         for c, rs in new.items():
             known[c] = runs[rs[0]] if len(rs) == 1 else b"".join([runs[r] for r in rs])
         return [b"".join([known[c] for c in cs]) for cs in split]
@@ -129,21 +137,27 @@ def _patterns(lengths: np.ndarray, size: int, waste: int) -> np.ndarray:
     return np.array([p + (-1,) * (4 - len(p)) for p in sorted(out)], np.int64).reshape(-1, 4)
 
 
-def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
+def fit_counts(patterns: np.ndarray, histogram: np.ndarray, rounds: int = ROUNDS, start: np.ndarray | None = None) -> np.ndarray:
     """x >= 0 that brings the patterns' lengths near the histogram in least squares, by multiplicative updates."""
     n, valid = len(histogram), patterns >= 0
     at = np.where(valid, patterns, n)
     up = lambda v: np.append(v, 0.0)[at].sum(axis=1)  # noqa: E731  A^T v
     down = lambda x: np.bincount(at.ravel(), np.repeat(x, 4), n + 1)[:n]  # noqa: E731  A x
-    want = up(histogram.astype(float))
-    x = np.full(len(patterns), max(1.0, histogram.sum()) / max(1, len(patterns)) / 3)
+    if start is None:
+        start = np.full(len(patterns), max(1.0, histogram.sum()) / max(1, len(patterns)) / 3)
+    else:
+        histogram = down(start)  # what these patterns are to hold
+    want, x = up(histogram.astype(float)), start.astype(float)
     for _ in range(rounds):
         x *= want / np.maximum(up(down(x)), 1e-12)
     return x
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[int, list[int]]]:
-    """[(how many sequences, their lengths)] that hold every length as often as the histogram says, in as few sequences as any tried waste gives."""
+    """[(how many sequences, their lengths)] that hold every length as often as the histogram says, in as few sequences as any tried set of patterns gives.
+
+    With best-fit's own patterns the plan is best-fit's, so it is never longer than that.
+    """
     return min((_plan(histogram, size, waste) for waste in WASTES), key=lambda groups: sum(m for m, _ in groups))
 
 
@@ -152,19 +166,39 @@ def _plan(histogram: dict[int, int], size: int, waste: int | None) -> list[tuple
     groups: list[tuple[int, list[int]]] = [(left.pop(size), [size])] if size in left else []
     lengths = np.array(sorted(left), np.int64)
     open_: dict[int, list[tuple[int, list[int]]]] = {}
-    if len(lengths) and waste is not None:
-        patterns = _patterns(lengths, size, waste)
-        if len(patterns):
-            x = fit_counts(patterns, np.array([left[n] for n in lengths.tolist()]))
-            for k in np.argsort(-x, kind="stable"):
-                if x[k] < 0.5:
-                    break
-                held = [int(lengths[i]) for i in patterns[k] if i >= 0]
-                m = min(round(x[k]), *(left[n] // held.count(n) for n in held))
-                if m > 0:
-                    for n in held:
-                        left[n] -= m
-                    open_.setdefault(size - sum(held), []).append((m, held))
+    if waste is None:
+        patterns, start = _own_patterns(lengths, _best_fit(dict(left), size, {}))
+    else:
+        patterns, start = _patterns(lengths, size, waste), None
+    if len(patterns):
+        x = fit_counts(patterns, np.array([left[n] for n in lengths.tolist()]), start=start)
+        for k in np.argsort(-x, kind="stable"):
+            if x[k] < 0.5:
+                break
+            held = [int(lengths[i]) for i in patterns[k] if i >= 0]
+            m = min(round(x[k]), *(left[n] // held.count(n) for n in held))
+            if m > 0:
+                for n in held:
+                    left[n] -= m
+                open_.setdefault(size - sum(held), []).append((m, held))
+    if waste is None:
+        return groups + [g for gs in open_.values() for g in gs] + _best_fit(left, size, {})
+    return groups + _best_fit(left, size, open_)
+
+
+def _own_patterns(lengths: np.ndarray, groups: list[tuple[int, list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct sequences of two to four pieces as patterns, and how often each occurs."""
+    at, found = {int(n): i for i, n in enumerate(lengths)}, {}
+    for m, held in groups:
+        if 2 <= len(held) <= 4:
+            key = tuple(sorted((at[n] for n in held), reverse=True))
+            found[key] = found.get(key, 0) + m
+    rows = sorted(found)
+    return np.array([r + (-1,) * (4 - len(r)) for r in rows], np.int64).reshape(-1, 4), np.array([found[r] for r in rows], float)
+
+
+def _best_fit(left: dict[int, int], size: int, open_: dict[int, list[tuple[int, list[int]]]]) -> list[tuple[int, list[int]]]:
+    """All sequences once the lengths that are left are put, longest first, where least room stays."""
     frees = sorted(open_)
     for n in sorted((n for n, c in left.items() if c), reverse=True):
         c = left[n]
@@ -186,7 +220,7 @@ def _plan(histogram: dict[int, int], size: int, waste: int | None) -> list[tuple
                 _open(open_, frees, free, (m - t, held))
             _open(open_, frees, free - n, (t, [*held, n]))
             c -= t
-    return groups + [g for gs in open_.values() for g in gs]
+    return [g for gs in open_.values() for g in gs]
 
 
 def _open(open_: dict, frees: list[int], free: int, group: tuple[int, list[int]]) -> None:

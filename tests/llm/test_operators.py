@@ -160,6 +160,41 @@ def test_packing(docs, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_encoder_equals_the_tokenizer():
+    """Random Unicode texts, and every character of the first plane among others."""
+    from tokenizers import Tokenizer
+
+    path = packing.default_vocabulary()
+    own, tk, rng = packing.Encoder(path), Tokenizer.from_file(path), random.Random(1)
+    ascii_ = [chr(c) for c in range(32, 127)] + list(" \t\n\r'") * 6
+    odd = "\u0130\u03a3\u03c3\u0338\u0301\u1c8a\u00b2\u00a0\u2003\u0085\x0b\x1c\u200b\u1e9e\ufb01\uac00\u1100"
+    any_ = lambda: chr(c) if not 0xD800 <= (c := rng.randrange(0x80, 0x30000)) < 0xE000 else "z"
+    char = lambda: rng.choice([rng.choice(ascii_), rng.choice(ascii_), rng.choice(ascii_), chr(rng.randrange(0x80, 0x600)), rng.choice(odd), any_()])
+    texts = ["".join(char() for _ in range(rng.randint(1, 24))) for _ in range(100_000)]
+    plane = [chr(c) for c in range(0x21, 0x10000) if not 0xD800 <= c < 0xE000]
+    texts += [shape.replace("{}", c) for c in plane for shape in ("a{}b", ".{}'{}s")] + ["<|endoftext|>", "a<|startoftext|>b c", "x <| 's don't it'll"]
+    for i in range(0, len(texts), 1000):
+        part = texts[i : i + 1000]
+        want = [np.array(e.ids, "<u4").tobytes() for e in tk.encode_batch(part, add_special_tokens=False)]
+        assert own(part) == want
+
+
+def test_plans_hold_every_length_and_use_patterns():
+    rng = random.Random(7)
+    for _ in range(40):
+        size = rng.choice([100, 1000])
+        h = {rng.randint(1, size if rng.random() < 0.7 else size // 10): rng.randint(1, rng.choice([2, 50])) for _ in range(rng.randint(1, 60))}
+        left, plain = dict(h), packing._best_fit(dict(h), size, {})
+        for waste in packing.WASTES:
+            groups, held = packing._plan(left, size, waste), Counter()
+            for m, g in groups:
+                assert m > 0 and sum(g) <= size
+                for n in g:
+                    held[n] += m
+            assert held == Counter(h)
+        assert sum(m for m, _ in groups) == sum(m for m, _ in plain)  # the last one: best-fit's own patterns
+
+
 def test_plan_holds_every_length():
     rng = random.Random(1)
     for _ in range(20):
@@ -257,7 +292,8 @@ def test_repeats(docs, empty):
                     runs.append([k, k + 50])
         want += [(d[0], a, b) for a, b in runs]
     assert rows(repeats.repeated_passages(docs), "doc_id", "start_word", "end_word") == sorted(want, key=str)
-    assert rows(repeats.repeated_passages(docs, group=1), "doc_id", "start_word", "end_word")
+    for group in (1, 20):
+        assert rows(repeats.repeated_passages(docs, group=group), "doc_id", "start_word", "end_word") == sorted(want, key=str)
     assert repeats.repeated_passages(empty).count() == 0
 
 
