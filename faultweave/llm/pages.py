@@ -28,41 +28,57 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*+)>|<[/!?a-zA-Z][^>]*(?:>|\Z)",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop|style)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 _DROPPED = frozenset("nav aside form footer head menu dialog fieldset".split())
+#: Class names and ids that are boilerplate, whole or as the last or first part of a name with hyphens.
 _MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices banner popup modal newsletter subscribe signup login search share sharing social related recommended comment comments respond replies disqus widget pagination pager copyright".split()
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr popup modal newsletter share sharing related recommended comment comments replies disqus pagination pager".split()
 )
+#: The same, but not as the first part, and inside an article only where the element has no other class.
+_LOOSE_MARKS = frozenset("header notice notices banner search subscribe signup login social respond widget copyright".split())
+#: Names of parts of the page's frame: an article inside is the article all the same.
+_FRAME = frozenset("header masthead sidebar search banner menu nav navbar navigation widget notice notices login signup social".split())
+_NOT_A_MARK = frozenset("has no with without is not".split())
+_ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar".split())
 _SHUT = frozenset("article main nav aside footer header form section div table body html ul ol".split())
+#: What an element is: dropped with all it holds; dropped but for articles, by a strong mark or a part of the frame; not marked; an article, one inside a part of the frame, one inside a strong mark.
+_GONE, _MARKED, _FRAMED, _OPEN, _ARTICLE, _ARTICLE_IN_FRAME, _ARTICLE_IN_MARK = 0, -1, -2, 1, 2, 3, 4
 
 
 def blocks(page: str | None) -> list[tuple[int, str]]:
-    """(kind, text) of a page's text blocks in order; kind 0: boilerplate by markup, 1: not marked, 2: article."""
+    """(kind, text) of a page's text blocks in order; kind 0: boilerplate by markup, 1: not marked, 2: the article.
+
+    Text of marked inline elements is no part of its block. Without an article, one inside a part of
+    the page's frame counts as it, and if nothing else holds text, one inside any mark.
+    """
     page = page or ""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int]] = []
-    kind, held, at = 1, [], 0
+    kind, held, at = _OPEN, [], 0
 
     def close() -> None:
-        text = " ".join(entities.unescape("".join(held)).split())
+        best = max((k for k, _ in held), default=_GONE)
+        text = " ".join(entities.unescape("".join(t for k, t in held if k > 0 or best <= 0)).split())
+        if not text and best > 0:
+            best, text = _GONE, " ".join(entities.unescape("".join(t for _, t in held)).split())
         held.clear()
         if text:
-            out.append((kind, text))
+            out.append((max(best, _GONE), text))
 
     for m in _TOKEN.finditer(page):
         if m.start() > at:
-            held.append(page[at : m.start()])
+            held.append((kind, page[at : m.start()]))
         at = m.end()
         name = m[3]
         if name is None:
             continue
         name = name.lower()
         if name == "br":
-            held.append(" ")
+            held.append((kind, " "))
             continue
         if name in _BLOCK:
             close()
@@ -81,42 +97,73 @@ def blocks(page: str | None) -> list[tuple[int, str]]:
                         break
                     if stack[k][0] in _SHUT:
                         break
-            own = stack[-1][1] if stack else 1
-            if own:
+            own = stack[-1][1] if stack else _OPEN
+            if own != _GONE:
                 own = _kind(name, m[4], own)
             stack.append((name, own))
         else:
             continue
-        kind = stack[-1][1] if stack else 1
+        kind = stack[-1][1] if stack else _OPEN
     if at < len(page):
-        held.append(page[at:])
+        held.append((kind, page[at:]))
     close()
-    return out
+    kinds = {k for k, _ in out}
+    article = _ARTICLE if _ARTICLE in kinds else _ARTICLE_IN_FRAME if _ARTICLE_IN_FRAME in kinds else _GONE if _OPEN in kinds else _ARTICLE_IN_MARK
+    return [(_ARTICLE if k == article and k else k if k <= _OPEN else _GONE, text) for k, text in out]
+
+
+def _mark(value: str, inside: bool) -> int:
+    """What class names or an id say: _OPEN, _FRAMED or _MARKED."""
+    names, found = value.lower().split(), _OPEN
+    for name in names:
+        parts = re.split(r"[-_]+", name.strip("-_"))
+        last = parts[-1]
+        if parts[0] in _NOT_A_MARK:
+            continue
+        if last in _LOOSE_MARKS and not (inside and (last == "header" or len(names) > 1)):
+            word = last
+        elif last in _MARKS:
+            word = last
+        elif parts[0] in _MARKS:
+            word = parts[0]
+        else:
+            continue
+        if word not in _FRAME:
+            return _MARKED
+        found = _FRAMED
+    return found
 
 
 def _kind(name: str, attributes: str, own: int) -> int:
-    if name in _DROPPED or (name == "header" and own != 2):
-        return 0
-    article = name in ("article", "main")
+    inside = own >= _ARTICLE
+    if name in _DROPPED or (name == "header" and not inside):
+        return _GONE
+    article, main, marked = name == "article", name == "main", _OPEN
     if "=" in attributes or "hidden" in attributes:
-        for key, a, b, c, hidden in _ATTRIBUTE.findall(attributes):
-            value, key = (a or b or c).lower(), key.lower()
-            if hidden:
-                return 0
+        for key, a, b, c in _ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), a or b or c
+            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+                return _GONE
             if key == "style":
-                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                    return 0
+                if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+                    return _GONE
             elif key in ("class", "id"):
-                marks = set(re.split(r"[^a-z0-9]+", value))
-                if marks & _MARKS or ("header" in marks and own != 2 and not article):
-                    return 0
+                if name not in ("html", "body"):
+                    marked = min(marked, _mark(value, inside), key=(_MARKED, _FRAMED, _OPEN).index)
             elif key == "role":
-                if value in ("navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "form", "menu", "menubar"):
-                    return 0
-                article = article or value in ("main", "article")
+                value = value.strip().lower()
+                if value in _ROLES:
+                    return _GONE
+                article, main = article or value == "article", main or value == "main"
             elif key == "itemprop":
-                article = article or value == "articlebody"
-    return 2 if article else own
+                article = article or value.strip().lower() == "articlebody"
+    if article or main:
+        if marked == _MARKED and not main:
+            return _MARKED
+        if own == _FRAMED or (own == _MARKED and main):
+            return _ARTICLE_IN_FRAME
+        return _ARTICLE_IN_MARK if own == _MARKED else own if inside else _ARTICLE
+    return own if marked == _OPEN or own == _MARKED else marked
 
 
 def suffix_array(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

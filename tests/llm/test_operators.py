@@ -332,6 +332,61 @@ def test_pages(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<article><p>Hello <span class="ad">BUY NOW</span> world</p></article>', "Hello world"),
+        ('<article><p>Story text <span class="ad">Buy</p><p>more</p></article>', "Story text\n\nmore"),
+        ('<body class="has-sidebar search"><article><p>x y</p></article></body>', "x y"),
+        ('<div class="page-header"><article><p>in</p></article></div>', "in"),
+        ('<article><section id="notice-period"><p>keep</p></section><table class="search results"><tr><td>cell</td></tr></table><div class="notice">n</div></article>', "keep\n\ncell"),
+        ('<div class="ad">buy<article><p>not closed above</p></article>', "not closed above"),
+        ('<div class="related"><article>teaser</article></div><div><p>main text</p></div>', "main text"),
+        ('<div class="comments"><article class="comment">c</article><main><p>m</p></main></div>', "m"),
+        ('<article><p>a</p><article class="comment"><p>c</p></article><div id="comments"><p>r</p></div></article>', "a"),
+        ('<p data-x="hidden menu">seen</p><p hidden>h</p><div aria-hidden="true">no</div><div style="display: NONE">no</div>', "seen"),
+        ('<p>Read <a class="share" href="#">Share this</a>on</p><div class="site-footer">f</div><div class="ad-box">a</div><div class="shadow">adverse</div>', "Read on\n\nadverse"),
+        ("<script>var x='<p>';</script><style>p{}</style><!-- <p>no</p> --><p>a&nbsp;b &lt;i&gt; &#233;</p>", "a b <i> é"),
+    ],
+)
+def test_page_marks(page, text):
+    found = pages.blocks(page)
+    best = max(k for k, _ in found)
+    assert "\n\n".join(t for k, t in found if k == best) == text
+
+
+def test_repeated_against_all_substrings():
+    rng = random.Random(6)
+    for _ in range(60):
+        streams = [[rng.choice("abc") for _ in range(rng.randint(0, 14))] for _ in range(rng.randint(1, 6))]
+        low = [rng.randint(0, 3) for _ in streams]
+        high = [x + rng.choice([0, 0, 1]) for x in low]
+        least = rng.randint(2, 4)
+        owners = {}
+        for s, words_ in enumerate(streams):
+            for k in range(len(words_) - least + 1):
+                owners.setdefault(tuple(words_[k : k + least]), set()).update((low[s], high[s]))
+        want = []
+        for words_ in streams:
+            inside = {j for k in range(len(words_) - least + 1) if len(owners[tuple(words_[k : k + least])]) > 1 for j in range(k, k + least)}
+            want.append(len(inside) / len(words_) if words_ else 0.0)
+        assert pages.repeated(streams, low, least, high) == pytest.approx(want)
+
+
+def test_pages_query(spark, tmp_path):
+    """The registered query's columns, with nulls, repeats and columns whose names the operator uses itself."""
+    loose = "<html><body><div><p>Join our weekly letter and never miss a thing</p></div><div><p>{}</p></div></body></html>"
+    data = [(1, "http://h.org/a", PAGE), (2, None, None), (None, "http://h.org/c", loose.format("one own text")), (5, "http://h.org/d", loose.format("second own words")), (1, "http://h.org/a", PAGE)]
+    (tmp_path / "d").mkdir()
+    frame = spark.createDataFrame([(*r, "h", 3, "b", 4, "k") for r in data], "page_id long, url string, html string, host string, page int, block string, kind int, text string")
+    frame.repartition(2).write.parquet(str(tmp_path / "d/pages.parquet"))
+    got = pages.op9_pages(spark, str(tmp_path / "d"))
+    assert got.dtypes == [("page_id", "bigint"), ("url", "string"), ("text", "string"), ("n_chars", "bigint")]
+    want = [(1, "http://h.org/a", (t := "A & B\n\none two three\n\ncafé <x> end"), len(t))] * 2
+    want += [(2, None, "", 0), (None, "http://h.org/c", "one own text", 12), (5, "http://h.org/d", "second own words", 16)]
+    assert rows(got, "page_id", "url", "text", "n_chars") == sorted(want, key=str)
+
+
 def test_suffix_array_against_sorting():
     rng = random.Random(0)
     for _ in range(60):
