@@ -7,6 +7,8 @@ map one to one between item and document. So a question asked again with other n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +20,14 @@ MIN_CONSISTENT = 0.8
 #: Benchmark windows that are broadcast at most (16 bytes and a few each); a larger set is joined by shuffle.
 MAX_BROADCAST = 1_000_000
 UNITS = "mm cm m km in ft yd mi mg g kg t lb oz ml l s sec min h hr day days week weeks month months year years hour hours minute minutes second seconds meter meters metre metres mile miles gram grams kilogram kilograms litre litres liter liters dollar dollars euro euros cent cents pound pounds percent degree degrees".split()
+#: Numbers in words, and words that start a sentence without being a name.
+NUMBERS = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen".split()
+STARTERS = (
+    "a about above according add after all also although an and another any are as ask assume at based because before below between both but by calculate can choose compare complete compute consider could decide define describe determine "
+    "did do does during each either every evaluate explain express fill find first for from give given has have he hence her here his how however i identify if in into is it its last let list many match may most multiply my name "
+    "no not now of on only or other our out over please prove put read round select she should show simplify since so solve some state subtract such suppose tell than that the their them then there therefore these they this those though "
+    "thus to translate true under until use using was we were what when where whether which while who whom whose why will with without would write yes you your"
+).split()
 _TRAIL, _LEAD = ".,;:!?\"')]}", "\"'([{"
 NUM, NAME, UNIT = "\u0001num", "\u0001name", "\u0001unit"
 
@@ -34,31 +44,37 @@ def _let(value: Column, body) -> Column:
 def template(words: Column) -> Column:
     """Each word's template token: a placeholder, or the word in lower case without outer punctuation.
 
-    A number starts with a digit (or a sign or currency and a digit); a unit is a word of UNITS right
-    after a number; a name is an ASCII capital and a small letter on, where no sentence starts (so text all in capitals has no names).
+    A number starts with a digit (or a sign or currency and a digit) or is one of NUMBERS; a unit is a
+    word of UNITS right after a number; a name is an ASCII capital and a small letter on (so text all in
+    capitals has no names), where a sentence starts only if it is none of STARTERS.
     """
     digit = lambda c: (c >= "0") & (c < ":")
 
     def canons(both: Column) -> Column:
-        words, cores = both["words"], both["cores"]
+        words, cores, lows, numbers = both["words"], both["cores"], both["lows"], both["numbers"]
 
         def canon(w: Column, i: Column) -> Column:
-            before, second = F.get(words, i - 1), F.substring(w, 2, 1)
-            number = digit(w) | (F.substring(w, 1, 1).isin("$", "+", "-", "€", "£") & digit(F.substring(w, 2, 1)))
-            starts = (i == 0) | F.substring(F.rtrim(before, F.lit("\"')]}")), -1, 1).isin(".", "!", "?", ":")
+            low, second = F.get(lows, i), F.substring(w, 2, 1)
+            starts = (i == 0) | F.substring(F.rtrim(F.get(words, i - 1), F.lit("\"')]}")), -1, 1).isin(".", "!", "?", ":")
             return (
-                F.when(number, F.lit(NUM))
-                .when((w >= "A") & (w < "[") & (second != "") & (second == F.lower(second)) & ~starts, F.lit(NAME))
-                .when(digit(before) & F.lower(w).isin(UNITS), F.lit(UNIT))
+                F.when(F.get(numbers, i), F.lit(NUM))
+                .when((w >= "A") & (w < "[") & (second != "") & (second == F.lower(second)) & ~(starts & low.isin(STARTERS)), F.lit(NAME))
+                .when(F.get(numbers, i - 1) & low.isin(UNITS), F.lit(UNIT))
                 .when(w == "", F.get(words, i))
-                .otherwise(F.lower(w))
+                .otherwise(low)
             )
 
         return F.transform(cores, canon)
 
+    def number(w: Column, low: Column) -> Column:
+        return digit(w) | (F.substring(w, 1, 1).isin("$", "+", "-", "€", "£") & digit(F.substring(w, 2, 1))) | low.isin(NUMBERS)
+
     bare = lambda w: F.ltrim(F.rtrim(w, F.lit(_TRAIL)), F.lit(_LEAD))
-    # the words are named once: a lambda that held their expression would compute them again for every word
-    return _let(_let(words, lambda ws: F.struct(ws.alias("words"), F.transform(ws, bare).alias("cores"))), canons)
+    # each array is named once: a lambda that held its expression would compute it again for every word
+    cores = _let(words, lambda ws: F.struct(ws.alias("words"), F.transform(ws, bare).alias("cores")))
+    lows = _let(cores, lambda x: F.struct(x["words"].alias("words"), x["cores"].alias("cores"), F.transform(x["cores"], lambda w: F.lower(w)).alias("lows")))
+    both = _let(lows, lambda x: F.struct(x["words"].alias("words"), x["cores"].alias("cores"), x["lows"].alias("lows"), F.zip_with(x["cores"], x["lows"], number).alias("numbers")))
+    return _let(both, canons)
 
 
 def _window_hashes(tokens: Column, width: int) -> Column:
@@ -71,7 +87,7 @@ def _window_hashes(tokens: Column, width: int) -> Column:
     return _let(F.transform(tokens, lambda t: F.xxhash64(t)), rolled)
 
 
-def _chains(at: Column, window: int) -> Column:
+def _chains(at: Column, window: Column) -> Column:
     """(tokens, first) of all chains of runs in the sorted places of hits, longest first; more than half of a chain's windows are hits."""
 
     def of(b: Column) -> Column:
@@ -102,8 +118,9 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
 
     Returns (doc_id, item_id, start_word, item_start, n_tokens, coverage, n_slots, n_changed, consistent): the
     best alignment of each pair (a run of matching windows or a chain of runs, over half of whose windows match), kept if it has ``min_tokens`` tokens (or the item's all, if it has
-    fewer) and its slots are consistent. Items shorter than the window, null or empty texts on
-    either side match nothing; a window with fewer than ``min_words`` plain words is no evidence.
+    fewer) and its slots are consistent. An item shorter than the window is one window of its own
+    length and must be found word for word. Null or empty texts on either side match nothing; a
+    window with fewer than ``min_words`` plain words is no evidence, so an item without one matches nothing.
     Null or repeated doc_ids match by id and text, so repeated rows give one result; repeated items
     with one id count as one where equal; empty tables give no rows; other columns are ignored.
     """
@@ -112,16 +129,23 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text")).where("text IS NOT NULL").distinct()
     items = items.select("item_id", words_of(F.col("text")).alias("words")).select("item_id", "words", template(F.col("words")).alias("tokens"))
-    items = saved.save(items.select("item_id", F.xxhash64("words").alias("item_text"), "words", "tokens").where(F.size("tokens") >= window))
-    placed = items.select("item_id", "item_text", "tokens", F.size("tokens").alias("item_size"), F.posexplode(_window_hashes(F.col("tokens"), window)).alias("ipos", "h"))
+    items = saved.save(items.select("item_id", F.xxhash64("words").alias("item_text"), "words", "tokens").where(F.size("tokens") >= min_words))
+    long, shorts = F.size("tokens") >= window, range(min(window, max(1, min_words)), window)
+    hashes = F.when(long, _window_hashes(F.col("tokens"), window))
+    for width in shorts:
+        hashes = hashes.when(F.size("tokens") == width, _window_hashes(F.col("tokens"), width))
+    placed = items.select("item_id", "item_text", "tokens", F.size("tokens").alias("item_size"), F.posexplode(hashes).alias("ipos", "h"))
     plain = F.size(F.filter(F.slice("tokens", F.col("ipos") + 1, F.lit(window)), lambda t: ~t.startswith("\u0001")))
     placed = saved.save(placed.where(plain >= min_words).select("h", "item_id", "item_text", "item_size", "ipos"))
-    small = placed.count() <= MAX_BROADCAST
+    widths = {r["w"]: r["n"] for r in placed.groupBy(F.least(F.lit(window), "item_size").alias("w")).agg(F.count("*").alias("n")).collect()}
+    small = sum(widths.values()) <= MAX_BROADCAST
     key = F.xxhash64("doc_id", "text")
-    windows = docs.where("text IS NOT NULL").select("doc_id", key.alias("doc_key"), F.posexplode(_window_hashes(template(words_of(F.col("text"))), window)).alias("dpos", "h"))
+    tokens = docs.where("text IS NOT NULL").select("doc_id", key.alias("doc_key"), template(words_of(F.col("text"))).alias("tokens"))
+    # short items are rare: their lengths are looked for only where the benchmark has them
+    windows = reduce(DataFrame.union, [tokens.select("doc_id", "doc_key", F.posexplode(_window_hashes(F.col("tokens"), width)).alias("dpos", "h")) for width in sorted({window, *widths})])
     hits = windows.join(F.broadcast(placed) if small else placed, "h")
     lines = hits.groupBy("doc_id", "doc_key", "item_id", "item_text", "item_size", (F.col("dpos") - F.col("ipos")).alias("shift")).agg(F.sort_array(F.collect_set("ipos")).alias("at"))
-    lines = lines.select("*", _chains(F.col("at"), window).alias("chains")).drop("at")
+    lines = lines.select("*", _chains(F.col("at"), F.least(F.lit(window), F.col("item_size"))).alias("chains")).drop("at")
     lines = lines.withColumn("chains", F.filter("chains", lambda c: c["tokens"] >= F.least(F.lit(min_tokens), F.col("item_size"))))
     lines = saved.save(lines.where(F.size("chains") > 0))
     wanted = lines.select("doc_key").distinct()
@@ -144,7 +168,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id
             changed = F.size(F.filter(pairs, lambda x: x["a"] != x["b"]))
             return F.struct(c["tokens"].cast("int").alias("n_tokens"), agree.alias("consistent"), (-(c["first"] + F.col("shift"))).cast("int").alias("s"), (-c["first"]).cast("int").alias("i"), (c["tokens"] / F.col("item_size")).alias("coverage"), n.alias("n_slots"), changed.alias("n_changed"))
 
-        return _let(_let(pairs, judged), lambda m: F.when(m["consistent"] >= MIN_CONSISTENT, m))
+        return _let(_let(pairs, judged), lambda m: F.when((m["consistent"] >= MIN_CONSISTENT) & ((F.col("item_size") >= window) | (m["n_changed"] == 0)), m))
 
     # longest first: once one is consistent, only equally long ones are looked at
     none = F.lit(None).cast("struct<n_tokens:int,consistent:double,s:int,i:int,coverage:double,n_slots:int,n_changed:int>")

@@ -519,6 +519,46 @@ def test_pages_with_copies(spark, array_tokens):
     assert got == {1: river, 2: river, 3: river, 4: day, 5: day, 6: day}
 
 
+def test_leaks_of_short_items_and_names_at_the_start(spark):
+    short, question = "Who painted the large old ceiling", "Anna has 12 apples and sells 5 of them so how many remain"
+    bench = spark.createDataFrame([(1, short), (2, question), (3, "two words"), (4, "Which river flows through old Vienna"), (5, None), (6, "")], "item_id long, text string")
+    texts = [
+        "then he asked who painted the large old ceiling, and left", "Clara has 40 apples and sells 7 of them so how many remain", "He said: Boris has forty apples and sells seven of them so how many remain?",
+        "who painted the large new ceiling", "two words", "Which river flows through old Prague", "so: which river flows through old Vienna", "", None, "Anna has", "Clara sells 40 apples and has 7 of them so how many remain",
+    ]
+    df = spark.createDataFrame([(i, t, *CLASH) for i, t in enumerate(texts)], "doc_id long, text string, row long, base string, item_id long, cls string, score double")
+    got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["n_tokens"], r["n_changed"]) for r in leaks.find_leaks(df, bench).collect()}
+    assert got == {(0, 1): (3, 6, 0), (1, 2): (0, 13, 3), (2, 2): (2, 13, 3), (6, 4): (1, 6, 0)}
+
+
+def plain_template(text):
+    ws, out = [w for w in re.split("[ \\t-\\r]+", text) if w], []
+    cores = [w.rstrip(".,;:!?\"')]}").lstrip("\"'([{") for w in ws]
+    number = lambda w: bool(re.match(r"[-+$€£]?[0-9]", w)) or w.lower() in leaks.NUMBERS
+    for i, w in enumerate(cores):
+        start = i == 0 or ws[i - 1].rstrip("\"')]}")[-1:] in list(".!?:")
+        if number(w):
+            out.append(leaks.NUM)
+        elif re.match("[A-Z]", w) and len(w) > 1 and w[1] == w[1].lower() and not (start and w.lower() in leaks.STARTERS):
+            out.append(leaks.NAME)
+        elif i and number(cores[i - 1]) and w.lower() in leaks.UNITS:
+            out.append(leaks.UNIT)
+        else:
+            out.append(w.lower() or ws[i])
+    return out
+
+
+def test_templates_equal_plain_ones(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    bits = ["Anna", "the", "The", "12", "$5", "-3", "km", "km.", "forty", "Forty", "hours", "said:", "end.", "(Boris)", "\"If", "USA", "é", "...", "x!", "apples,", "€7", "+", "-", "A", "Ab"]
+    texts = [" ".join(rng.choice(bits) for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    for t, got in df.select("t", leaks.template(leaks.words_of(F.col("t")))).collect():
+        assert got == plain_template(t), t
+
+
 def test_leaks_in_parts(spark):
     """Runs of an item stand for themselves: more leaked text or text in between hides none of them."""
     rng = random.Random(3)
