@@ -8,6 +8,8 @@ seeds, if it has the shape of that kind, is added.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,7 +27,9 @@ PATTERNS = {
 CANDIDATE = r"(?<![A-Za-z0-9@._%+-])(?=[A-Za-z._%+-]*+[0-9@])[A-Za-z0-9@._%+-]{6,}+"
 #: And groups of digits, bare or in brackets, that single blanks, dots or hyphens join: one span. It starts only where no such group goes on.
 GROUPS = r"(?<![A-Za-z0-9@._%+-])(?<![0-9)][\x20.-])(?:\([0-9]++\)|[0-9]++)(?:[\x20.-]?(?:\([0-9]++\)|[0-9]++))++(?![A-Za-z@_%+]|[.-][A-Za-z0-9@_%+-])"
-CONTEXT_CHARS = 64
+CONTEXT_CHARS, BLOCK = 64, 64
+#: Added spans that are broadcast to the rows at most; with more, rows meet them by shuffle.
+MAX_ADDED = 200_000
 ROUNDS, MIN_SUPPORT, MIN_CONFIDENCE = 3, 3, 0.8
 _SPAN = "array<struct<start:int,end:int,value:string,before:string,after:string>>"
 
@@ -36,22 +40,54 @@ def _let(value: Column, body) -> Column:
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches with their places in code points and the text within CONTEXT_CHARS of them, from what split() leaves between them."""
+    """All matches with their places in code points and the text within CONTEXT_CHARS of them, from what split() leaves between them.
+
+    Places are running sums, taken block by block: a fold over all matches would copy what it has so far for each of them.
+    """
+    ints = "array<int>"
+    sum_ = lambda sizes: F.aggregate(sizes, F.lit(0), lambda a, x: a + x["gap"] + x["n"])
+
+    def placed(x: Column) -> Column:
+        sizes, blocks = x["sizes"], F.sequence(F.lit(0), F.floor((F.size(x["sizes"]) - 1) / BLOCK).cast("int"))
+        block = lambda b: F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK))
+        heads = F.aggregate(blocks, F.array(F.lit(0)), lambda acc, b: F.concat(acc, F.array(F.element_at(acc, -1) + sum_(block(b)))))
+
+        def inner(heads: Column) -> Column:
+            def step(acc: Column, x: Column) -> Column:
+                return F.struct((acc["at"] + x["gap"] + x["n"]).alias("at"), F.concat(acc["out"], F.array(acc["at"] + x["gap"])).alias("out"))
+
+            return F.flatten(F.transform(blocks, lambda b: F.aggregate(block(b), F.struct(F.get(heads, b).alias("at"), F.array().cast(ints).alias("out")), step, lambda acc: acc["out"])))
+
+        def one(start: Column, i: Column) -> Column:
+            before, after = F.substring(F.get(x["pieces"], i), -CONTEXT_CHARS, CONTEXT_CHARS), F.substring(F.get(x["pieces"], i + 1), 1, CONTEXT_CHARS)
+            return F.struct(start.alias("start"), (start + F.get(sizes, i)["n"]).alias("end"), F.get(x["hits"], i).alias("value"), before.alias("before"), after.alias("after"))
+
+        return F.transform(_let(heads, inner), one)
 
-    def placed(hits: Column) -> Column:
-        def walk(pieces: Column) -> Column:
-            def step(acc: Column, i: Column) -> Column:
-                start = acc["at"] + F.char_length(F.get(pieces, i))
-                end = start + F.char_length(F.get(hits, i))
-                one = F.struct(start.alias("start"), end.alias("end"), F.get(hits, i).alias("value"), F.substring(F.get(pieces, i), -CONTEXT_CHARS, CONTEXT_CHARS).alias("before"), F.substring(F.get(pieces, i + 1), 1, CONTEXT_CHARS).alias("after"))
-                return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def measured(x: Column) -> Column:
+        sizes = F.zip_with(F.slice(x["pieces"], 1, F.size(x["hits"])), x["hits"], lambda p, h: F.struct(F.char_length(p).alias("gap"), F.char_length(h).alias("n")))
+        return _let(F.struct(x["hits"].alias("hits"), x["pieces"].alias("pieces"), sizes.alias("sizes")), placed)
 
-            zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
-            return F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), zero, step, lambda acc: acc["out"])
+    def found(hits: Column) -> Column:
+        return F.when(F.size(hits) > 0, _let(F.struct(hits.alias("hits"), F.split(text, pattern, -1).alias("pieces")), measured)).otherwise(F.array().cast(_SPAN))
 
-        return F.when(F.size(hits) > 0, _let(F.split(text, pattern, -1), walk)).otherwise(F.array().cast(_SPAN))
+    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
 
-    return _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+def _leading(spans: Column, test) -> Column:
+    """How many of ``spans`` come before the first that fails ``test``, by halving; where one fails, all after it do."""
+    n = F.size(spans)
+
+    def step(at: Column, k: Column) -> Column:
+        then = at + F.call_function("shiftleft", F.lit(1), k)
+        return F.when((then <= n) & test(F.get(spans, then - 1)), then).otherwise(at)
+
+    return F.when(n == 0, F.lit(0)).otherwise(F.aggregate(F.sequence(F.length(F.bin(n)) - 1, F.lit(0), F.lit(-1)), F.lit(0), step))
+
+
+def _touches(c: Column, spans: Column) -> Column:
+    """Whether a span overlaps one of ``spans``, which are in order and apart from each other."""
+    return F.coalesce(F.get(spans, _leading(spans, lambda s: s["end"] <= c["start"]))["start"] < c["end"], F.lit(False))
 
 
 def luhn(digits: Column) -> Column:
@@ -89,8 +125,12 @@ def candidates(text: Column) -> Column:
     groups = F.filter(matches(text, GROUPS), lambda m: figures(m).between(7, 19))
 
     def joined(both: Column) -> Column:
-        fresh = F.filter(both["groups"], lambda g: ~F.exists(both["runs"], lambda r: (r["start"] == g["start"]) & (r["end"] == g["end"])))
-        return F.concat(both["runs"], fresh)
+        def known(g: Column) -> Column:
+            r = F.get(both["runs"], _leading(both["runs"], lambda r: r["start"] < g["start"]))
+            return F.coalesce((r["start"] == g["start"]) & (r["end"] == g["end"]), F.lit(False))
+
+        told = lambda found, group: F.transform(found, lambda m: F.struct(*[m[c].alias(c) for c in ("start", "end", "value", "before", "after")], F.lit(group).alias("group")))
+        return F.concat(told(both["runs"], False), told(F.filter(both["groups"], lambda g: ~known(g)), True))
 
     return _let(F.struct(matches(text, CANDIDATE).alias("runs"), groups.alias("groups")), joined)
 
@@ -134,8 +174,14 @@ def find_private(
     text = F.coalesce(F.col(text_col), F.lit(""))
     kept_cols = [F.col(c).alias(f"keep_{c}") for c in keep]
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), *kept_cols, base_spans(text).alias("base"), candidates(text).alias("cand"))
-    overlaps = lambda c, b: (c["start"] < b["end"]) & (b["start"] < c["end"])
-    rows = rows.withColumn("cand", F.filter("cand", lambda c: ~F.exists("base", lambda b: overlaps(c, b))))
+
+    def free(x: Column) -> Column:
+        """Candidates that touch no base span; each kind's spans are in order."""
+        return F.filter(x["cand"], lambda c: ~reduce(lambda a, b: a | b, [_touches(c, x[kind]) for kind in KINDS]))
+
+    of = lambda n: F.filter("base", lambda s: s["kind"] == n)
+    clear = _let(F.struct(F.col("cand"), *[of(n).alias(kind) for n, kind in enumerate(KINDS)]), free)
+    rows = rows.withColumn("cand", F.when((F.size("base") == 0) | (F.size("cand") == 0), F.col("cand")).otherwise(clear))
     rows = saved.save(rows)
     seeds = rows.select(F.explode("base").alias("s")).select("s.kind", F.lower("s.value").alias("value"), F.explode(_contexts(F.col("s.before"), F.col("s.after"))).alias("pattern"), F.lit(True).alias("seed"))
     cands = rows.select(F.explode("cand").alias("s")).select(F.lit(None).cast("int").alias("kind"), F.lower("s.value").alias("value"), F.explode(_contexts(F.col("s.before"), F.col("s.after"))).alias("pattern"), F.lit(False).alias("seed"))
@@ -155,16 +201,28 @@ def find_private(
         good = support.join(instances, "pattern").select("pattern", "kind", "support", (F.col("support") / F.col("n_instances")).alias("conf")).where((F.col("support") >= min_support) & (F.col("conf") >= min_confidence))
         found = unseen.join(good.select("pattern", "kind", "conf"), "pattern").where(_shape_fits(F.col("kind"), F.col("value")))
         found = found.groupBy("kind", "value").agg(F.least(F.lit(0.999999), 1 - F.exp(F.sum(F.log1p(-F.least(F.col("conf"), F.lit(0.999999)))))).alias("trust"))
-        trusted = saved.save(graph.where("seed").select("kind", "value", F.lit(1.0).alias("trust")).distinct().union(found.where(F.col("trust") >= min_confidence)))
+        seeds_too = graph.where("seed").select("kind", "value", F.lit(1.0).alias("trust")).union(found.where(F.col("trust") >= min_confidence))
+        trusted = saved.save(seeds_too.groupBy("kind", "value").agg(F.max("trust").alias("trust")))  # a seed counts once
     best = trusted.where("trust < 1.0").groupBy("value").agg(F.max_by("kind", F.struct("trust", -F.col("kind"))).alias("kind"))
     occurrences = rows.select("row", F.explode("cand").alias("c")).withColumn("value", F.lower("c.value"))
-    occurrences = occurrences.join(best, "value").groupBy("row").agg(F.collect_list(F.struct(F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value"), "kind")).alias("all"))
-    inside = lambda c, b: (c["start"] >= b["start"]) & (c["end"] <= b["end"]) & (c["end"] - c["start"] < b["end"] - b["start"])
-    outer = F.filter("all", lambda c: ~F.exists("all", lambda b: inside(c, b)))  # a part of a longer one is not told again
-    added = occurrences.select("row", F.explode(outer).alias("c")).select("row", "c", "c.kind").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("kind", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value")))).alias("added"))
+    occurrences = occurrences.join(best, "value").groupBy("row").agg(F.sort_array(F.collect_list(F.struct(F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.col("c.value").alias("value"), "kind", F.col("c.group").alias("group")))).alias("all"))
+
+    def outer(x: Column) -> Column:
+        """A part of a longer one is not told again; runs are in order and apart from each other, and so are groups."""
+
+        def inside(c: Column, spans: Column) -> Column:
+            b = F.get(spans, _leading(spans, lambda s: s["end"] < c["end"]))
+            return F.coalesce((b["start"] <= c["start"]) & (c["end"] - c["start"] < b["end"] - b["start"]), F.lit(False))
+
+        kept = F.filter(x["all"], lambda c: ~(inside(c, x["runs"]) | inside(c, x["groups"])))
+        return F.transform(kept, lambda c: F.struct(*[c[k].alias(k) for k in ("kind", "start", "end", "value")]))
+
+    families = F.struct("all", F.filter("all", lambda c: ~c["group"]).alias("runs"), F.filter("all", lambda c: c["group"]).alias("groups"))
+    added = saved.save(occurrences.select("row", F.sort_array(_let(families, outer)).alias("added")))
+    few = (added.agg(F.sum(F.size("added"))).first()[0] or 0) <= MAX_ADDED
     plain = "array<struct<kind:int,start:int,end:int,value:string>>"
     base = F.transform("base", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
-    out = rows.join(added, "row", "left")
+    out = rows.join(F.broadcast(added) if few else added, "row", "left")
     return out.select("doc_id", *[F.col(f"keep_{c}").alias(c) for c in keep], base.alias("base"), F.coalesce("added", F.array().cast(plain)).alias("added"))
 
 
@@ -175,16 +233,47 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in angle brackets; of overlapping spans the first one stands."""
+    """The text with every span replaced by its kind in angle brackets; of overlapping spans the first one stands.
+
+    The text is cut into chunks first, so that no part of it is looked for from the text's beginning.
+    """
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
     ordered = F.sort_array(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(acc: Column, s: Column) -> Column:
-        now = F.struct(s["end"].alias("at"), F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.get(names, s["kind"])).alias("out"))
-        return F.when(s["start"] >= acc["at"], now).otherwise(acc)
+    def first_ones(all_: Column) -> Column:
+        """Numbers of the spans that stand, block by block."""
+
+        def step(acc: Column, i: Column) -> Column:
+            s = F.get(all_, i)
+            return F.when(s["start"] >= acc["at"], F.struct(s["end"].alias("at"), F.concat(acc["out"], F.array(i)).alias("out"))).otherwise(acc)
+
+        def block(acc: Column, b: Column) -> Column:
+            places = F.sequence(b * BLOCK, F.least(b * BLOCK + (BLOCK - 1), F.size(all_) - 1))
+            done = F.aggregate(places, F.struct(acc["at"].alias("at"), none.alias("out")), step)
+            return _let(done, lambda d: F.struct(d["at"].alias("at"), F.concat(acc["out"], d["out"]).alias("out")))
+
+        none = F.array().cast("array<int>")
+        blocks = F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int"))
+        kept = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("out")), block, lambda acc: acc["out"])
+        return F.transform(kept, lambda i: F.get(all_, i))
+
+    def joined(x: Column) -> Column:
+        size, chunks, kept = x["size"], x["chunks"], x["kept"]
+
+        def part(a: Column, b: Column) -> Column:
+            def of(k: Column) -> Column:
+                low = F.greatest(a - k * size, F.lit(0))
+                return F.substring(F.get(chunks, k), low + 1, F.least(b - k * size, size) - low)
+
+            return F.when(b <= a, F.lit("")).otherwise(F.array_join(F.transform(F.sequence(F.floor(a / size).cast("int"), F.floor((b - 1) / size).cast("int")), of), ""))
+
+        pieces = F.transform(kept, lambda s, i: F.concat(part(F.when(i > 0, F.get(kept, i - 1)["end"]).otherwise(F.lit(0)), s["start"]), F.get(names, s["kind"])))
+        return F.concat(F.array_join(pieces, ""), part(F.element_at(kept, -1)["end"], x["n"]))
 
-    done = F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.lit(2**31 - 1))))
+    n = F.char_length(text)
+    size = F.greatest(F.lit(4096), F.ceil(n / 512).cast("int"))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / size).cast("int")), lambda k: F.substring(text, k * size + 1, size))
+    done = _let(F.struct(n.alias("n"), size.alias("size"), chunks.alias("chunks"), _let(ordered, first_ones).alias("kept")), joined)
     return F.when(F.size(spans) == 0, text).otherwise(done)
 
 

@@ -470,6 +470,150 @@ def test_repeats_beyond_the_next_neighbours(spark):
     assert rows(repeats.repeated_passages(df), "doc_id", "start_word", "end_word") == want
 
 
+PLAIN = {"email": EMAIL, "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")}
+
+
+def plain_base(text):
+    """[(kind, start, end, before, after)]; before and after are what lies between matches of one expression, 64 characters at most."""
+
+    def passes(kind, v):
+        digits = [int(c) for c in v if c.isdigit()]
+        if kind == "ip":
+            return all(int(x) <= 255 for x in v.split("."))
+        if kind == "card":
+            return 13 <= len(digits) <= 19 and sum(d if i % 2 == 0 else sum(divmod(2 * d, 10)) for i, d in enumerate(reversed(digits))) % 10 == 0
+        return kind == "email" or 9 <= len(digits) <= 15
+
+    out = []
+    for n, kind in enumerate(private.KINDS):
+        out += [(n, *m) for m in plain_matches(PLAIN[kind], text) if passes(kind, text[m[0] : m[1]])]
+    return out
+
+
+def plain_matches(pattern, text):
+    ms = [m.span() for m in pattern.finditer(text)]
+    edges = [0, *[e for _, e in ms]], [*[s for s, _ in ms], len(text)]
+    return [(s, e, text[edges[0][i] : s][-64:], text[e : edges[1][i + 1]][:64]) for i, (s, e) in enumerate(ms)]
+
+
+def plain_private(texts):
+    """For each text (base, added) as (kind, start, end), by plain loops over the same rules."""
+
+    def contexts(before, after):
+        left, right = re.findall("[^ \t-\r]+", before.lower()), re.findall("[^ \t-\r]+", after.lower())
+        out = {"l " + left[-1]} if left else set()
+        if len(left) > 1:
+            out.add("ll " + re.search("[^ \t-\r]+[ \t-\r]+[^ \t-\r]+(?=[ \t-\r]*$)", before.lower())[0])
+        if left and right:
+            out.add(f"lr {left[-1]} {right[0]}")
+        return out | ({"r " + right[0]} if right else set())
+
+    def fits(kind, v):
+        n, letters = sum(c.isdigit() for c in v), re.search("[A-Za-z@_%+]", v)
+        if kind == 0:
+            return bool(re.fullmatch("[^@]+@[^@]+", v))
+        if kind == 1:
+            return bool(re.fullmatch("[0-9]{1,3}([.-][0-9]{1,3}){3}", v))
+        return (not letters and 12 <= n <= 19) if kind == 2 else (not re.search("[A-Za-z@_%]", v) and 7 <= n <= 15)
+
+    base, cands, edges, seeds, unseen = [], [], set(), set(), set()
+    for t in texts:
+        t = t or ""
+        base.append(plain_base(t))
+        found = {m[:2]: m for m in plain_matches(re.compile(private.GROUPS), t) if 7 <= sum(c.isdigit() for c in t[m[0] : m[1]]) <= 19}
+        found |= {m[:2]: m for m in plain_matches(re.compile(private.CANDIDATE), t)}
+        cands.append([m for m in found.values() if not any(m[0] < b[2] and b[1] < m[1] for b in base[-1])])
+        for k, s, e, before, after in base[-1]:
+            seeds.update((k, t[s:e].lower(), p) for p in contexts(before, after))
+        for s, e, before, after in cands[-1]:
+            unseen.update((t[s:e].lower(), p) for p in contexts(before, after))
+    edges = {(v, p) for _, v, p in seeds} | unseen
+    instances = Counter(p for _, p in edges)
+    trusted = {(k, v): 1.0 for k, v, _ in seeds}
+    for _ in range(private.ROUNDS):
+        support = Counter()
+        for v, p in edges:
+            for k in range(4):
+                support[p, k] += trusted.get((k, v), 0.0)
+        good = {(p, k): s / instances[p] for (p, k), s in support.items() if s > private.MIN_SUPPORT - 1e-9 and s / instances[p] > private.MIN_CONFIDENCE - 1e-9}
+        doubt = {}
+        for v, p in unseen:
+            for k in range(4):
+                if (p, k) in good and fits(k, v):
+                    doubt[k, v] = doubt.get((k, v), 1.0) * (1 - min(good[p, k], 0.999999))
+        trusted = {x: min(0.999999, 1 - d) for x, d in doubt.items() if 1 - d > private.MIN_CONFIDENCE - 1e-9} | {(k, v): 1.0 for k, v, _ in seeds}
+    best = {}
+    for (k, v), w in trusted.items():
+        if w < 1.0:
+            best[v] = max(best.get(v, (-1, -9)), (w, -k))
+    out = []
+    for t, b, c in zip(texts, base, cands):
+        all_ = [(-best[t[m[0] : m[1]].lower()][1], m[0], m[1]) for m in c if t[m[0] : m[1]].lower() in best]
+        outer = [x for x in all_ if not any(y[1] <= x[1] and x[2] <= y[2] and y[2] - y[1] > x[2] - x[1] for y in all_)]
+        out.append((sorted(x[:3] for x in b), sorted(outer)))
+    return out
+
+
+def private_corpus():
+    rng = random.Random(15)
+    n = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    name = lambda: "".join(rng.choice("abcdef") for _ in range(6))
+    luhn = [f"{k:04}" for k in range(10_000) if any(b[0] == 2 for b in plain_base(f"4111 1111 1111 {k:04}"))][:200]
+    shapes = [
+        *[lambda: f"call +1 ({n(3)}) 555-{n(4)} now", lambda: f"call +44 {n(4)} {n(6)} now", lambda: f"mail {name()}@{name()}.org today", lambda: f"card 4111 1111 1111 {rng.choice(luhn)} {name()}"] * 4, lambda: f"call {n(3)}-{n(4)} now", lambda: f"call (0{n(2)}) {n(3)}-{n(4)}", lambda: f"host 10.{rng.randrange(256)}.0.{rng.randrange(256)} up",
+        lambda: f"host 300.{n(2)}.{n(2)}.1 up", lambda: f"mail {name()}@localhost today", lambda: f"card {n(4)}-{n(4)}-{n(4)}-{n(4)} {name()}",
+        lambda: f"serial {n(8)} {name()}", lambda: f"{name()} {name()} \u00e9\U0001f600", lambda: f"hotline {n(3)}-{n(4)} {name()}", lambda: f"v{n(1)}.{n(1)}.{n(1)}.{n(1)}.{n(1)}",
+    ]
+    texts = [" ".join(rng.choice(shapes)() for _ in range(rng.randint(0, 6))) for _ in range(400)]
+    return texts + [None, "", texts[5], "x" * 5000, " ".join(f"host 10.0.{i // 200}.{i % 200} up, ring {n(3)}-{n(4)} then" for i in range(300))]
+
+
+def test_private_against_plain_loops(spark, tmp_path):
+    texts = private_corpus()
+    want = plain_private(texts)
+    assert sum(len(a) for _, a in want) > 100 and {k for _, a in want for k, _, _ in a} == {0, 1, 2, 3}
+    (tmp_path / "d").mkdir()
+    spark.createDataFrame([(i, t, "g", *CLASH) for i, t in enumerate(texts)], "doc_id long, text string, pattern string, row long, base string, value long, cls string, score double").repartition(3).write.parquet(str(tmp_path / "d/documents.parquet"))
+    got = {r["doc_id"]: r for r in private.op3_private(spark, str(tmp_path / "d")).collect()}
+    told = lambda spans: ",".join(f"{private.KINDS[k]}:{s}:{e}" for k, s, e in sorted(spans))
+    for i, (base, added) in enumerate(want):
+        counts = Counter(k for k, _, _ in base)
+        assert tuple(got[i])[:6] == (i, *[counts[k] for k in range(4)], hashlib.sha256(told(base).encode()).hexdigest()), texts[i]
+        assert got[i]["spans"] == told(base + added), texts[i]
+
+
+def test_redacted_text_against_slices(spark):
+    from pyspark.sql import functions as F
+
+    texts = [t for t in private_corpus() if t is not None]
+    rng, data = random.Random(3), []
+    for t in [*texts, "\U0001f600" * 9000, "a\u00e9" * 20_000]:
+        spans = sorted((a := rng.randrange(len(t)), min(len(t), a + rng.randint(1, 30)), rng.randrange(4)) for _ in range(rng.choice([0, 1, 3, 200]) if t else 0))
+        data.append((t, spans))
+    df = spark.createDataFrame(data, "t string, s array<struct<start:int,end:int,kind:int>>")
+    got = df.select(private.redact(F.col("t"), F.transform("s", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lit("").alias("value"))))).collect()
+    for (t, spans), (new,) in zip(data, got):
+        at, want = 0, ""
+        for a, b, k in spans:
+            if a >= at:
+                want, at = want + t[at:a] + f"<{private.KINDS[k]}>", b
+        assert new == want + t[at:]
+
+
+def test_private_in_very_long_texts(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["1" * 1_000_000, "1." * 100_000, " ".join(f"10.{i % 256}.{i // 256 % 256}.7" for i in range(50_000))]
+    # known without the plain expressions, which need hours for the first two
+    want = [[], [(1, 8 * i, 8 * i + 7) for i in range(25_000)], [(1, *m.span()) for m in PLAIN["ip"].finditer(texts[2])]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in private.find_private(df, keep=("text",)).withColumn("t", private.redact(F.col("text"), F.concat("base", "added"))).collect():
+        spans = [(s["kind"], s["start"], s["end"]) for s in r["base"]]
+        assert spans == want[r["doc_id"]]
+        if r["doc_id"] == 2:
+            assert r["t"] == " ".join(["<ip>"] * 50_000)
+
+
 def test_private_patterns_of_discovered_values(spark):
     """'desk' has the seeds and discovers numbers; these alone make 'hotline' a pattern, which discovers one more."""
     texts = [f"x{i}q desk +1 ({200 + i}) 555-0143 y{i}q" for i in range(100)] + [f"z{i}q desk 555-0{i:02}9-22 u{i}q" for i in range(12)]
