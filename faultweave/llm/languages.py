@@ -22,8 +22,8 @@ from faultweave.llm._shared import table
 #: Labelled rows per language that the model is fitted on, at most.
 SAMPLE = 400
 ROUNDS, PRIOR, UNKNOWN = 4, 0.05, 1e-7
-#: Letters in a word at most (a longer run is read as several words), and in a piece.
-MAX_WORD, MAX_PIECE = 24, 12
+#: Words of more letters are summed one by one with rescaled numbers, so many letters at a time; nothing is cut.
+LONG_WORD, LONG_STEP, RESCALE = 32, 20_000, 1e120
 #: Words of evidence that the score's softmax takes at most, so that mixed texts score low.
 EVIDENCE = 20
 _CACHE_WORDS = 400_000
@@ -43,15 +43,13 @@ def vocabulary_pieces(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     plain = (sp.id_to_piece(i) for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i) or sp.is_unused(i)))
-    return sorted({p for p in plain if len(p) <= MAX_PIECE})
+    return sorted(set(plain))
 
 
 def text_words(text: str | None) -> list[str]:
     runs = _RUN.findall((text or "").lower())
     if not any(w.isalpha() for w in runs) and not any(c.isalpha() for w in runs for c in w):
         return []
-    if max(map(len, runs)) > MAX_WORD:
-        runs = [w[i : i + MAX_WORD] for w in runs for i in range(0, len(w), MAX_WORD)]
     return runs
 
 
@@ -65,12 +63,13 @@ def _hashes(codes: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Piece probabilities by language: ``table[g, piece]``, the last column for a character that no piece has."""
+    """Piece probabilities by language: ``table[g, piece]``, the last column for a character that no piece has; no piece has more than ``widest`` characters."""
 
     languages: list[str]
     keys: np.ndarray
     slots: np.ndarray
     table: np.ndarray
+    widest: int
 
     @classmethod
     def empty(cls, languages: list[str], pieces: list[str]) -> Model:
@@ -78,7 +77,7 @@ class Model:
         order = np.argsort(keys)
         table = np.full((len(languages), len(pieces) + 1), 1.0 / max(1, len(pieces)))
         table[:, -1] = UNKNOWN
-        return cls(languages, keys[order], order, table)
+        return cls(languages, keys[order], order, table, max(map(len, pieces), default=1))
 
     def spans(self, words: list[str]) -> Iterator[tuple[np.ndarray, list[tuple[int, int, np.ndarray]]]]:
         """Words by length: their indices and, for every span from s to e, the piece of each word (-1: none)."""
@@ -88,19 +87,78 @@ class Model:
         for n, at in by.items():
             codes = np.array([[0x2581, *map(ord, words[i])] for i in at], np.uint64)
             h = _hashes(codes)
-            powers = np.multiply.accumulate(np.array([1] + [_BASE] * MAX_PIECE, np.uint64))
             out = []
             for e in range(1, n + 1):
-                for s in range(max(0, e - MAX_PIECE), e):
-                    key = h[:, e] - h[:, s] * powers[e - s]
-                    k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-                    piece = np.where(self.keys[k] == key, self.slots[k], -1)
-                    if e - s == 1:
-                        piece = np.where(piece < 0, self.table.shape[1] - 1, piece)
+                for s in range(max(0, e - self.widest), e):
+                    piece = self.piece(h[:, e], h[:, s], e - s)
                     if (piece >= 0).any():
                         out.append((s, e, piece))
             yield np.array(at), out
 
+    def piece(self, end: np.ndarray, start: np.ndarray, width: int) -> np.ndarray:
+        """The piece between two prefix hashes, -1 for none; a character that is none is the unknown one."""
+        key = end - start * np.uint64(pow(int(_BASE), width, 1 << 64))
+        k = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[k] == key, self.slots[k], self.table.shape[1] - 1 if width == 1 else -1)
+
+    def steps(self, h: np.ndarray, back: bool = False) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each place of a long word: the pieces that end there, by width, and their probabilities."""
+        n = len(h) - 1
+        starts = range(1, n + 1, LONG_STEP)
+        for low in reversed(starts) if back else starts:
+            high = min(n + 1, low + LONG_STEP)
+            pieces = np.full((self.widest, high - low), -1)
+            for width in range(1, self.widest + 1):
+                e = np.arange(max(low, width), high)
+                if len(e):
+                    pieces[width - 1, e - low] = self.piece(h[e], h[e - width], width)
+            chances = np.where(pieces >= 0, self.table[:, pieces], 0.0)
+            for e in range(high - 1, low - 1, -1) if back else range(low, high):
+                yield e, pieces[:, e - low], chances[:, :, e - low]
+
+    def long_forward(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(alpha, scale) of a long word: the sum over all segmentations up to place e is alpha[:, e] * exp(-scale[:, e])."""
+        n = len(h) - 1
+        alpha, scale, now = np.zeros((len(self.languages), n + 1)), np.zeros((len(self.languages), n + 1)), np.zeros(len(self.languages))
+        alpha[:, 0] = 1.0
+        for e, _, chance in self.steps(h):
+            width = min(e, self.widest)
+            alpha[:, e] = (alpha[:, e - width : e][:, ::-1] * chance[:, :width]).sum(axis=1)
+            scale[:, e] = now
+            small = alpha[:, e] < 1 / RESCALE
+            if small.any():
+                recent = slice(max(0, e - self.widest), e + 1)
+                alpha[small, recent] *= RESCALE
+                scale[small, recent] += np.log(RESCALE)
+                now[small] += np.log(RESCALE)
+        return alpha, scale
+
+    def long_score(self, word: str) -> np.ndarray:
+        alpha, scale = self.long_forward(_prefix(word))
+        return np.log(alpha[:, -1]) - scale[:, -1]
+
+    def long_learn(self, word: str, count: np.ndarray, sums: np.ndarray) -> None:
+        """Adds a long word's expected pieces, ``count`` times in each language."""
+        h = _prefix(word)
+        alpha, scale = self.long_forward(h)
+        with np.errstate(divide="ignore"):
+            before = np.log(alpha) - scale
+        n, total = len(h) - 1, before[:, -1]
+        beta, now = np.zeros_like(alpha), np.zeros(len(count))
+        beta[:, n] = 1.0
+        for e, piece, chance in self.steps(h, back=True):
+            width = min(e, self.widest)
+            small = beta[:, e] < 1 / RESCALE
+            if small.any():
+                beta[small, max(0, e - self.widest) : e + 1] *= RESCALE
+                now[small] += np.log(RESCALE)
+            beta[:, e - width : e] += beta[:, e : e + 1] * chance[:, :width][:, ::-1]
+            with np.errstate(divide="ignore"):
+                after = np.log(beta[:, e]) - now - total
+                used = np.exp(before[:, e - width : e][:, ::-1] + np.log(chance[:, :width]) + after[:, None]) * count[:, None]
+            for g in range(len(count)):
+                np.add.at(sums[g], np.maximum(piece[:width], 0), used[g])
+
     def forward(self, spans: list, n: int, count: int) -> np.ndarray:
         alpha = np.zeros((n + 1, len(self.languages), count))
         alpha[0] = 1.0
@@ -111,14 +169,19 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """ln of each word's probability in each language."""
         out = np.zeros((len(words), len(self.languages)))
-        for at, spans in self.spans(words):
-            n = len(words[at[0]]) + 1
-            out[at] = np.log(np.maximum(self.forward(spans, n, len(at))[n], 1e-300)).T
+        short = np.array([i for i, w in enumerate(words) if len(w) <= LONG_WORD], np.int64)
+        for at, spans in self.spans([words[i] for i in short]):
+            n = len(words[short[at[0]]]) + 1
+            out[short[at]] = np.log(self.forward(spans, n, len(at))[n]).T
+        for i, w in enumerate(words):
+            if len(w) > LONG_WORD:
+                out[i] = self.long_score(w)
         return out
 
     def learn(self, words: list[str], counts: np.ndarray, rounds: int) -> None:
         """``counts[g, word]``; expectation-maximisation over all segmentations."""
-        held = [(at, spans, len(words[at[0]]) + 1) for at, spans in self.spans(words)]
+        short = np.array([i for i, w in enumerate(words) if len(w) <= LONG_WORD], np.int64)
+        held = [(short[at], spans, len(words[short[at[0]]]) + 1) for at, spans in self.spans([words[i] for i in short])]
         for _ in range(rounds):
             sums = np.full(self.table.shape, PRIOR)
             for at, spans, n in held:
@@ -127,16 +190,28 @@ class Model:
                 beta[n] = 1.0
                 for s, e, piece in reversed(spans):
                     beta[s] += beta[e] * np.where(piece >= 0, self.table[:, piece], 0.0)
-                weight = counts[:, at] / np.maximum(alpha[n], 1e-300)
+                weight = counts[:, at] / alpha[n]
                 for s, e, piece in spans:
                     used = np.where(piece >= 0, self.table[:, piece], 0.0) * alpha[s] * beta[e] * weight
                     for g in range(len(self.languages)):
                         sums[g] += np.bincount(np.maximum(piece, 0), used[g], self.table.shape[1])
+            for i, w in enumerate(words):
+                if len(w) > LONG_WORD:
+                    self.long_learn(w, counts[:, i], sums)
             sums[:, -1] = 0
             self.table = sums / sums.sum(axis=1, keepdims=True)
             self.table[:, -1] = UNKNOWN
 
 
+def _prefix(word: str) -> np.ndarray:
+    """Prefix hashes of a long word with its mark."""
+    h, out = 0, [0]
+    for c in "\u2581" + word:
+        h = (h * int(_BASE) + ord(c)) & (2**64 - 1)
+        out.append(h)
+    return np.array(out, np.uint64)
+
+
 def _hash_of(piece: str) -> int:
     h = 0
     for c in piece:
@@ -145,10 +220,21 @@ def _hash_of(piece: str) -> int:
 
 
 def fit(labelled: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
-    """A model from ``labelled(id long, text, lang)``: of each language the ``sample`` rows with the smallest hashes of their ids."""
+    """A model from ``labelled(id long, text, lang)``: of each language the ``sample`` ids with the smallest hashes.
+
+    Rows are first cut by a bound on the hash that leaves about twice the sample, so no task ranks more
+    than that; rows of one id count once, with the least of their texts. Languages are few: their
+    counts go to the driver, and so do the word counts of the sample.
+    """
+    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    if not counts:
+        return Model.empty([], vocabulary_pieces(vocabulary or default_vocabulary()))
+    top, wanted = 2**63 - 1, 2 * sample + 50
+    bounds = labelled.sparkSession.createDataFrame([(r["lang"], top if r["n"] <= wanted else -(2**63) + (2**64 * wanted) // r["n"]) for r in counts], "lang string, bound long")
+    rows = rows.join(F.broadcast(bounds), "lang").where(F.xxhash64("id") <= F.col("bound")).groupBy("lang", "id").agg(F.min("text").alias("text"))
     pick = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("id", "lang").withColumn("nth", F.row_number().over(pick)).where(F.col("nth") <= sample).select("id", "lang")
-    chosen = labelled.join(F.broadcast(rows.distinct()), ["id", "lang"], "left_semi")
+    chosen = rows.withColumn("nth", F.row_number().over(pick)).where(F.col("nth") <= sample)
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
@@ -187,11 +273,11 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
                 part = rb.slice(i, 200)
                 texts = [text_words(t) for t in part.column(place).to_pylist()]
                 known: dict[str, int] = _known["words"]
-                new = [w for w in dict.fromkeys(w for ws in texts for w in ws) if w not in known]
+                new, long = [w for w in dict.fromkeys(w for ws in texts for w in ws if len(w) <= LONG_WORD) if w not in known], {}
                 if len(known) + len(new) > _CACHE_WORDS:
                     known = _known["words"] = {}
                     _known["scores"] = np.zeros((0, len(m.languages)))
-                    new = list(dict.fromkeys(w for ws in texts for w in ws))
+                    new = list(dict.fromkeys(w for ws in texts for w in ws if len(w) <= LONG_WORD))
                 if new:
                     known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                     _known["scores"] = np.concatenate([_known["scores"], m.word_scores(new)])
@@ -201,7 +287,10 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
                         langs.append("und")
                         scores.append(0.0)
                         continue
-                    s = _known["scores"][[known[w] for w in ws]].sum(axis=0)
+                    s = _known["scores"][[known[w] for w in ws if len(w) <= LONG_WORD]].sum(axis=0)
+                    for w in ws:
+                        if len(w) > LONG_WORD:
+                            s = s + (long[w] if w in long else long.setdefault(w, m.long_score(w)))
                     s = s * (min(len(ws), EVIDENCE) / len(ws))
                     p = np.exp(s - s.max())
                     best = int(np.argmax(p))

@@ -317,6 +317,88 @@ def test_forward_sums_all_segmentations():
     assert np.exp(m.word_scores(["ac"]))[0, 0] == pytest.approx(p * p * u + p * u)
 
 
+def segmentations(word, pieces):
+    """All ways to write the word with its mark as pieces (a character that is none: itself)."""
+    if not word:
+        return [[]]
+    heads = [p for p in pieces if word.startswith(p)] + ([] if word[0] in pieces else [word[0]])
+    return [[p, *rest] for p in heads for rest in segmentations(word[len(p) :], pieces)]
+
+
+@pytest.mark.parametrize("long_word", [0, 5, languages.LONG_WORD])
+def test_learning_equals_sums_over_all_segmentations(long_word, monkeypatch):
+    monkeypatch.setattr(languages, "LONG_WORD", long_word)
+    monkeypatch.setattr(languages, "LONG_STEP", 3)
+    pieces = sorted(["\u2581", "a", "b", "c", "ab", "bc", "\u2581a", "abc", "ca"])
+    words_, counts = ["ab", "abcab", "cabca", "xab", "aaaa", "bcabcab"], np.array([[3.0, 1, 0, 2, 1, 1], [1.0, 0, 5, 1, 0, 2]])
+    m = languages.Model.empty(["x", "y"], pieces)
+    m.learn(words_, counts, 2)
+    for g in range(2):
+        table = dict.fromkeys(pieces, 1 / len(pieces))
+        chance = lambda seg: np.prod([table.get(p, languages.UNKNOWN) for p in seg])  # noqa: B023, E731
+        for _ in range(2):
+            sums = dict.fromkeys(pieces, languages.PRIOR)
+            for w, n in zip(words_, counts[g]):
+                all_ = segmentations("\u2581" + w, pieces)
+                total = sum(map(chance, all_))
+                for seg in all_:
+                    for p in seg:
+                        if p in sums:
+                            sums[p] += n * chance(seg) / total
+            table = {p: x / sum(sums.values()) for p, x in sums.items()}
+        assert m.table[g, :-1] == pytest.approx([table[p] for p in pieces])
+        for w, got in zip(words_, m.word_scores(words_)[:, g]):
+            assert got == pytest.approx(np.log(sum(map(chance, segmentations("\u2581" + w, pieces)))))
+
+
+def test_words_of_any_length():
+    pieces = languages.vocabulary_pieces(languages.default_vocabulary())
+    m = languages.Model.empty(["x"], pieces)
+    assert {"\u2581relationship", "\u2581professional"} <= set(pieces) and m.widest == max(map(len, pieces))
+    p, u, n = 1 / 2, 1 / 2, 30_000
+    m = languages.Model.empty(["x"], ["\u2581", "a"])
+    assert m.word_scores(["a" * n, "b" * 9])[:, 0] == pytest.approx([np.log(p) + n * np.log(u), np.log(p) + 9 * np.log(languages.UNKNOWN)])
+
+
+def test_languages_query(spark, tmp_path):
+    """The registered query against a plain reading of its model, and its accuracy on rows that were held out."""
+    data = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    more = [(10_001, None, "en"), (10_002, "12 %", "en"), (10_003, "", None), (None, data[0]["text"], "de"), (10_004, "y" * 400, None), *[(10_005, data[1]["text"], data[1]["lang"])] * 3]
+    (tmp_path / "d").mkdir()
+    frame = spark.createDataFrame([(r["doc_id"], r["text"], r["lang"], 1, "w", 0.5) for r in data] + [(*r, 1, "w", 0.5) for r in more], "doc_id long, text string, lang string, n long, word string, bound double")
+    frame.repartition(3).write.parquet(str(tmp_path / "d/documents.parquet"))
+    got = languages.op7_languages(spark, str(tmp_path / "d"))
+    assert got.dtypes == [("doc_id", "bigint"), ("held_out", "boolean"), ("lang_pred", "string"), ("score", "double")]
+    got, truth = got.collect(), {r["doc_id"]: r for r in data}
+    model = languages.fit(frame.select(frame["doc_id"].alias("id"), "text", "lang").where("id IS NOT NULL AND crc32(cast(cast(id AS string) AS binary)) % 3 <> 1"))
+    texts = {r["doc_id"]: r["text"] for r in data} | {r[0]: r[1] for r in more}
+    table = [{p: model.table[g, i] for i, p in enumerate(languages.vocabulary_pieces(languages.default_vocabulary()))} for g in range(len(model.languages))]
+
+    def plain(word, g):
+        w = "\u2581" + word
+        a = [1.0] + [0.0] * len(w)
+        for e in range(1, len(w) + 1):
+            for s in range(max(0, e - 16), e):
+                a[e] += a[s] * table[g].get(w[s:e], languages.UNKNOWN if e - s == 1 else 0.0)
+        return np.log(a[-1])
+
+    right = told = 0
+    for r in got:
+        text = texts[r["doc_id"]]
+        ws = re.findall(r"[^\W\d_]+", (text or "").lower())
+        assert r["held_out"] == (r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        if not any(c.isalpha() for c in text or ""):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        if r["doc_id"] is not None and r["doc_id"] % 7 == 0:
+            s = np.array([sum(plain(w, g) for w in ws) for g in range(len(table))]) * min(len(ws), languages.EVIDENCE) / len(ws)
+            p = np.exp(s - s.max())
+            assert r["lang_pred"] == model.languages[int(p.argmax())] and r["score"] == pytest.approx(p.max() / p.sum())
+        if r["held_out"] and truth.get(r["doc_id"]) and truth[r["doc_id"]]["lang"]:
+            told, right = told + 1, right + (truth[r["doc_id"]]["lang"] == r["lang_pred"])
+    assert told > 30 and right / told >= 0.9
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header>Top</header><nav><ul><li><a href="/x">Menu</a></ul></nav>
 <div class="ad box">Buy</div><article><h1>A &amp; B</h1><p><b>one<br>two   three<p>caf&eacute; &lt;x&gt;&nbsp;end</p><div class="comments"><p>reader</p></div><form><p>f</p></form></article><aside>s</aside><footer>&copy; f</footer></body>"""
 
