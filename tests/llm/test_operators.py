@@ -230,6 +230,37 @@ def test_shards(docs, empty):
     assert shards.shard(docs.sparkSession, empty, 6).count() == 0
 
 
+@pytest.mark.parametrize("range_bytes", [2000, shards.RANGE_BYTES])
+def test_shards_query(spark, tmp_path, monkeypatch, range_bytes):
+    """Groups of equal texts of all sizes: one shard each, unless one fits in none; sizes near equal; any row may repeat."""
+    monkeypatch.setattr(shards.shard, "__defaults__", (24, "doc_id", "text", range_bytes))
+    rng, texts = random.Random(2), []
+    for k in range(3000):
+        texts += [f"{k} " + "w" * rng.randint(0, 300)] * rng.choice([1, 1, 1, 1, 2, 5])
+    for k, n in enumerate([60, 30, 90, 150, 40, 40]):
+        texts += [f"group {k} " + "g" * 200] * n
+    texts += ["hot " + "h" * 400] * 900 + [None, None, "", "", "long " + "z" * 9000]
+    rng.shuffle(texts)
+    data = [(i if i % 50 else None, t, *CLASH) for i, t in enumerate(texts)] + [(7, "same row", *CLASH)] * 200
+    (tmp_path / "d").mkdir()
+    spark.createDataFrame(data, "doc_id long, text string, key long, shard string, range int, fixed string, size double").repartition(3).write.parquet(str(tmp_path / "d/documents.parquet"))
+    df = shards.op5_shards(spark, str(tmp_path / "d"))
+    assert df.dtypes == [("doc_id", "bigint"), ("size", "bigint"), ("text_crc32", "bigint"), ("law", "string"), ("shard", "int"), ("slot", "bigint"), ("grown_shard", "int")]
+    got = df.collect()
+    plain = lambda i, t: (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()))
+    assert sorted((tuple(r)[:3] for r in got), key=str) == sorted((plain(i, t) for i, t, *_ in data), key=str)
+    assert {(r["law"], r["grown_shard"]) for r in got} == {("bytes", None)}
+    slots, sizes, where = {}, Counter(), {}
+    for r in got:
+        slots.setdefault(r["shard"], []).append(r["slot"])
+        sizes[r["shard"]] += r["size"]
+        where.setdefault((r["text_crc32"], r["size"]), set()).add(r["shard"])
+    assert set(slots) == set(range(24)) and all(sorted(v) == list(range(len(v))) for v in slots.values())
+    target, hot = sum(sizes.values()) / 24, zlib.crc32(("hot " + "h" * 400).encode())
+    assert all(len(v) == 1 for (crc, _), v in where.items() if crc != hot) and len(where[hot, 412]) >= 900 * 412 / target
+    assert max(abs(x - target) for x in sizes.values()) <= 0.01 * target + 9013
+
+
 def plain_components(data):
     sets, parent = [], list(range(len(data)))
     for _, t in data:
