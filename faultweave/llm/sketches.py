@@ -6,6 +6,9 @@ merge (the k smallest of both), count (k-th order statistic) and compare (k-mini
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,26 +70,34 @@ def as_text(s: Column) -> Column:
 def with_next(df: DataFrame, id_col: str, columns: list[str], ties: list[str], parts: int) -> DataFrame:
     """Adds ``next_<column>`` of the row next in order of ``id_col`` (nulls first, then by hashes of ``ties``); the last row's next is the first row.
 
-    The order is cut into ranges at quantiles of the id; each range's first row is also sent to the
-    range before it, so every range finds its last row's successor at home and text moves once.
+    The order is cut into ranges at quantiles of the id; an id (or null) with more rows than a range is cut
+    again by the first hash. Each range's first row is also sent to the range before it, so every
+    range finds its last row's successor at home and text moves once.
     """
     spark = df.sparkSession
-    cuts = df.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)], 10_000).alias("c")).first()["c"] if parts > 1 else []
-    cuts = sorted(set(cuts or []))
-    low = F.lit(-1).cast("int")
+    cuts, nulls = df.select(F.percentile_approx(id_col, [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("c"), F.avg(F.col(id_col).isNull().cast("int")).alias("n")).first()
+    found = Counter(cuts if cuts and parts > 1 else [])
+    places = sorted(found)
+    constant = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")  # noqa: E731  folded
+    share = F.xxhash64(ties[0]) / _SPAN + 0.5
+    within = F.lit(0)
     bucket = F.lit(0)
-    if cuts:
-        held = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # folded to a constant
-        # cuts are sorted, so how many lie at or below the id is the range
-        bucket = F.size(F.filter(held, lambda c: c <= F.col(id_col)))
-    df = df.withColumn("_range", F.when(F.col(id_col).isNull(), low).otherwise(bucket))
+    if places:
+        held, times = constant(places), constant([found[c] for c in places])
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(len(places).bit_length()))])
+        bucket = F.aggregate(steps, F.lit(0), lambda at, k: F.when((at + k <= len(places)) & (F.get(held, at + k - 1) <= F.col(id_col)), at + k).otherwise(at))
+        own = F.get(times, bucket - 1)
+        within = F.when(own > 1, F.when(F.get(held, bucket - 1) == F.col(id_col), F.least(F.floor(share * own), own - 1)).otherwise(own)).otherwise(0)
+    for_nulls = max(1, math.ceil((nulls or 0) * parts))
+    of_null = F.least(F.floor(share * for_nulls), F.lit(for_nulls - 1))
+    df = df.withColumn("_range", F.when(F.col(id_col).isNull(), of_null).otherwise((bucket + 1) * (parts + 1) + within).cast("long"))
     order = [F.col(id_col).asc_nulls_first(), *[F.xxhash64(c) for c in ties]]
     key = F.struct(F.col(id_col).isNotNull().alias("k"), F.coalesce(F.col(id_col), F.lit(0)).alias("i"), *[F.xxhash64(c).alias(f"h{n}") for n, c in enumerate(ties)])
     firsts = sorted((r for r in df.groupBy("_range").agg(F.min(key).alias("f")).collect()), key=lambda r: r["_range"])  # one small row a range
     if not firsts:
         return df.select(*[c for c in df.columns if c != "_range"], *[F.col(c).alias(f"next_{c}") for c in columns])
     lead_of = {r["_range"]: firsts[i - 1]["_range"] for i, r in enumerate(firsts)}
-    first_rows = spark.createDataFrame([(r["_range"], lead_of[r["_range"]], r["f"]["k"], r["f"]["i"], [r["f"][f"h{n}"] for n in range(len(ties))]) for r in firsts], "_range int, _to int, _k boolean, _i long, _h array<long>")
+    first_rows = spark.createDataFrame([(r["_range"], lead_of[r["_range"]], r["f"]["k"], r["f"]["i"], [r["f"][f"h{n}"] for n in range(len(ties))]) for r in firsts], "_range long, _to long, _k boolean, _i long, _h array<long>")
     hashes = F.array(*[F.xxhash64(c) for c in ties])
     marked = df.join(F.broadcast(first_rows), "_range", "left")
     is_first = (F.col("_k") == F.col(id_col).isNotNull()) & (F.col("_i") == F.coalesce(F.col(id_col), F.lit(0))) & (F.col("_h") == hashes)

@@ -112,6 +112,65 @@ def test_next_row(docs, empty, parts):
     assert sketches.with_next(empty.select("doc_id", "text"), "doc_id", ["text"], ["text"], parts).count() == 0
 
 
+def spark_hash(*values):
+    """Spark's 64-bit hash of text and numbers, one after the other."""
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in values:
+        if v is not None:
+            h = xxhash.xxh64_intdigest(struct.pack("<q", v) if isinstance(v, int) else v.encode(), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def signed_hash(*hashes):
+    import struct
+
+    import xxhash
+
+    h = 42
+    for v in hashes:
+        h = xxhash.xxh64_intdigest(struct.pack("<q", v), h)
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def plain_sketch(text):
+    h = [spark_hash(w) for w in re.split("[ \\t-\\r]+", text.lower()) if w]
+    shingles = {signed_hash(*h[i : i + 5]) for i in range(len(h) - 4)} if len(h) >= 5 else {signed_hash(*h)} if h else set()
+    return sorted(shingles)[: sketches.K]
+
+
+def plain_likeness(a, b):
+    both = sorted(set(a) | set(b))[: sketches.K]
+    return len(set(a) & set(b) & set(both)) / len(both) if both else 1.0
+
+
+@pytest.mark.parametrize("hot", [False, True])
+def test_fingerprints_query(spark, tmp_path, hot):
+    """Every column against plain Python; with hot: a third of the rows without an id, a third with one id."""
+    rng = random.Random(4)
+    vocab = ["w%d" % i for i in range(60)] + ["\u00e9t\u00e9", "\U0001f600"]
+    data = [(i, " ".join(rng.choice(vocab) for _ in range(rng.choice([0, 1, 3, 4, 5, 9, 40, 400])))) for i in rng.sample(range(10**6), 60)]
+    data += [(-5, None), (-4, ""), (10**12, "a b c d e f"), (10**12 + 1, "a b c d e g")]
+    if hot:
+        data += [(None, f"none {rng.random()} " + "x y z " * 4) for _ in range(64)] + [(77, f"one {rng.random()} " + "p q " * 5) for _ in range(64)]
+    (tmp_path / "d").mkdir()
+    spark.createDataFrame([(*r, *CLASH) for r in data], "doc_id long, text string, sketch long, next_text string, _range int, edited string, n double").repartition(3).write.parquet(str(tmp_path / "d/documents.parquet"))
+    df = sketches.op2_fingerprints(spark, str(tmp_path / "d"))
+    assert df.columns[:7] == ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    order = sorted([(i, t or "") for i, t in data], key=lambda r: (r[0] is not None, r[0] or 0, spark_hash(r[1])))
+    text = lambda s: "".join(f"{x & (2**64 - 1):016x}" for x in s)
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1]):
+        half = len(t) // 2
+        edited = t[: len(t) - half] + n[:half]
+        a, b, c = plain_sketch(t), plain_sketch(edited), plain_sketch(n)
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest(), text(a), text(b), round(plain_likeness(a, b), 9), round(plain_likeness(a, c), 9)))
+    assert sorted(((*tuple(r)[:5], round(r[5], 9), round(r[6], 9)) for r in df.collect()), key=str) == sorted(want, key=str)
+
+
 def test_private_spans(spark, docs, empty):
     r = next(r for r in private.find_private(docs).collect() if r["doc_id"] == 14)
     t = corpus()[14][1]
