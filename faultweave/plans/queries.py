@@ -180,6 +180,33 @@ RULES_SQL = f"""WITH {_LINES}, n AS (SELECT case_id, value, {_normal_sql("value"
 SELECT case_id, CASE {" ".join(f"WHEN regexp_matches(value, '(?i){p}') OR regexp_matches(norm, '(?i){p}') THEN '{k}'" for k, p in _RULES)} WHEN norm <> '' THEN 'other' ELSE '' END AS kind, count(*) AS n FROM n GROUP BY ALL"""
 
 
+#: A report of each fixed kind, one that two rules match, one that none does, and none.
+_REPORTS = [
+    "hit the wall-clock timeout", "TEST TIMEOUT!! after 5 us", "stuck IN_DEBUG_MODE", "stuck handling_irq", "Did not receive write to csr 0x300", "Did not receive core_status 3", "RISCV-DV handshake (payload=TEST_FAIL)", "Incorrectly formed handshake",
+    "signature address is formatted incorrectly", "double_fault detector fired", "memory fault at 0x80", "Check failed mcause == 3", "Check failed signature_data == 1", "No dret detected", "No mret detected", "Check failed mode: Incorrect privilege mode",
+    "EBreak seen whilst doing initial debug initialization", "Core did not enter debug mode after execution of ebreak", "Core is handling interrupt detected in debug mode", "Illegal instruction detected", "Invalid xRET instruction", "Illegal C2 compressed 7",
+    "dcsr.prv is an unsupported privilege mode", "Cosim mismatch Register write data mismatch", "Cosim mismatch DUT didn't write to register", "Cosim mismatch Synchronous trap", "Cosim mismatch load at address 0x4", "Cosim mismatch PC mismatch", "Cosim mismatch other",
+    "Check failed (uvm_hdl_read(x))", "Cannot get clk_if", "Please specify test binary", "Cannot open file /a/b", "Base class task should not be used", "Check failed signature_data after a memory fault", "some other text", "",
+]
+
+
+def q_fatal_kinds(spark, d):
+    """Every fixed rule on reports that are built from the parts' names."""
+    p = _t(spark, d, "part")
+    report = F.get(F.array(*[F.lit(r) for r in _REPORTS]), (F.col("p_partkey") % len(_REPORTS)).cast("int"))
+    text = F.when(report == "", "").otherwise(F.concat(F.lit("UVM_FATAL "), report, F.lit(" in "), "p_name"))
+    return p.select("p_partkey", R.classify(text, X.normalise_message(text)).alias("kind"))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+KINDS_SQL = f"""WITH r AS (SELECT p_partkey, p_name, ([{", ".join(map(_quoted, _REPORTS))}])[p_partkey % {len(_REPORTS)} + 1] AS report FROM part),
+t AS (SELECT p_partkey, CASE WHEN report = '' THEN '' ELSE 'UVM_FATAL ' || report || ' in ' || p_name END AS value FROM r), n AS (SELECT *, {_normal_sql("value")} AS norm FROM t)
+SELECT p_partkey, CASE {" ".join(f"WHEN regexp_matches(value, {_quoted('(?i)' + p)}) OR regexp_matches(norm, {_quoted('(?i)' + p)}) THEN '{k}'" for k, p in R.FATAL_RULES)} WHEN norm <> '' THEN '{R.OTHER_FATAL}' ELSE '' END AS kind FROM n"""
+
+
 def q_byte_budget(spark, d):
     return parsing.within_budget(_lines(spark, d), 2000).groupBy("case_id").agg(F.count("*").alias("n_lines"), F.max("line_no").cast("long").alias("last_line"))
 
@@ -419,8 +446,9 @@ FROM t a JOIN t b ON a.case_id < b.case_id"""
 
 def q_fatal_taxonomy(spark, d):
     kinds = ["", *[k for k, _ in R.FATAL_RULES], R.OTHER_FATAL]
-    n = _t(spark, d, "nation").select("n_nationkey", F.get(F.array(*[F.lit(k) for k in kinds]), F.col("n_nationkey") % 36).alias("kind"))
-    a, b = n.select(F.col("n_nationkey").alias("a"), F.col("kind").alias("ka")), n.select(F.col("n_nationkey").alias("b"), F.col("kind").alias("kb"))
+    place = (F.col("c_custkey") % len(kinds)).cast("int")  # every kind has its customers
+    n = _t(spark, d, "customer").select(place.alias("k")).distinct().select("k", F.get(F.array(*[F.lit(k) for k in kinds]), F.col("k")).alias("kind"))
+    a, b = n.select(F.col("k").alias("a"), F.col("kind").alias("ka")), n.select(F.col("k").alias("b"), F.col("kind").alias("kb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", distances.fatal_distance(F.col("ka"), F.col("kb")).alias("distance"))
 
 
@@ -432,7 +460,7 @@ def _fatal_sql(a: str, b: str) -> str:
 
 
 _ALL_KINDS = ", ".join(repr(k) for k in ["", *[k for k, _ in R.FATAL_RULES], R.OTHER_FATAL])
-TAXONOMY_SQL = f"""WITH n AS (SELECT n_nationkey AS k, ([{_ALL_KINDS}])[n_nationkey % 36 + 1] AS kind FROM nation)
+TAXONOMY_SQL = f"""WITH n AS (SELECT DISTINCT (c_custkey % 36)::INTEGER AS k, ([{_ALL_KINDS}])[c_custkey % 36 + 1] AS kind FROM customer)
 SELECT a.k AS a, b.k AS b, {_fatal_sql("a.kind", "b.kind")} AS distance FROM n a JOIN n b ON a.k < b.k"""
 
 
@@ -551,6 +579,24 @@ def q_ascii_histogram(spark, d):
 ASCII_SQL = """WITH c AS (SELECT item_id AS case_id, unnest(string_split(text, '')) AS x FROM benchmark) SELECT case_id, unicode(x)::BIGINT AS code, count(*) AS n FROM c WHERE unicode(x) BETWEEN 1 AND 127 GROUP BY ALL"""
 
 
+def q_baseline_histograms(spark, d):
+    """The baseline's three vectors a case: a user's events as report, trace and regression lines."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    ev = _t(spark, d, "events").select(F.col("user_id").alias("case_id"), F.row_number().over(w).alias("line_no"), "event_id", "event_type", "props")
+    report = ev.select("case_id", "line_no", F.when(F.col("event_type") == "error", F.concat(F.lit("UVM_ERROR "), "props")).otherwise(F.col("event_type")).alias("value"))
+    trace = ev.select("case_id", "line_no", F.concat(F.lit("  "), "line_no", F.lit(" 1 80 00ff "), "event_type", F.lit(" x1,x2")).alias("value"))
+    cases = ev.select("case_id").distinct().select("case_id", F.col("case_id").alias("ord"))
+    h = baselines.histograms(cases, ev.select("case_id", "line_no", F.col("props").alias("value")), report, trace)
+    return h.select("case_id", F.posexplode("embedding").alias("place", "n")).where("n > 0").select("case_id", F.col("place").cast("long").alias("place"), F.col("n").cast("long").alias("n"))
+
+
+HISTOGRAMS_SQL = """WITH ev AS (SELECT user_id AS case_id, event_type, props, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS back FROM events),
+parts AS (SELECT case_id, 0 AS base, 'UVM_ERROR ' || arg_min(props, i) AS value FROM ev WHERE event_type = 'error' GROUP BY case_id
+  UNION ALL SELECT case_id, 128, event_type FROM ev WHERE back <= 10 UNION ALL SELECT case_id, 256, props || chr(10) FROM ev),
+c AS (SELECT case_id, base, unicode(unnest(string_split(value, ''))) AS code FROM parts)
+SELECT case_id, (base + code)::BIGINT AS place, count(*) AS n FROM c WHERE code BETWEEN 0 AND 127 GROUP BY ALL"""
+
+
 def q_ward_characters(spark, d):
     items = _items(spark, d)
     h = items.select("case_id", F.col("case_id").alias("ord"), X.ascii_histogram(F.col("text")).alias("h"))
@@ -562,7 +608,7 @@ def q_stream_tails(spark, d):
     from faultweave.streaming.tails import tails_of_stream, run_to_end
 
     source = _t(spark, d, "events")
-    stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parquet*")
+    stream = spark.readStream.schema(source.schema).parquet(f"{d}/events.parque[t]")
     rows = stream.select(F.col("user_id").alias("case_id"), F.col("event_id").alias("line_no"), F.regexp_extract("props", '"k": *([0-9]+)', 1).alias("pc"), _mnemonic().alias("mnemonic"))
     return run_to_end(tails_of_stream(rows))
 
@@ -579,6 +625,7 @@ QUERIES = {
     "normalise_message": (q_normalise_message, f"SELECT page_id, {_normal_sql('url')} AS url, md5({_normal_sql('html')}) AS html_md5 FROM pages"),
     "first_last_match": (q_first_last_match, FIRST_SQL),
     "rule_classifier": (q_rule_classifier, RULES_SQL),
+    "fatal_kinds": (q_fatal_kinds, KINDS_SQL),
     "byte_budget": (q_byte_budget, BUDGET_SQL),
     "parse_regr": (q_parse_regr, REGR_SQL),
     "parse_sim": (q_parse_sim, SIM_SQL),
@@ -610,6 +657,7 @@ QUERIES = {
     "cluster_dbscan_pca": (_clustered("dbscan_pca"), None),
     "upgma_vectors": (q_upgma_vectors, None),
     "ascii_histogram": (q_ascii_histogram, ASCII_SQL),
+    "baseline_histograms": (q_baseline_histograms, HISTOGRAMS_SQL),
     "ward_characters": (q_ward_characters, None),
     "stream_tails": (q_stream_tails, STREAM_SQL),
 }
