@@ -5,13 +5,16 @@ counts of all shingles come from the n-gram exchange: a set with more than n - T
 other set has is alone. The others' n - T + 1 rarest shingles (the lists left when the T - 1 longest
 are put aside) bring together every pair that can be linked; what hangs together by them is one
 index block (a large one is cut into blocks that meet in pairs). In a block each set is looked up:
-its short inverted lists are merged by counting, the candidates' places in the long lists are found
-by binary search, and those that reach the overlap are linked. Equal sets count once throughout.
+its short inverted lists are merged by a heap, which skips what is in too few of them; the candidates'
+places in the long lists are found by binary search, and those that reach the overlap are linked. Equal sets count once throughout.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -72,69 +75,107 @@ def _distinct_sets(b: Batch, width: int):
     return sizes, names, first, v[take]
 
 
+def merge_skip(lists: list[list[int]], least: int, allowed: list[int] | None, found) -> None:
+    """found(c, count) for every number c that ``least`` or more of the ascending lists have, by a heap of their heads.
+
+    ``allowed`` (ascending; None: all) are the numbers that matter; found may return a new one, from which the lists go on.
+    """
+
+    def heads(start: int) -> list[tuple[int, int]]:
+        out = []
+        for k, run in enumerate(lists):
+            at[k] = bisect_left(run, start, at[k])
+            if at[k] < len(run):
+                out.append((run[at[k]], k))
+        heapify(out)
+        return out
+
+    at = [0] * len(lists)
+    heap = heads(0)
+    while len(heap) >= least:
+        c = heap[0][0]
+        if allowed is not None:
+            i = bisect_left(allowed, c)
+            if i == len(allowed):
+                return
+            if allowed[i] != c:
+                heap = heads(allowed[i])
+                continue
+        popped = []
+        while heap and heap[0][0] == c:
+            popped.append(heappop(heap)[1])
+        if len(popped) >= least:
+            now = found(c, len(popped))
+            allowed, start = (allowed, c + 1) if now is None else (now, c + 1)
+        else:  # c is too rare: with least - 1 lists put aside, no number before the next head can be in enough
+            while heap and len(popped) < least - 1:
+                popped.append(heappop(heap)[1])
+            if not heap:
+                return
+            start = heap[0][0]
+        for k in popped:
+            run = lists[k]
+            at[k] = bisect_left(run, start, at[k])
+            if at[k] < len(run):
+                heappush(heap, (run[at[k]], k))
+
+
 def divide_skip(sets: list[np.ndarray], similar: int = SIMILAR, side: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Links that join the same sets as all pairs of Jaccard likeness of ``similar`` percent do (a spanning forest of them).
 
-    With ``side`` only pairs of different sides are looked for.
+    The short inverted lists of a set's shingles are merged by a heap, the long ones probed by halving
+    for what the merge finds. Sets that are joined already are skipped over, so a large group of
+    copies costs each of its sets one link. With ``side`` only pairs of different sides are looked for.
     """
     order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
     sizes = np.array([len(sets[i]) for i in order], np.int64)
-    values = np.concatenate([sets[i] for i in order])
-    member = np.repeat(np.arange(len(order)), sizes)
-    u, inverse = np.unique(values, return_inverse=True)
-    by = np.argsort(inverse, kind="stable")  # within a list the sets ascend
-    lists, begins = member[by], np.searchsorted(inverse[by], np.arange(len(u)))
-    rank = np.empty(len(by), np.int64)  # how many smaller sets each shingle's list has
-    rank[by] = np.arange(len(by)) - begins[inverse[by]]
-    parent = list(range(len(order)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    links, at = [], 0
+    u, inverse = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    postings: list[list[int]] = [[] for _ in range(len(u))]
+    group = np.arange(len(order))  # each set's group by the links so far
+    members: dict[int, list[int]] = {}
     sides = None if side is None else np.asarray(side)[order]
-    for q, n in enumerate(sizes):
-        own, before = inverse[at : at + n], rank[at : at + n]
+    links, at, size_of = [], 0, sizes.tolist()
+
+    def join(x: int, y: int) -> None:
+        big, small = (int(group[k]) for k in ((x, y) if len(members.get(int(group[x]), ())) >= len(members.get(int(group[y]), ())) else (y, x)))
+        moved = members.pop(small, [small])
+        group[moved] = big
+        members.setdefault(big, [big]).extend(moved)
+
+    for q, n in enumerate(size_of):
+        own = inverse[at : at + n].tolist()
         at += n
-        full = before > 0
-        own, before = own[full], before[full]
-        t_least = int(required(n, similar))
-        if len(own) < t_least:
-            continue
-        turn = np.argsort(before, kind="stable")
-        own, before = own[turn], before[turn]
-        n_long = min(t_least - 1, int(t_least / (MU * np.log2(before[-1] + 1) + 1)))
-        short = len(own) - n_long
-        ends = np.cumsum(before[:short])
-        if not len(ends):
-            continue
-        spots = np.arange(ends[-1]) + np.repeat(begins[own[:short]] - (ends - before[:short]), before[:short])
-        count = np.bincount(lists[spots], minlength=q)
-        need = -(-similar * (n + sizes[:q]) // (100 + similar))
-        cand = np.flatnonzero((count[:q] > 0) & (count[:q] >= need - n_long) & (100 * sizes[:q] >= similar * n))
-        if sides is not None:
-            cand = cand[sides[cand] != sides[q]]
-        if not len(cand):
-            continue
-        roots = np.array([root(c) for c in cand])
-        shared = count[cand]
-        for k in range(n_long):
-            run = lists[begins[own[short + k]] : begins[own[short + k]] + before[short + k]]
-            i = np.minimum(np.searchsorted(run, cand), len(run) - 1)
-            shared = shared + (run[i] == cand)
-            alive = shared + (n_long - 1 - k) >= need[cand]
-            if not alive.all():
-                cand, roots, shared = cand[alive], roots[alive], shared[alive]
-                if not len(cand):
-                    break
-        good = 100 * shared >= similar * (n + sizes[cand] - shared)
-        for c, r in zip(cand[good], roots[good], strict=True):
-            if root(int(r)) != root(q):
-                parent[root(int(r))] = root(q)
-                links.append((order[int(c)], order[q]))
+        full = sorted((postings[i] for i in own if postings[i]), key=len)
+        t_least = -(-n * similar // 100)
+        if len(full) >= t_least:
+            n_long = min(t_least - 1, int(t_least / (MU * math.log2(len(full[-1]) + 1) + 1)))
+            short, long = full[: len(full) - n_long], full[len(full) - n_long :]
+            first = int(np.searchsorted(sizes, t_least))  # smaller sets are too small
+
+            def allowed() -> list[int]:
+                ok = group[first:q] != group[q]  # noqa: B023
+                if sides is not None:
+                    ok &= sides[first:q] != sides[q]  # noqa: B023
+                return (np.flatnonzero(ok) + first).tolist()  # noqa: B023
+
+            def found(c: int, count: int) -> list[int] | None:
+                need = -(-similar * (n + size_of[c]) // (100 + similar))  # noqa: B023
+                left = n_long  # noqa: B023
+                for run in long:  # noqa: B023
+                    if count + left < need:
+                        return None
+                    i = bisect_left(run, c)
+                    count += i < len(run) and run[i] == c
+                    left -= 1
+                if count < need:
+                    return None
+                links.append((order[c], order[q]))  # noqa: B023
+                join(c, q)  # noqa: B023
+                return allowed()  # noqa: B023
+
+            merge_skip(short, max(1, t_least - n_long), allowed() if first or sides is not None else None, found)
+        for i in own:
+            postings[i].append(q)
     return links
 
 

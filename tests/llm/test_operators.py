@@ -350,6 +350,46 @@ def test_similar(docs, empty):
     assert similar.similar_documents(empty).count() == 0
 
 
+def test_divide_skip_joins_what_all_pairs_join():
+    def groups(n, pairs):
+        parent = list(range(n))
+
+        def root(x):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in pairs:
+            parent[root(a)] = root(b)
+        return [root(i) for i in range(n)]
+
+    rng = np.random.default_rng(0)
+    for trial in range(150):
+        base, sets = [rng.choice(200, rng.integers(1, 40), replace=False) for _ in range(3)], []
+        for _ in range(rng.integers(2, 30)):
+            b = base[rng.integers(3)]
+            sets.append(np.unique(np.concatenate([b[rng.random(len(b)) > rng.random() * 0.3], rng.choice(200, rng.integers(0, 4))])).astype(np.uint64))
+        sets = [x for x in sets if len(x)]
+        side = None if trial % 2 else rng.integers(0, 2, len(sets))
+        alike = lambda a, b: 100 * len(np.intersect1d(a, b)) >= 75 * len(np.union1d(a, b))
+        pairs = {(i, j) for i in range(len(sets)) for j in range(i) if (side is None or side[i] != side[j]) and alike(sets[i], sets[j])}
+        got = similar.divide_skip(sets, 75, side) if sets else []
+        assert all((max(x), min(x)) in pairs for x in got)
+        a, b = groups(len(sets), got), groups(len(sets), pairs)
+        assert len(set(zip(a, b))) == len(set(a)) == len(set(b))
+
+
+def test_merge_skip_counts_what_lists_share():
+    rng = random.Random(4)
+    for _ in range(200):
+        lists = [sorted(rng.sample(range(30), rng.randint(1, 12))) for _ in range(rng.randint(1, 9))]
+        least, got = rng.randint(1, 4), {}
+        allowed = rng.choice([None, sorted(rng.sample(range(30), 14))])
+        similar.merge_skip(lists, least, allowed, lambda c, n: got.__setitem__(c, n))  # noqa: B023
+        every = Counter(x for run in lists for x in run)
+        assert got == {x: n for x, n in every.items() if n >= least and (allowed is None or x in allowed)}
+
+
 def test_similar_chains(spark):
     """A base with copies that are linked with it and not with each other, and chains of such."""
     rng = random.Random(9)
