@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from faultweave.functions import text as X
 from faultweave.operators import linkage as L
 from faultweave.operators.components import Saved
-from faultweave.operators.distances import distance_pairs
+from faultweave.operators.distances import alike, class_pairs
 from faultweave.operators.signatures import categorical_key
 from faultweave.operators.vectors import cosines, prepared_text, term_counts, tfidf
 
@@ -76,27 +76,56 @@ def by_matrix(cases: DataFrame, pairs: DataFrame, k: int, groups: Callable[[np.n
     return grouped(cases.sparkSession, cases, pairs.select("a", "b", "distance"), solve)
 
 
-def text_pairs(cases: DataFrame) -> DataFrame:
-    """(a, b, distance): cosine distance of the cases' texts for pairs that share a term; others are at 1."""
-    texts = prepared_text(cases.select(F.col("ord").alias("case_id"), "text_blob"))
-    return cosines(tfidf(texts)).select("a", "b", (1.0 - F.col("cosine")).alias("distance"))
+def like_ones(named: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Values for ``grouped``: each case's class (distance -1) and the classes' distances; a class goes by its first case."""
+    first = named.groupBy("cls").agg(F.min("ord").alias("first"))
+    own = named.join(first, "cls").select(F.col("ord").alias("a"), F.col("first").alias("b"), F.lit(-1.0).alias("distance"))
+    x, y = (first.select(F.col("cls").alias(k), F.col("first").alias(f"{k}_first")) for k in "ab")
+    return own.unionByName(pairs.join(x, "a").join(y, "b").select(F.col("a_first").alias("a"), F.col("b_first").alias("b"), "distance"))
+
+
+def full_matrix(n: int, a: np.ndarray, b: np.ndarray, d: np.ndarray, other: float = 0.0) -> np.ndarray:
+    """Distances of all cases from ``like_ones``; classes without a pair are at ``other``."""
+    own = d < 0
+    cls = np.arange(n)
+    cls[a[own]] = b[own]
+    between = np.full((n, n), other)
+    between[a[~own], b[~own]] = d[~own]
+    between[np.arange(n), np.arange(n)] = 0.0
+    upper = np.triu(between[np.ix_(cls, cls)], 1)  # the earlier case's class first
+    return upper + upper.T
+
+
+def by_classes(cases: DataFrame, k: int, groups: Callable[[np.ndarray, int], list[list[int]]]) -> DataFrame:
+    """Labels from groups(matrix, k) of the hybrid distances."""
+
+    def solve(n: int, data: dict[str, np.ndarray]) -> np.ndarray:
+        kk = L.clamp(k, n)
+        if n <= 1 or kk == 1:
+            return np.zeros(n, np.int64)
+        return L.labels(groups(full_matrix(n, data["a"], data["b"], data["distance"]), kk), n)
+
+    named = alike(cases)
+    return grouped(cases.sparkSession, cases, like_ones(named, class_pairs(named)), solve)
 
 
 def cluster_tfidf(cases: DataFrame, k: int) -> DataFrame:
+    """Average linkage over the texts' cosine distances; equal texts are one class, texts that share no term are at 1."""
+
     def solve(n: int, data: dict[str, np.ndarray]) -> np.ndarray:
         kk = L.clamp(k, n)
         if n <= 1 or kk == 1:
             return np.zeros(n, np.int64)
-        d = np.ones((n, n))
-        np.fill_diagonal(d, 0.0)
-        d[data["a"], data["b"]] = d[data["b"], data["a"]] = np.clip(data["distance"], 0.0, 1.0)
-        return L.labels(L.average_linkage(d, kk), n)
+        return L.labels(L.average_linkage(full_matrix(n, data["a"], data["b"], data["distance"], 1.0), kk), n)
 
-    return grouped(cases.sparkSession, cases, text_pairs(cases), solve)
+    named = prepared_text(cases.select(F.col("ord").alias("case_id"), "text_blob")).select(F.col("case_id").alias("ord"), "text", F.xxhash64("text").alias("cls"))
+    near = cosines(tfidf(named.groupBy(F.col("cls").alias("case_id")).agg(F.first("text").alias("text"), F.count("*").alias("n"))))
+    near = near.select("a", "b", F.greatest(F.lit(0.0), 1.0 - F.col("cosine")).alias("distance"))
+    return grouped(cases.sparkSession, cases, like_ones(named, near.union(near.select("b", "a", "distance"))), solve)
 
 
 def cluster_hybrid(cases: DataFrame, k: int) -> DataFrame:
-    return by_matrix(cases, distance_pairs(cases), k, L.average_linkage)
+    return by_classes(cases, k, L.average_linkage)
 
 
 def _density(d: np.ndarray, k: int) -> list[list[int]]:
@@ -107,7 +136,7 @@ def _density(d: np.ndarray, k: int) -> list[list[int]]:
 
 
 def cluster_dbscan(cases: DataFrame, k: int) -> DataFrame:
-    return by_matrix(cases, distance_pairs(cases), k, _density)
+    return by_classes(cases, k, _density)
 
 
 def cluster_signature_then_tfidf(cases: DataFrame, k: int) -> DataFrame:
@@ -149,7 +178,8 @@ def cluster_dbscan_pca(cases: DataFrame, k: int) -> DataFrame:
     """Density clustering of word counts reduced by SVD; repaired to k with the hybrid distances."""
     texts = prepared_text(cases.select(F.col("ord").alias("case_id"), "text_blob"))
     counts = term_counts(texts, {"word": (1, 2)}).withColumn("t", F.xxhash64("term"))
-    values = distance_pairs(cases).select("a", "b", F.col("distance"), F.lit(0.0).alias("hi"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("tf"))
+    named = alike(cases)
+    values = like_ones(named, class_pairs(named)).select("a", "b", F.col("distance"), F.lit(0.0).alias("hi"), F.lit(0.0).alias("lo"), F.lit(0.0).alias("tf"))
     values = values.unionByName(counts.select(F.col("case_id").alias("a"), F.col("case_id").alias("b"), F.lit(0.0).alias("distance"), F.floor(F.col("t") / F.lit(2.0**32)).cast("double").alias("hi"), F.pmod("t", F.lit(2**32)).cast("double").alias("lo"), F.col("tf").cast("double").alias("tf")))
 
     def solve(n: int, data: dict[str, np.ndarray]) -> np.ndarray:
@@ -157,7 +187,7 @@ def cluster_dbscan_pca(cases: DataFrame, k: int) -> DataFrame:
         if n <= 1 or kk == 1:
             return np.zeros(n, np.int64)
         own = data["tf"] > 0
-        d = L.matrix(n, data["a"][~own], data["b"][~own], data["distance"][~own])
+        d = full_matrix(n, data["a"][~own], data["b"][~own], data["distance"][~own])
         _, col = np.unique(np.stack([data["hi"][own], data["lo"][own]]), axis=1, return_inverse=True)
         x = np.zeros((n, int(col.max()) + 1 if len(col) else 1))
         np.add.at(x, (data["a"][own], col.ravel()), data["tf"][own])

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.functions import rules as R
+from faultweave.functions import text as X
 from faultweave.operators.signatures import categorical_key
-from faultweave.operators.vectors import cosines, prepared_text, tfidf
+from faultweave.operators.vectors import cosines, tfidf
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -108,32 +109,49 @@ def blend(signature: Column, cosine_distance: Column) -> Column:
     return w * signature + (1.0 - w) * cosine_distance
 
 
-def case_pairs(cases: DataFrame) -> DataFrame:
-    """Every pair of rows, the earlier one under ``a_``, the later under ``b_``, with ``alike`` (their asserts) and ``places`` (their contexts).
+#: What the distance of two signature rows depends on.
+RELEVANT = [
+    "failure_mode", "regr_test_name", "sim_fatal_kind", "sim_fatal_source", "sim_error_asserts", "trace_length_bucket", "has_repeating_tail", "has_signature_loop", "tail_mnem_uniformity",
+    "mismatch_ibex_mnemonic", "mismatch_spike_mnemonic", "mismatch_context_mnemonics", "early_mismatch", "same_reg_pair",
+]
 
-    The distance matrix is a value per pair by definition.
-    """
-    a = cases.select(*[F.col(c).alias(f"a_{c}") for c in cases.columns])
-    b = cases.select(*[F.col(c).alias(f"b_{c}") for c in cases.columns])
-    return _compared(a.join(b, F.col("a_ord") < F.col("b_ord")))
 
+def alike(cases: DataFrame, with_text: bool = True) -> DataFrame:
+    """The cases with their key, their prepared text and ``cls``, which rows have in common that no distance tells apart."""
+    text = X.or_placeholder(X.clean_blob(F.col("text_blob")), F.col("ord")) if with_text else F.lit("")
+    named = cases.withColumn("key", categorical_key()).withColumn("text", text)
+    return named.withColumn("cls", F.xxhash64(*RELEVANT, "key", "text"))
 
-def _compared(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("alike", jaccard(*_pair("sim_error_asserts"))).withColumn("places", overlap(*_pair("mismatch_context_mnemonics")))
 
+def class_pairs(named: DataFrame) -> DataFrame:
+    """(a, b, signature, cosine, distance) for the classes of ``alike`` rows, a's row being the earlier one; a pair has both orders if both occur.
 
-def distance_pairs(cases: DataFrame, with_text: bool = True) -> DataFrame:
-    """(a, b, signature, cosine, distance) for all pairs of signature rows with ``ord`` a < b; equal keys are at distance 0."""
-    keyed = cases.withColumn("key", categorical_key())
-    pairs = case_pairs(keyed)
+    Distances are a value per pair by definition, but failing cases come in many like ones: the pairs are those of unlike rows.
+    """
+    classes = named.groupBy("cls").agg(F.min("ord").alias("ord"), F.max("ord").alias("last"), *[F.first(c).alias(c) for c in (*RELEVANT, "key", "text")])
+    a = classes.select(*[F.col(c).alias(f"a_{c}") for c in classes.columns])
+    b = classes.select(*[F.col(c).alias(f"b_{c}") for c in classes.columns])
+    pairs = a.join(b, (F.col("a_ord") < F.col("b_last")) & (F.col("a_cls") != F.col("b_cls")))
+    pairs = pairs.withColumn("alike", jaccard(*_pair("sim_error_asserts"))).withColumn("places", overlap(*_pair("mismatch_context_mnemonics")))
     same = F.col("a_key") == F.col("b_key")
     pairs = pairs.withColumn("signature", F.when(same, 0.0).otherwise(signature_distance()))
-    if with_text:
-        texts = prepared_text(cases.select(F.col("ord").alias("case_id"), "text_blob"))
-        near = cosines(tfidf(texts)).withColumnsRenamed({"a": "a_ord", "b": "b_ord"})
-        pairs = pairs.join(near, ["a_ord", "b_ord"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
-        away = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - F.col("cosine")))
-        pairs = pairs.withColumn("distance", F.when(same, 0.0).otherwise(blend(F.col("signature"), away)))
-    else:
-        pairs = pairs.withColumn("cosine", F.lit(0.0)).withColumn("distance", F.col("signature"))
-    return pairs.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "signature", "cosine", "distance")
+    texts = named.groupBy(F.xxhash64("text").alias("case_id")).agg(F.first("text").alias("text"), F.count("*").alias("n"))
+    near = cosines(tfidf(texts)).select(F.col("a").alias("x"), F.col("b").alias("y"), "cosine")
+    x, y = F.xxhash64("a_text"), F.xxhash64("b_text")
+    pairs = pairs.withColumn("x", F.least(x, y)).withColumn("y", F.greatest(x, y)).join(near, ["x", "y"], "left")
+    pairs = pairs.withColumn("cosine", F.when(F.col("x") == F.col("y"), 1.0).otherwise(F.coalesce("cosine", F.lit(0.0))))
+    away = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 - F.col("cosine")))
+    pairs = pairs.withColumn("distance", F.when(same, 0.0).otherwise(blend(F.col("signature"), away)))
+    return pairs.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), "signature", "cosine", "distance")
+
+
+def distance_pairs(cases: DataFrame, with_text: bool = True) -> DataFrame:
+    """(a, b, signature, cosine, distance) for all pairs of signature rows with ``ord`` a < b; equal keys are at distance 0."""
+    named = alike(cases, with_text)
+    own = named.select("cls").distinct().select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(0.0).alias("signature"), F.lit(1.0).alias("cosine"), F.lit(0.0).alias("distance"))
+    pairs = class_pairs(named).unionByName(own)
+    a, b = (named.select(F.col("cls").alias(k), F.col("ord").alias(f"{k}_ord")) for k in "ab")
+    out = pairs.join(a, "a").join(b, "b").where("a_ord < b_ord")
+    if not with_text:
+        out = out.withColumn("cosine", F.lit(0.0)).withColumn("distance", F.col("signature"))
+    return out.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "signature", "cosine", "distance")

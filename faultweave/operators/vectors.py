@@ -21,10 +21,15 @@ def term_counts(docs: DataFrame, spaces: dict = SPACES) -> DataFrame:
 
 
 def tfidf(docs: DataFrame, spaces: dict = SPACES) -> DataFrame:
-    """Sublinear term frequency times smooth inverse document frequency, each case's space at length 1."""
-    n = docs.count()
+    """Sublinear term frequency times smooth inverse document frequency, each case's space at length 1.
+
+    ``docs(case_id, text)`` may have ``n``, how many cases have that text; a row counts as so many then.
+    """
+    many = "n" in docs.columns
+    n = (docs.agg(F.sum("n")).first()[0] or 0) if many else docs.count()
     counts = term_counts(docs, spaces)
-    df = counts.groupBy("space", "term").agg(F.count("*").alias("df"))
+    weighed = counts.join(docs.select("case_id", "n"), "case_id") if many else counts.withColumn("n", F.lit(1))
+    df = weighed.groupBy("space", "term").agg(F.sum("n").alias("df"))
     raw = counts.join(df, ["space", "term"])
     raw = raw.withColumn("w", (1 + F.log("tf")) * (F.log((1.0 + n) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("case_id", "space")))
