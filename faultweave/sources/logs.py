@@ -29,21 +29,40 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lines(spark: SparkSession, wanted: DataFrame) -> DataFrame:
-    """(case_id, line_no, value) of ``wanted(case_id, path)``; a path ending in .gz is unpacked, missing files have no lines.
+    """(case_id, line_no, value) of ``wanted(case_id, path)``; a path ending in .gz is unpacked.
 
-    Only the paths go to the driver (one per case); the lines are read by executors, whole file by file,
-    since a line's number needs all lines before it.
+    Missing files have no lines; of a file that breaks off (a cut gzip) the lines before the break count.
+    Only the paths go to the driver, and one listing a folder. Files are read line by line and large
+    plain ones in several splits: a line's number is its place in its split after the lines of the splits before.
     """
-    paths = [r["path"] for r in wanted.select("path").distinct().collect()]
-    there = [p for p in paths if _exists(spark, p)]
+    paths = [r["path"] for r in wanted.select("path").distinct().collect() if r["path"]]
+    there = _existing(spark, paths)
     if not there:
         return spark.createDataFrame([], "case_id long, line_no int, value string")
-    files = spark.read.text(there, wholetext=True).select(F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("uri"), "value")
-    places = spark.createDataFrame([(p, _uri(spark, p)) for p in there], "path string, uri string")
-    lines = files.join(F.broadcast(places), "uri").join(wanted, "path")
-    split = F.split("value", "\r\n|\n|\r")
-    kept = F.when(F.element_at(split, -1) == "", F.slice(split, 1, F.size(split) - 1)).otherwise(split)
-    return lines.select("case_id", F.posexplode(kept).alias("line_no", "value"))
+    source = spark.read.option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(sorted(there))
+    uri = F.regexp_replace("_metadata.file_path", "^file:/+", "file:/").alias("uri")
+    lines = source.select(uri, F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("n"), "value")
+    counts = lines.groupBy("uri", "split").agg(F.count("*").alias("lines"))
+    before = counts.select("uri", "split", (F.sum("lines").over(Window.partitionBy("uri").orderBy("split")) - F.col("lines")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("uri", "split").orderBy("n")) - 1
+    numbered = lines.withColumn("nth", nth).join(before, ["uri", "split"])
+    places = spark.createDataFrame(list(there.items()), "path string, uri string")
+    return numbered.join(F.broadcast(places), "uri").join(wanted, "path").select("case_id", (F.col("before") + F.col("nth")).cast("int").alias("line_no"), "value")
+
+
+def _existing(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """path -> its full name, for those that are files; each folder is listed once."""
+    folders: dict[str, dict[str, str]] = {}
+    out = {}
+    for path in paths:
+        p, fs = _path(spark, path)
+        folder = str(p.getParent()) if p.getParent() is not None else ""
+        if folder not in folders:
+            found = fs.listStatus(p.getParent()) if folder and fs.exists(p.getParent()) else []
+            folders[folder] = {f.getPath().getName(): f.getPath().toUri().toString() for f in found if f.isFile()}
+        if p.getName() in folders[folder]:
+            out[path] = re.sub("^file:/+", "file:/", folders[folder][p.getName()])
+    return out
 
 
 def _path(spark: SparkSession, path: str):
@@ -51,16 +70,6 @@ def _path(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p, fs = _path(spark, path)
-    return fs.exists(p) and fs.getFileStatus(p).isFile()
-
-
-def _uri(spark: SparkSession, path: str) -> str:
-    p, fs = _path(spark, path)
-    return re.sub("^file:/+", "file:/", fs.makeQualified(p).toUri().toString())
-
-
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """A label CSV; numbers in Case become long, all else stays text."""
     rows = spark.read.csv(path, header=True)
@@ -68,8 +77,16 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_buckets(rows: DataFrame, path: str) -> None:
-    """One CSV file in the folder ``path``, in manifest order (one row a case)."""
-    rows.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """One CSV file at ``path``, with a header, in manifest order (one row a case); what was there before is replaced."""
+    spark, parts = rows.sparkSession, f"{path.rstrip('/')}.parts"
+    rows.coalesce(1).write.mode("overwrite").csv(parts, header=True)
+    folder, fs = _path(spark, parts)
+    goal = _path(spark, path)[0]
+    written = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("part-")]
+    fs.delete(goal, True)
+    if not fs.rename(written[0], goal):
+        raise OSError(f"cannot write {path}")
+    fs.delete(folder, True)
 
 
 def numbered_lines(texts: DataFrame, case: str, text: str) -> DataFrame:

@@ -33,6 +33,38 @@ def test_run_and_evaluate(spark, tmp_path, capsys):
     assert bucketing.main(["eval", "--output", str(tmp_path / "out"), "--golden", str(tmp_path / "golden.csv"), "--golden-col", "No"]) == 1
 
 
+def test_output_is_one_file(spark, tmp_path):
+    out = tmp_path / "buckets.csv"
+    for rows in ([(3, "bucket_0"), (1, "bucket_1"), (2, "bucket_0")], [], [(7, "bucket_0")]):
+        logs.write_buckets(spark.createDataFrame(rows, "Case long, bucket string"), str(out))
+        assert out.is_file() and out.read_text() == "Case,bucket\n" + "".join(f"{c},{b}\n" for c, b in rows)
+        assert sorted(p.name for p in tmp_path.iterdir() if not p.name.endswith(".crc")) == ["buckets.csv"]
+
+
+def test_lines_of_large_cut_and_missing_files(spark, tmp_path):
+    """Lines of a file that is read in many splits keep their numbers; a cut gzip gives what it holds; line ends of all kinds."""
+    plain = [f"line {i} " + "x" * (i % 50) for i in range(4000)]
+    (tmp_path / "a.log").write_text("\n".join(plain) + "\n")
+    (tmp_path / "b.log").write_bytes(b"one\r\ntwo\rthree\n\nfive")
+    (tmp_path / "empty.log").write_text("")
+    packed = gzip.compress("".join(f"row {i} {i * 7919 % 1000003}\n" for i in range(200_000)).encode())
+    (tmp_path / "cut.log.gz").write_bytes(packed[: len(packed) // 2])
+    (tmp_path / "folder.log").mkdir()
+    names = ["a.log", "b.log", "empty.log", "cut.log.gz", "none.log", "folder.log", "no/such/folder.log"]
+    wanted = spark.createDataFrame([(i, str(tmp_path / n)) for i, n in enumerate(names)] + [(9, str(tmp_path / "b.log")), (10, None)], "case_id long, path string")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        got = {}
+        for r in logs.read_lines(spark, wanted).collect():
+            got.setdefault(r["case_id"], {})[r["line_no"]] = r["value"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [got[0][i] for i in range(len(got[0]))] == plain
+    assert [got[1][i] for i in range(5)] == ["one", "two", "three", "", "five"] and got[9] == got[1]
+    assert 50_000 < len(got[3]) < 200_000 and all(got[3][i] == f"row {i} {i * 7919 % 1000003}" for i in range(len(got[3]) - 1))
+    assert set(got) == {0, 1, 3, 9}
+
+
 def test_manifest_columns_are_checked(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("Case,Sim Log\n1,a\n")
     with pytest.raises(ValueError, match="Regr Log"):
