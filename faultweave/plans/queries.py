@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from faultweave.functions import rules as R
 from faultweave.functions import text as X
-from faultweave.operators import baselines, clustering, distances, parsing, scoring, vectors
+from faultweave.operators import baselines, clustering, distances, nearest, parsing, scoring, vectors
 from faultweave.operators.components import Saved
 from faultweave.operators.signatures import categorical_key, is_early, routes, signatures
 from faultweave.sources import logs
@@ -511,7 +511,12 @@ def q_hybrid_matrix(spark, d):
     return distances.distance_pairs(_cases(spark, d)).select("a", "b", F.round("signature", 6).alias("signature"), F.round("cosine", 5).alias("cosine"), F.round("distance", 5).alias("distance"))
 
 
+def _vectors(spark, d):
+    return _t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+
+
 def _vector_pairs(spark, d):
+    """All pairs, for the one query whose method needs the whole matrix."""
     e = _t(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     a, b = e.select(F.col("vec_id").alias("a"), F.col("v").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("v").alias("vb"))
     gap = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
@@ -523,9 +528,9 @@ _VECTORS = "e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE)
 
 def q_radius_grid(spark, d):
     q = clustering.DENSITY_QUANTILES
-    p = _vector_pairs(spark, d).agg(F.percentile("distance", q).alias("r"))
+    found = spark.createDataFrame(list(zip(q, nearest.pair_quantiles(_vectors(spark, d), q), strict=True)), "quantile double, r double")
     low, high = clustering.DENSITY_LIMITS
-    return p.select(F.posexplode("r").alias("i", "r")).select(F.get(F.array(*[F.lit(x) for x in q]), F.col("i")).alias("quantile"), F.round("r", 5).alias("radius"), F.round(F.greatest(F.lit(low), F.least(F.lit(high), F.col("r"))), 5).alias("clipped"))
+    return found.select("quantile", F.round("r", 5).alias("radius"), F.round(F.greatest(F.lit(low), F.least(F.lit(high), F.col("r"))), 5).alias("clipped"))
 
 
 # the quantile must be a constant in an aggregate: one query each
@@ -533,10 +538,7 @@ RADIUS_SQL = f"WITH {_VECTORS}, r AS (" + " UNION ALL ".join(f"SELECT {x}::DOUBL
 
 
 def q_second_neighbour(spark, d):
-    p = _vector_pairs(spark, d)
-    both = p.select("a", "distance").union(p.select(F.col("b").alias("a"), "distance"))
-    ranked = both.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy("distance")))
-    return ranked.where("nth = 2").select(F.col("a").alias("vec_id"), F.round("distance", 5).alias("distance"))
+    return nearest.nth_distance(_vectors(spark, d), 2).select(F.col("id").alias("vec_id"), F.round("distance", 5).alias("distance"))
 
 
 SECOND_SQL = f"""WITH {_VECTORS}, s AS (SELECT a AS v, d FROM p UNION ALL SELECT b, d FROM p)
@@ -547,8 +549,7 @@ def q_density_components(spark, d):
     """Groups of vectors within 1.2 of each other by chains: least member, by label propagation over the edges."""
     from faultweave.operators.components import components
 
-    near = _vector_pairs(spark, d).where("distance <= 1.2").select("a", "b")
-    found = components(near)
+    found = components(nearest.near_links(_vectors(spark, d), 1.2))
     return _t(spark, d, "embeddings").select("vec_id").join(found, F.col("vec_id") == F.col("node"), "left").select("vec_id", F.col("component"), F.col("component").isNull().alias("noise"))
 
 
