@@ -90,6 +90,25 @@ def test_lm_scores(spark, docs, empty):
     assert scoring.lm_scores(empty).count() == 0
 
 
+def test_word_queries_on_a_table_with_clashing_columns(spark, tmp_path):
+    """The registered queries of the word operators: their columns, and the rows their plain versions give."""
+    data = corpus()
+    (tmp_path / "d").mkdir()
+    spark.createDataFrame(data, SCHEMA).repartition(3).write.parquet(str(tmp_path / "d/documents.parquet"))
+    here = str(tmp_path / "d")
+    found = similar.op6_similar(spark, here)
+    assert found.columns == ["doc_id", "n_shingles", "component_id"]
+    assert rows(found, *found.columns) == sorted(plain_components([(r[0], r[1]) for r in data]), key=str)
+    found = repeats.op8_repeats(spark, here)
+    assert found.columns == ["doc_id", "start_word", "end_word", "n_words"]
+    once = {(r[0], r[1]): words(r[1]) for r in data}
+    copies = Counter((r[0], r[1]) for r in data)
+    want = [(d, a, b, b - a) for (d, t), w in once.items() for x, a, b in plain_repeats([((i, u), v) for (i, u), v in once.items()]) if x == (d, t) for _ in range(copies[d, t])]
+    assert rows(found, *found.columns) == sorted(want, key=str)
+    found = scoring.op1_lm_scores(spark, here)
+    assert found.columns == ["doc_id", "n_words", "log_score", "mean_log_score"] and found.count() == len(data)
+
+
 def test_sketches(spark, docs, empty):
     from pyspark.sql import functions as F
 
@@ -915,6 +934,66 @@ def test_templates_equal_plain_ones(spark):
         assert got == plain_template(t), t
 
 
+def plain_leaks(docs, items):
+    """Every window of every pair of texts, by plain loops."""
+    split = lambda t: [w for w in re.split("[ \\t-\\r]+", t) if w]
+    bare = lambda w: w.rstrip(".,;:!?\"')]}").lower()
+    out = {}
+    for (d, text), (item, question) in {(a, b) for a in docs for b in items if a[1] is not None and b[1] is not None}:
+        dw, iw, dt, it = split(text), split(question), plain_template(text), plain_template(question)
+        if len(it) < leaks.MIN_WORDS:
+            continue
+        w, shifts = min(leaks.WINDOW, len(it)), {}
+        for i in range(len(it) - w + 1):
+            if sum(not t.startswith("\x01") for t in it[i : i + w]) >= leaks.MIN_WORDS:
+                for j in range(len(dt) - w + 1):
+                    if dt[j : j + w] == it[i : i + w]:
+                        shifts.setdefault(j - i, []).append(i)
+        for shift, at in shifts.items():
+            begins = [k for k in range(len(at)) if k == 0 or at[k - 1] != at[k] - 1]
+            ends = [k for k in range(len(at)) if k == len(at) - 1 or at[k + 1] != at[k] + 1]
+            for s in begins:
+                for e in ends:
+                    tokens = at[e] - at[s] + w
+                    if e < s or (e - s + 1) * 2 <= tokens - w or tokens < min(leaks.MIN_TOKENS, len(it)):
+                        continue
+                    spots = [p for p in range(at[s], at[s] + tokens) if it[p].startswith("\x01") and dt[p + shift] == it[p]]
+                    pairs = {(bare(iw[p]), bare(dw[p + shift])) for p in spots}
+                    agree = min(len({a for a, _ in pairs}), len({b for _, b in pairs})) / len(pairs) if pairs else 1.0
+                    changed = sum(a != b for a, b in pairs)
+                    if agree >= leaks.MIN_CONSISTENT and (len(it) >= leaks.WINDOW or not changed):
+                        m = (tokens, agree, -(at[s] + shift), -at[s], tokens / len(it), len(pairs), changed)
+                        out[d, item] = max(out.get((d, item), m), m)
+    return sorted(((d, i, -m[2], -m[3], m[0], round(m[4], 9), m[5], m[6], round(m[1], 9)) for (d, i), m in out.items()), key=str)
+
+
+def test_leaks_query_against_plain_loops(spark, tmp_path):
+    rng = random.Random(31)
+    plain = lambda n: [rng.choice("bdfgklm") + rng.choice("aeiou") + rng.choice("bdfgklm") + rng.choice("aeiou") for _ in range(n)]
+    slot = lambda: rng.choice([str(rng.randint(1, 99)), "$" + str(rng.randint(1, 9)), rng.choice(["Anna", "Boris", "Clara", "Dora"]), "twelve", "5 km"])
+    text = lambda n: " ".join(slot() if rng.random() < 0.2 else w + rng.choice(["", "", "", ".", ","]) for w in plain(n))
+    items = [(i, text(rng.choice([3, 5, 6, 7, 8, 12, 20, 45]))) for i in range(25)] + [(30, None), (31, ""), (0, "if " + text(12))]
+    items.append(items[4])
+
+    def retold(question):
+        names = {x: rng.choice(["Emil", "Frank", "Greta", "Hanna"]) for x in ("Anna", "Boris", "Clara", "Dora")}
+        out = []
+        for w in question.split():
+            out.append(names.get(w, str(rng.randint(100, 999)) if w.isdigit() else w) if rng.random() < 0.97 else plain(1)[0])
+        return " ".join(out)
+
+    docs = [(d, " ".join(rng.choice([lambda: text(rng.randint(0, 30)), lambda: rng.choice(items)[1] or "", lambda: retold(rng.choice(items)[1] or "")])() for _ in range(rng.randint(0, 4)))) for d in range(150)]
+    docs += [(None, items[7][1]), (None, items[7][1]), (200, None), (201, ""), docs[9], (9, text(20))]
+    (tmp_path / "d").mkdir()
+    spark.createDataFrame([(*r, 1, "x", 2) for r in docs], "doc_id long, text string, item_id int, tokens string, h int").repartition(3).write.parquet(str(tmp_path / "d/documents.parquet"))
+    spark.createDataFrame([(*r, 1, "x") for r in items], "item_id long, text string, doc_id int, words string").write.parquet(str(tmp_path / "d/benchmark.parquet"))
+    df = leaks.op10_leaks(spark, str(tmp_path / "d"))
+    assert df.columns == ["doc_id", "item_id", "start_word", "item_start", "n_tokens", "coverage", "n_slots", "n_changed", "consistent"]
+    want = plain_leaks(docs, items)
+    assert len(want) > 80 and any(r[7] for r in want) and any(r[4] < leaks.WINDOW for r in want)
+    assert sorted(((*tuple(r)[:5], round(r["coverage"], 9), r["n_slots"], r["n_changed"], round(r["consistent"], 9)) for r in df.collect()), key=str) == want
+
+
 def test_leaks_in_parts(spark):
     """Runs of an item stand for themselves: more leaked text or text in between hides none of them."""
     rng = random.Random(3)
