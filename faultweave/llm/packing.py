@@ -13,6 +13,7 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,17 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from faultweave.llm._shared import Saved, table
+from faultweave.llm.words import text_buffers
 
 SIZE, END_ID = 4096, 1
 #: Partners tried for each longest length; tokens a pattern may waste (each is tried, the shortest plan is taken; None: the patterns are best-fit's own sequences of two to four pieces); rounds of the fit.
 PARTNERS, WASTES, ROUNDS = 24, (16, 2, 0, None), 200
 #: Parts that a length's rows are ranked in, so that a common length is never one task.
 SALTS = 64
-_CACHE_CHUNKS, _CACHE_RUNS, _CACHE_CHARS = 500_000, 700_000, 40_000_000
+#: Strings remembered and their characters, at most; bytes of text encoded together (a longer text alone).
+_CACHE, _CACHE_CHARS, _SLICE = 1_100_000, 40_000_000, 3 << 20
+_BLANKS = np.arange(256, dtype=np.uint8)
+_BLANKS[[9, 10, 13]] = 32
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -45,51 +50,84 @@ class Encoder:
     space-separated chunks one after the other. A chunk of plain characters without an apostrophe is
     also the ids of its runs of letters and of others. Plain are only characters whose lower case and
     kind were found to be the tokenizer's own; every other chunk is encoded as it stands. Chunks and
-    runs are remembered, up to a bound, and new ones are encoded together.
+    runs are remembered, up to a bound, and new ones are encoded together; runs of letters need only
+    the vocabulary's merges.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-        self.tokenizer, self.chunks, self.runs, self.chars = Tokenizer.from_file(path), {"": b""}, {}, 0
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[str, bytes] = {}
+        self.chars = 0
         tried = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x530)) if chr(c) != "'" and self.alone(chr(c))]
         whole = self.tokenizer.encode_batch([f"a{c}b{c}{c}" for c in tried], add_special_tokens=False)
         parts = self.tokenizer.encode_batch([" ".join(_RUNS.findall(f"a{c}b{c}{c}".lower())) for c in tried], add_special_tokens=False)
         plain = "".join(c for c, x, y in zip(tried, whole, parts, strict=True) if x.ids == y.ids)
-        self.plain = re.compile(f"[{re.escape(plain)}]*").fullmatch
+        self.plain = re.compile(f"[{re.escape(plain)}\\n]*").fullmatch  # of chunks, or of lines of them
 
     @staticmethod
     def alone(c: str) -> bool:
         """Whether a character's lower case and normal form are one character whatever stands around it."""
         return c != "\u03a3" and len(c.lower()) == 1 and unicodedata.normalize("NFC", c) == c and not unicodedata.combining(c)
 
-    def encode_all(self, runs: list[str]) -> None:
+    def encode_all(self, tokenizer, runs: list[str]) -> None:
         if not runs:
             return
-        e = self.tokenizer.encode(runs, is_pretokenized=True, add_special_tokens=False)
+        e = tokenizer.encode(runs, is_pretokenized=True, add_special_tokens=False)
         raw = np.array(e.ids, "<u4").tobytes()
         ends = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(runs)) * 4).tolist()
-        start = 0
-        for run, end in zip(runs, ends, strict=True):
-            self.runs[run], start = raw[start:end], end
-
-    def split(self, chunk: str) -> list[str]:
-        if "<|" in chunk or not self.plain(chunk):
-            return [chunk]
-        return _RUNS.findall(chunk.lower())
+        self.known.update(zip(runs, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+
+    def learn(self, chunks: list[str]) -> None:
+        """Remembers the ids of new chunks."""
+        lines = "\n".join(chunks)
+        if "<|" not in lines and self.plain(lines):
+            runs = [[low] if low.isalpha() else _RUNS.findall(low) for low in lines.lower().split("\n")]
+            strange: set[str] = set()
+        else:
+            strange = {c for c in chunks if "<|" in c or not self.plain(c)}
+            runs = [[c] if c in strange else _RUNS.findall(c.lower()) for c in chunks]
+        known = self.known
+        fresh = {r for r in chain.from_iterable(runs) if r not in known}
+        # a run of plain letters in lower case is one word of the vocabulary's: nothing of it is normalised or split
+        letters = [r for r in fresh if r.isalpha() and r not in strange]
+        self.encode_all(self.bare, letters)
+        self.encode_all(self.tokenizer, list(fresh.difference(letters)))
+        known.update([(c, known[rs[0]] if len(rs) == 1 else b"".join([known[r] for r in rs])) for c, rs in zip(chunks, runs, strict=True) if rs != [c]])
+        self.chars += len(lines) + sum(map(len, fresh))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.chunks) > _CACHE_CHUNKS or len(self.runs) > _CACHE_RUNS or self.chars > _CACHE_CHARS:
-            self.chunks, self.runs, self.chars = {"": b""}, {}, 0
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        known = self.chunks
-        new = {c: self.split(c) for c in {c for cs in split for c in cs if c not in known}}
-        self.encode_all(list({r for rs in new.values() for r in rs if r not in self.runs}))
-        runs = self.runs
-        self.chars += sum(map(len, new))
-        for c, rs in new.items():
-            known[c] = runs[rs[0]] if len(rs) == 1 else b"".join([runs[r] for r in rs])
-        return [b"".join([known[c] for c in cs]) for cs in split]
+        ids, ends = self.encode(pa.array(texts, pa.large_string()))
+        return [ids[s:e].tobytes() for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, list[int]]:
+        """Ids of all texts end to end, and where each text's ids end. Each distinct chunk is looked up once."""
+        if len(self.known) > _CACHE or self.chars > _CACHE_CHARS:
+            self.known, self.chars = {}, 0
+        known = self.known
+        split = pc.split_pattern(_blanks(texts), " ")
+        words = split.flatten().dictionary_encode()
+        here = words.dictionary.to_pylist()
+        found = list(map(known.get, here))
+        new = [c for c, i in zip(here, found, strict=True) if i is None]
+        if new:
+            self.learn(new)
+            found = [known[c] if i is None else i for c, i in zip(here, found, strict=True)]
+        flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at = words.indices.to_numpy()
+        size = sizes[at]
+        upto = np.append(0, np.cumsum(size))
+        # from each chunk's place in ``flat`` on, as many ids as it has
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], size) + np.arange(upto[-1])]
+        return ids, upto[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()].tolist()
+
+
+def _blanks(texts: pa.LargeStringArray) -> pa.LargeStringArray:
+    """The texts with a blank for each line end and tab."""
+    raw, offsets = text_buffers(texts)
+    return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(_BLANKS[raw]))
 
 
 _encoders: dict[str, object] = {}
@@ -102,16 +140,20 @@ def pieces(documents: DataFrame, vocabulary: str, size: int = SIZE, end_id: int
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if _encoders.get("path") != vocabulary:
             _encoders.update(path=vocabulary, encoder=Encoder(vocabulary))
-        encode: Encoder = _encoders["encoder"]  # the worker's next tasks find what this one has learned
+        encoder: Encoder = _encoders["encoder"]  # the worker's next tasks find what this one has learned
         for rb in it:
-            rows = []
-            for i in range(0, rb.num_rows, 200):
-                part = rb.slice(i, 200)
-                for doc, ids in zip(part.column(0).to_pylist(), encode(pc.fill_null(part.column(1), "").to_pylist()), strict=True):
-                    ids += last
-                    n = len(ids) // 4
+            rows, texts = [], pc.fill_null(rb.column(1), "").cast(pa.large_string())
+            upto = np.cumsum(pc.binary_length(texts).to_numpy())
+            i = 0
+            while i < rb.num_rows:
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _SLICE, "right")))
+                ids, ends = encoder.encode(texts.slice(i, j - i))
+                for doc, first, end in zip(rb.column(0).slice(i, j - i).to_pylist(), [0, *ends[:-1]], ends, strict=True):
+                    n = end - first + 1
                     for k, s in enumerate(range(0, n, size)):
-                        rows.append((doc, k, s, min(size, n - s), zlib.crc32(ids[4 * s : 4 * (s + size)])))
+                        crc = zlib.crc32(ids[first + s : min(end, first + s + size)])
+                        rows.append((doc, k, s, min(size, n - s), zlib.crc32(last, crc) if s + size >= n else crc))
+                i = j
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)] if rows else [pa.array([], f.type) for f in _PIECES], schema=_PIECES)
 
     return documents.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
