@@ -401,10 +401,10 @@ def q_char_ngrams(spark, d):
 
 
 _WORD = r"""w AS (SELECT item_id AS case_id, regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_<>]+') AS ts FROM benchmark),
-wt AS (SELECT case_id, array_to_string(ts[i:i + n - 1], ' ') AS term FROM w, range(1, 4) r(n), range(1, 10000) p(i) WHERE i + n - 1 <= len(ts)),
+wt AS (SELECT case_id, array_to_string(ts[i:i + n - 1], ' ') AS term FROM (SELECT case_id, ts, unnest(range(1, len(ts) + 1)) AS i FROM w), range(1, 4) r(n) WHERE i + n - 1 <= len(ts)),
 wc AS (SELECT case_id, term, count(*) AS tf FROM wt GROUP BY ALL)"""
 _CHAR = r"""c0 AS (SELECT item_id AS case_id, ' ' || unnest(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '')) || ' ' AS p FROM benchmark),
-ct AS (SELECT case_id, substr(p, i, n) AS term FROM c0, range(3, 7) r(n), range(1, 1000) q(i) WHERE (i + n - 1 <= length(p)) OR (i = 1 AND n = 3)),
+ct AS (SELECT case_id, substr(p, i, n) AS term FROM (SELECT case_id, p, unnest(range(1, length(p) + 1)) AS i FROM c0), range(3, 7) r(n) WHERE (i + n - 1 <= length(p)) OR (i = 1 AND n = 3)),
 cc AS (SELECT case_id, term, count(*) AS tf FROM ct GROUP BY ALL)"""
 _TFIDF = (
     _WORD
