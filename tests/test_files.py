@@ -69,3 +69,33 @@ def test_manifest_columns_are_checked(spark, tmp_path):
     (tmp_path / "bad.csv").write_text("Case,Sim Log\n1,a\n")
     with pytest.raises(ValueError, match="Regr Log"):
         logs.read_manifest(spark, str(tmp_path / "bad.csv"))
+
+
+def first_set(tmp_path):
+    """Nine cases in the shape of the first published set: two root causes that show as timeouts, a mismatch, an assertion and a log that is missing."""
+    timeout = "UVM_FATAL /work/dv/tests/core_base_test.sv(194) @ {}: uvm_test_top [uvm_test_top] Did not receive core_status {} within {} cycle timeout period\n"
+    debug, irq = timeout.format(4065000, "IN_DEBUG_MODE", 1000), timeout.format(3965000, "HANDLING_IRQ", 750)
+    failed = "UVM_ERROR /work/rtl/prim_assert.sv(21) @ 4165000: reporter [ASSERT FAILED] [tb_top.dut.u_core.unit_i.DataOffsetKnown] DataOffsetKnown: !$isunknown(x) (/work/rtl/unit.sv:487)\n"
+    cases = [("debug_ebreak", debug), ("debug_ebreakmu", debug), (None, ""), ("multiple_interrupt", irq), ("single_interrupt", irq), ("csr", None), ("interrupt_csr", irq), ("multiple_interrupt", failed), ("single_interrupt", irq)]
+    lines = ["Case,Regr Log,Sim Log,Trace Log"]
+    for n, (name, report) in enumerate(cases, 1):
+        folder = tmp_path / f"case_{n}"
+        folder.mkdir()
+        mismatch = "Mismatch[1]:\nibex[74] : pc[8000019c] c.addi\tx29,6: t4:00000000\nspike[74] : pc[80011080] addi\tt0, t0, -124: t0:80021da0\n[FAILED]: 64 matched, 3458 mismatch\n"
+        (folder / "regr.log").write_text(f"riscv_{name}_test.0 : [FAILED]" if name else mismatch)
+        if report is not None:
+            with gzip.open(folder / "sim.log.gz", "wt") as f:
+                f.write(f"simulator +UVM_TESTNAME=core_{name}_test +seed=1\n{report}--- UVM Report Summary ---\nUVM_ERROR :    0\nUVM_FATAL :    1\nRISC-V UVM TEST FAILED\n")
+        lines.append(f"{n},case_{n}/regr.log,case_{n}/sim.log.gz,case_{n}/trace.log.gz")
+    (tmp_path / "input.csv").write_text("\r\n".join(lines) + "\r\n")
+    (tmp_path / "golden.csv").write_text("Case,Bug\r\n" + "".join(f"{n},{'first' if n <= 5 else 'second'}\r\n" for n in range(1, 10)))
+
+
+def test_published_accuracy_of_the_first_set(spark, tmp_path, capsys):
+    first_set(tmp_path)
+    for method in ("signature", "tfidf", "signature_then_tfidf"):
+        out = str(tmp_path / f"{method}.csv")
+        assert bucketing.main(["bucket", "--input", str(tmp_path / "input.csv"), "--output", out, "--k", "2", "--method", method]) == 0
+        capsys.readouterr()
+        assert bucketing.main(["eval", "--output", out, "--golden", str(tmp_path / "golden.csv")]) == 0
+        assert float(capsys.readouterr().out.strip()) == 0.475
