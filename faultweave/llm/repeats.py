@@ -21,7 +21,7 @@ from faultweave.llm._shared import Saved, shuffle_partitions, table
 LEAST, GRAM = 50, 16
 #: Suffixes with one beginning that are compared in one task; windows around a more common one are dealt out by their own hashes.
 GROUP = 5000
-_CODE = 3  # bytes of a word in a suffix
+_CODE = 4  # bytes of a word in a suffix; 31 bits of them tell words apart
 _A = pa.schema([("doc_id", pa.int64()), ("doc", pa.int64()), ("cls", pa.int64()), ("n_words", pa.int64()), ("gram", pa.int64()), ("pos", pa.int64())])
 _B = pa.schema([("hot", pa.bool_()), ("gram", pa.int64()), ("cls", pa.int64()), ("pos", pa.int64()), ("n_before", pa.int32()), ("n_after", pa.int32()), ("words", pa.binary())])
 
@@ -60,6 +60,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     are wholly repeated. Null, empty and shorter texts have none; rows that repeat both id and text
     are one document and give the same rows each; null ids count as one id per text; an empty table
     gives no rows; other columns are ignored. ``group`` decides where suffixes are compared, never what is found.
+    Words are compared by hashes: two windows that differ in one word pass for equal once in 2**31 times.
     """
     spark = documents.sparkSession
     saved, parts = Saved(spark), shuffle_partitions(spark)
@@ -86,6 +87,7 @@ def repeated_passages(documents: DataFrame, id_col: str = "doc_id", text_col: st
     known = first.where("gram IS NULL").select("doc_id", "doc", "cls", "n_words")
     spots = first.where("gram IS NOT NULL").select("gram", "cls", "pos").distinct()
     shared = spots.groupBy("gram").agg(F.min("cls").alias("lo"), F.max("cls").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("gram", (F.col("n") > group).alias("hot"))
+    shared = saved.save(shared)  # read again, it meets the spots by a shuffle of its own, and a gram that very many have is split
     kept = spots.join(shared, "gram").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("pos", "gram", "hot"))).alias("spots"))
     texts = known.groupBy("cls").agg(F.min("doc").alias("doc"), F.max("doc").alias("other"), F.max("n_words").alias("n_words"))
     texts = saved.save(texts)
