@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 
 from faultweave.operators.components import MAX_BROADCAST, Saved, components, shared_dir, without
 
-__all__ = ["MAX_BROADCAST", "SPACE", "Saved", "components", "shared_dir", "shuffle_partitions", "table", "without"]
+__all__ = ["MAX_BROADCAST", "SPACE", "Saved", "components", "kept", "shared_dir", "shuffle_partitions", "table", "without"]
 
 #: ASCII white space that separates words in every word-based operator.
 SPACE = "[ \\t-\\r]+"
@@ -18,3 +21,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+T = TypeVar("T")
+_kept: dict[str, object] = {}
+
+
+def kept(key: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker keeps between its tasks: one thing at a time, so an operator's tables make room for the next one's."""
+    if _kept.get("key") != key:
+        _kept.clear()
+        _kept.update(key=key, value=make())
+    return _kept["value"]  # type: ignore[return-value]

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultweave.llm._shared import Saved, table
+from faultweave.llm._shared import Saved, kept, table
 from faultweave.llm.words import text_buffers
 
 SIZE, END_ID = 4096, 1
@@ -29,8 +29,8 @@ SIZE, END_ID = 4096, 1
 PARTNERS, WASTES, ROUNDS = 24, (16, 2, 0, None), 200
 #: Parts that a length's rows are ranked in, so that a common length is never one task.
 SALTS = 64
-#: Strings remembered and their characters, at most; bytes of text encoded together (a longer text alone).
-_CACHE, _CACHE_CHARS, _SLICE = 1_100_000, 40_000_000, 3 << 20
+#: New strings and those met again that are remembered, and characters of either, at most; bytes of text encoded together (a longer text alone).
+_YOUNG, _OLD, _CHARS, _SLICE = 300_000, 400_000, 20_000_000, 3 << 20
 _BLANKS = np.arange(256, dtype=np.uint8)
 _BLANKS[[9, 10, 13]] = 32
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
@@ -50,7 +50,7 @@ class Encoder:
     space-separated chunks one after the other. A chunk of plain characters without an apostrophe is
     also the ids of its runs of letters and of others. Plain are only characters whose lower case and
     kind were found to be the tokenizer's own; every other chunk is encoded as it stands. Chunks and
-    runs are remembered, up to a bound, and new ones are encoded together; runs of letters need only
+    runs are remembered, up to a bound and longer if they are met again, and new ones are encoded together; runs of letters need only
     the vocabulary's merges.
     """
 
@@ -59,8 +59,9 @@ class Encoder:
 
         self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.known: dict[str, bytes] = {}
-        self.chars = 0
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.chars = [0, 0]
         tried = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x530)) if chr(c) != "'" and self.alone(chr(c))]
         whole = self.tokenizer.encode_batch([f"a{c}b{c}{c}" for c in tried], add_special_tokens=False)
         parts = self.tokenizer.encode_batch([" ".join(_RUNS.findall(f"a{c}b{c}{c}".lower())) for c in tried], add_special_tokens=False)
@@ -78,7 +79,7 @@ class Encoder:
         e = tokenizer.encode(runs, is_pretokenized=True, add_special_tokens=False)
         raw = np.array(e.ids, "<u4").tobytes()
         ends = np.cumsum(np.bincount(np.array(e.word_ids, np.int64), minlength=len(runs)) * 4).tolist()
-        self.known.update(zip(runs, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
+        self.young.update(zip(runs, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
     def learn(self, chunks: list[str]) -> None:
         """Remembers the ids of new chunks."""
@@ -89,14 +90,15 @@ class Encoder:
         else:
             strange = {c for c in chunks if "<|" in c or not self.plain(c)}
             runs = [[c] if c in strange else _RUNS.findall(c.lower()) for c in chunks]
-        known = self.known
-        fresh = {r for r in chain.from_iterable(runs) if r not in known}
+        young, old = self.young, self.old
+        fresh = {r for r in chain.from_iterable(runs) if r not in old and r not in young}
         # a run of plain letters in lower case is one word of the vocabulary's: nothing of it is normalised or split
         letters = [r for r in fresh if r.isalpha() and r not in strange]
         self.encode_all(self.bare, letters)
         self.encode_all(self.tokenizer, list(fresh.difference(letters)))
-        known.update([(c, known[rs[0]] if len(rs) == 1 else b"".join([known[r] for r in rs])) for c, rs in zip(chunks, runs, strict=True) if rs != [c]])
-        self.chars += len(lines) + sum(map(len, fresh))
+        ids = lambda r: old[r] if r in old else young[r]
+        young.update([(c, ids(rs[0]) if len(rs) == 1 else b"".join([ids(r) for r in rs])) for c, rs in zip(chunks, runs, strict=True) if rs != [c]])
+        self.chars[0] += len(lines) + sum(map(len, fresh))
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         ids, ends = self.encode(pa.array(texts, pa.large_string()))
@@ -104,23 +106,33 @@ class Encoder:
 
     def encode(self, texts: pa.LargeStringArray) -> tuple[np.ndarray, list[int]]:
         """Ids of all texts end to end, and where each text's ids end. Each distinct chunk is looked up once."""
-        if len(self.known) > _CACHE or self.chars > _CACHE_CHARS:
-            self.known, self.chars = {}, 0
-        known = self.known
+        if len(self.young) > _YOUNG or self.chars[0] > _CHARS:
+            self.young, self.chars[0] = {}, 0
+        if len(self.old) > _OLD or self.chars[1] > _CHARS:
+            self.old, self.chars[1] = {}, 0
         split = pc.split_pattern(_blanks(texts), " ")
         words = split.flatten().dictionary_encode()
         here = words.dictionary.to_pylist()
-        found = list(map(known.get, here))
-        new = [c for c, i in zip(here, found, strict=True) if i is None]
-        if new:
-            self.learn(new)
-            found = [known[c] if i is None else i for c, i in zip(here, found, strict=True)]
+        found = list(map(self.old.get, here))
+        missed = [k for k, i in enumerate(found) if i is None]
+        if missed:
+            chunks = [here[k] for k in missed]
+            ids = list(map(self.young.get, chunks))
+            again = [(c, i) for c, i in zip(chunks, ids, strict=True) if i is not None]
+            self.learn([c for c, i in zip(chunks, ids, strict=True) if i is None])
+            for k, c, i in zip(missed, chunks, ids, strict=True):
+                found[k] = self.young[c] if i is None else i
+            self.old.update(again)  # most strings are met once and forgotten
+            self.chars[1] += sum(len(c) for c, _ in again)
         flat, sizes = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
         at = words.indices.to_numpy()
         size = sizes[at]
         upto = np.append(0, np.cumsum(size))
-        # from each chunk's place in ``flat`` on, as many ids as it has
-        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[at] - upto[:-1], size) + np.arange(upto[-1])]
+        # from each chunk's place in ``flat`` on, as many ids as it has; places fit 32 bits unless one text alone has more ids
+        kind = np.int32 if upto[-1] < 2**31 else np.int64
+        places = np.repeat(((np.cumsum(sizes) - sizes)[at] - upto[:-1]).astype(kind), size)
+        places += np.arange(upto[-1], dtype=kind)
+        ids = flat[places]
         return ids, upto[split.offsets.to_numpy()[1:] - split.offsets[0].as_py()].tolist()
 
 
@@ -130,24 +142,18 @@ def _blanks(texts: pa.LargeStringArray) -> pa.LargeStringArray:
     return pa.LargeStringArray.from_buffers(len(texts), pa.py_buffer(offsets), pa.py_buffer(_BLANKS[raw]))
 
 
-_encoders: dict[str, object] = {}
-
-
 def pieces(documents: DataFrame, vocabulary: str, size: int = SIZE, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each text's ids and ``end_id``, cut only if longer than ``size``."""
     last = np.array([end_id], "<u4").tobytes()
 
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if _encoders.get("path") != vocabulary:
-            _encoders.update(path=vocabulary, encoder=Encoder(vocabulary))
-        encoder: Encoder = _encoders["encoder"]  # the worker's next tasks find what this one has learned
+        encoder = kept(("packing", vocabulary), lambda: Encoder(vocabulary))  # the worker's next tasks find what this one has learned
         for rb in it:
-            rows, texts = [], pc.fill_null(rb.column(1), "").cast(pa.large_string())
-            upto = np.cumsum(pc.binary_length(texts).to_numpy())
+            rows, upto = [], np.cumsum(pc.fill_null(pc.binary_length(rb.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             i = 0
             while i < rb.num_rows:
                 j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _SLICE, "right")))
-                ids, ends = encoder.encode(texts.slice(i, j - i))
+                ids, ends = encoder.encode(pc.fill_null(rb.column(1).slice(i, j - i), "").cast(pa.large_string()))
                 for doc, first, end in zip(rb.column(0).slice(i, j - i).to_pylist(), [0, *ends[:-1]], ends, strict=True):
                     n = end - first + 1
                     for k, s in enumerate(range(0, n, size)):
