@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from faultweave.llm._shared import table
+from faultweave.llm._shared import kept, table
 
 #: Labelled rows per language that the model is fitted on, at most.
 SAMPLE = 400
@@ -222,29 +222,30 @@ def _hash_of(piece: str) -> int:
 def fit(labelled: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE, rounds: int = ROUNDS) -> Model:
     """A model from ``labelled(id long, text, lang)``: of each language the ``sample`` ids with the smallest hashes.
 
-    Rows are first cut by a bound on the hash that leaves about twice the sample, so no task ranks more
-    than that; rows of one id count once, with the least of their texts. Languages are few: their
-    counts go to the driver, and so do the word counts of the sample.
+    Ids are first cut by a bound on the hash that leaves about twice the sample, so no task ranks more
+    than that; rows of one id share the weight of one row. Texts are read once and never shuffled.
+    Languages are few: their counts go to the driver, and so do the word counts of the sample.
     """
-    rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()
+    ids = labelled.where("lang IS NOT NULL").select("lang", "id")
+    counts = ids.groupBy("lang").agg(F.count("*").alias("n")).collect()
     if not counts:
         return Model.empty([], vocabulary_pieces(vocabulary or default_vocabulary()))
     top, wanted = 2**63 - 1, 2 * sample + 50
     bounds = labelled.sparkSession.createDataFrame([(r["lang"], top if r["n"] <= wanted else -(2**63) + (2**64 * wanted) // r["n"]) for r in counts], "lang string, bound long")
-    rows = rows.join(F.broadcast(bounds), "lang").where(F.xxhash64("id") <= F.col("bound")).groupBy("lang", "id").agg(F.min("text").alias("text"))
+    near = ids.join(F.broadcast(bounds), "lang").where(F.xxhash64("id") <= F.col("bound")).groupBy("lang", "id").agg((1.0 / F.count("*")).alias("weight"))
     pick = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("nth", F.row_number().over(pick)).where(F.col("nth") <= sample)
+    picked = near.withColumn("nth", F.row_number().over(pick)).where(F.col("nth") <= sample).select("lang", "id", "weight")
+    chosen = labelled.where("lang IS NOT NULL AND text IS NOT NULL").join(F.broadcast(picked), ["lang", "id"])  # ``sample`` rows a language
 
     def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rb in it:
-            found: dict[tuple[str, str], int] = {}
-            for lang, text in zip(rb.column(0).to_pylist(), rb.column(1).to_pylist(), strict=True):
+            found: dict[tuple[str, str], float] = {}
+            for lang, text, weight in zip(*(c.to_pylist() for c in rb.columns), strict=True):
                 for w in text_words(text):
-                    found[lang, w] = found.get((lang, w), 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
+                    found[lang, w] = found.get((lang, w), 0.0) + weight
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.float64())], names=["lang", "word", "n"])
 
-    counted = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pydict()
+    counted = chosen.select("lang", "text", "weight").mapInArrow(count, "lang string, word string, n double").groupBy("lang", "word").agg(F.sum("n").alias("n")).toArrow().to_pydict()
     languages, words = sorted(set(counted["lang"])), sorted(set(counted["word"]))
     counts = np.zeros((len(languages), len(words)))
     place = {w: i for i, w in enumerate(words)}
@@ -256,9 +257,6 @@ def fit(labelled: DataFrame, vocabulary: str | None = None, sample: int = SAMPLE
     return model
 
 
-_known: dict[str, object] = {}
-
-
 def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The frame with lang_pred and score added: every word of every whole text counts."""
     place, names = documents.columns.index(text_col), [*documents.columns, "lang_pred", "score"]
@@ -266,28 +264,29 @@ def predict(documents: DataFrame, model: Model, text_col: str = "text") -> DataF
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        if _known.get("model") is not m:
-            _known.update(model=m, words={}, scores=np.zeros((0, len(m.languages))))
+        state = kept("languages", dict)
+        if state.get("model") is not m:
+            state.update(model=m, words={}, scores=np.zeros((0, len(m.languages))))
         for rb in it:
             for i in range(0, rb.num_rows, 200):
                 part = rb.slice(i, 200)
                 texts = [text_words(t) for t in part.column(place).to_pylist()]
-                known: dict[str, int] = _known["words"]
+                known: dict[str, int] = state["words"]
                 new, long = [w for w in dict.fromkeys(w for ws in texts for w in ws if len(w) <= LONG_WORD) if w not in known], {}
                 if len(known) + len(new) > _CACHE_WORDS:
-                    known = _known["words"] = {}
-                    _known["scores"] = np.zeros((0, len(m.languages)))
+                    known = state["words"] = {}
+                    state["scores"] = np.zeros((0, len(m.languages)))
                     new = list(dict.fromkeys(w for ws in texts for w in ws if len(w) <= LONG_WORD))
                 if new:
                     known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
-                    _known["scores"] = np.concatenate([_known["scores"], m.word_scores(new)])
+                    state["scores"] = np.concatenate([state["scores"], m.word_scores(new)])
                 langs, scores = [], []
                 for ws in texts:
                     if not ws or not m.languages:
                         langs.append("und")
                         scores.append(0.0)
                         continue
-                    s = _known["scores"][[known[w] for w in ws if len(w) <= LONG_WORD]].sum(axis=0)
+                    s = state["scores"][[known[w] for w in ws if len(w) <= LONG_WORD]].sum(axis=0)
                     for w in ws:
                         if len(w) > LONG_WORD:
                             s = s + (long[w] if w in long else long.setdefault(w, m.long_score(w)))

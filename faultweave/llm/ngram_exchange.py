@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.llm import words as W
+from faultweave.llm._shared import kept
 
 #: Words in a batch, at most (a longer text is a batch of its own).
 BATCH_WORDS = 1_400_000
@@ -85,6 +86,7 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, Batch]]:
         """(name, task, batch): the same ones whenever the same rows are read in the same order."""
+        kept("exchange", dict)  # what other operators left in this worker makes room
         held: list[Batch] = []
         task, serial = -1, count()
 
@@ -125,6 +127,7 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
             yield from _rows([(task % parts, name, -1, *_pack_texts(b))])
 
     def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("exchange", dict)
         # one hash range a partition at most times a few: payloads stay packed until their gram number's turn
         held: dict[tuple[int, int], list[tuple]] = {}
         for rb in it:
@@ -147,6 +150,7 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
             yield from _rows(out)
 
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("exchange", dict)
         name, rows = None, []
 
         def done() -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ WORDS, SIMILAR = 5, 75
 #: Shingles in an index block; a larger group is cut into blocks by hash and the blocks are met in pairs.
 BLOCK_SHINGLES = 1_000_000
 #: Words in a batch of the exchange: a batch's sets take several times the memory of its words.
-BATCH_WORDS = 700_000
+BATCH_WORDS = 500_000
 #: The DivideSkip constant: T / (MU log2 M + 1) lists count as long, M the longest list.
 MU = 0.0085
 _DDL = "doc_id long, is_null boolean, n_shingles long, node long, shingles binary, keys array<long>"

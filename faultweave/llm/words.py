@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once (a longer text is handled alone).
-SLICE = 4 << 20
+SLICE = 1 << 20
 _P = np.uint64(0x9E3779B97F4A7C15)
 _SPACES = np.zeros(256, bool)
 _SPACES[[32, 9, 10, 11, 12, 13]] = True

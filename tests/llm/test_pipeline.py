@@ -55,3 +55,38 @@ def test_stages_on_no_documents(spark, tmp_path):
     spark.createDataFrame([], SCHEMA).write.parquet(str(tmp_path / "d/documents.parquet"))
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "d/benchmark.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path / "d")).count() == 0
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark, monkeypatch):
+    """One row stays of each group, whatever the ids; rows without words stay; the joins' kind decides nothing."""
+    from faultweave.operators import components
+
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(900)}" for _ in range(40))
+    a, b, c, d, e = (text() for _ in range(5))
+    near = a.replace(a.split()[39], "other")
+    rows = [(1, a), (2, near), (3, b), (3, c), (4, c), (5, d), (5, d), (5, e), (None, e), (None, a), (None, None), (None, None), (6, ""), (6, ""), (7, None), (8, "one two"), (8, "one two"), (9, "ONE two")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0, "x", "y", 1) for i, t in rows], SCHEMA).repartition(3)
+    for most in (2_000_000, 0):
+        monkeypatch.setattr(components, "MAX_BROADCAST", most)
+        got = corpus_pipeline.near_duplicates(spark, docs, "")
+        assert got.columns == docs.columns
+        got = [(r["doc_id"], r["text"]) for r in got.collect()]
+        assert [t for t in (a, near) if (1 if t == a else 2, t) in got] in ([a], []) and sum(t in (a, near) for _, t in got) == 1
+        for t in (b, c, d, e):
+            assert sum(x == t for _, x in got) == 1
+        assert sum((x or "").lower() == "one two" for _, x in got) == 1
+        assert sum(not x for _, x in got) == 5
+
+
+def test_tables_of_a_stage_can_be_dropped(spark):
+    from faultweave.operators.components import Saved
+
+    saved = Saved(spark)
+    first = saved.save(spark.range(3))
+    count = len(Saved.live)
+    second, third = saved.save(spark.range(4)), Saved(spark).save(spark.range(5))
+    Saved.drop_since(count, third)
+    assert [x[1] for x in Saved.live[count - 1 :]] == [first, third] and first.count() == 3 and third.count() == 5
+    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(second._saved_path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    assert not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(second._saved_path))
