@@ -30,9 +30,12 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     labelled = docs.select(F.col("doc_id").cast("long").alias("id"), "text", "lang").where(F.col("id").isNotNull())
     model = languages.fit(labelled.where(~languages.held_out(F.col("id"))))
-    told = languages.predict(docs.select(F.struct("*").alias("row"), "text"), model)
+    names = [f"c{n}" for n in range(len(docs.columns))]  # no column can clash with the prediction's
+    text = names[docs.columns.index("text")]
+    told = languages.predict(docs.toDF(*names), model, text)
     unlabelled = F.lit(not model.languages)  # nothing was learned: only texts without a letter go
-    return told.where((unlabelled & F.col("text").rlike(r"\p{L}")) | (F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE)).select("row.*")
+    told = told.where((unlabelled & F.col(text).rlike(r"\p{L}")) | (F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
+    return told.select(*names).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
