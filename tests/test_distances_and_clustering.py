@@ -116,3 +116,62 @@ def test_score(spark):
         scoring.score(p.where("Case < 5"), g)
     with pytest.raises(ValueError, match="missing"):
         scoring.score(p, g, golden_col="Nope")
+
+
+def like_points(rng, n, m):
+    """n cases of m points (numbered by their first case) and the points' distances, with many ties and some at 0."""
+    cls = rng.permutation(np.concatenate([np.arange(m), rng.integers(0, m, n - m)]))
+    names = list(dict.fromkeys(cls.tolist()))
+    upper = np.triu(rng.choice([0, 0.1, 0.2, 0.5, 1], size=(m, m)), 1)
+    return np.array([names.index(c) for c in cls]), upper + upper.T
+
+
+def test_weighed_points_link_as_their_cases_do():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        cls, d = like_points(rng, 9, int(rng.integers(1, 7)))
+        for k in range(1, 10):
+            whole = [[i] for i in range(9)]
+            cases = d[np.ix_(cls, cls)]
+            while len(whole) > k:
+                _, i, j = min((round(float(cases[np.ix_(x, y)].mean()), 12), i, j) for i, x in enumerate(whole) for j, y in enumerate(whole) if i < j)
+                whole[i] = sorted(whole[i] + whole.pop(j))
+            assert sorted(sorted(g) for g in linkage.case_linkage(d, cls, k)) == sorted(whole)
+
+
+def test_weighed_quantiles_and_second_neighbours_are_those_of_the_cases():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        cls, d = like_points(rng, 9, int(rng.integers(1, 7)))
+        size, cases = np.bincount(cls), d[np.ix_(cls, cls)]
+        assert linkage.pair_quantiles(d, size, [0.05, 0.26, 0.5]) == np.quantile(cases[np.triu_indices(9, 1)], [0.05, 0.26, 0.5]).tolist()
+        others = cases + np.diag([np.inf] * 9)
+        assert clustering.second_neighbours(d, size)[cls].tolist() == np.sort(others, axis=1)[:, 1].tolist()
+
+
+def test_cases_whose_distance_depends_on_their_order_are_points_of_their_own():
+    a, b, d = np.array([0, 1, 2, 3, 0, 1, 0, 3, 1, 3]), np.array([0, 1, 0, 3, 1, 0, 3, 0, 3, 1]), np.array([-1, -1, -1, -1, 0.5, 0.2, 0.7, 0.7, 0.9, 0.9])
+    cls, between, home = clustering.points(4, a, b, d)  # classes {0, 2}, {1}, {3}
+    assert cls.tolist() == [0, 1, 2, 3] and home.tolist() == [0, 1, 0, 3]
+    assert (between[0, 1], between[1, 2], between[0, 2], between[2, 3]) == (0.5, 0.2, 0.0, 0.7)
+    assert clustering.points(4, a, b, np.where(d == 0.2, 0.5, d))[0].tolist() == [0, 1, 0, 2]
+
+
+@pytest.mark.parametrize("method", ["dbscan_pca", "dbscan", "tfidf", "hybrid"])
+def test_many_like_cases_need_no_matrix_of_all_cases(spark, method):
+    kinds = cases(spark, {}, dict(text_blob="x q"), OTHER | dict(sim_fatal_kind="no_mret", text_blob="f g"), OTHER | dict(sim_fatal_kind="test_timeout", text_blob="f h"))
+    many = kinds.withColumnRenamed("ord", "kind").drop("case_id").crossJoin(spark.range(10_000).withColumnRenamed("id", "copy"))
+    many = many.selectExpr("copy * 4 + kind AS case_id", "copy * 4 + kind AS ord", "*").drop("kind", "copy")
+    got = clustering.cluster(many, 2, method).collect()
+    assert len(got) == 40_000 and {r["label"] for r in got} == {0, 1}
+    assert all(r["label"] == (r["ord"] % 4 > 1) for r in got)
+
+
+def test_vectors_link_without_a_row_for_a_pair(spark):
+    x = np.round(np.random.default_rng(7).normal(size=(40, 3)), 1)
+    x[7] = x[3]
+    rows = spark.createDataFrame([(100 + i, i, v.tolist()) for i, v in enumerate(x)], "case_id long, ord long, v array<double>")
+    got = {r["ord"]: r["label"] for r in clustering.by_vectors(rows, 5).collect()}
+    want = linkage.labels(slow_linkage(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 5), 40)
+    assert [got[i] for i in range(40)] == want.tolist()
+    assert clustering.by_vectors(rows.limit(0), 5).count() == 0
