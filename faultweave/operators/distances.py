@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.functions import rules as R
 from faultweave.functions import text as X
+from faultweave.operators.components import MAX_BROADCAST
 from faultweave.operators.signatures import categorical_key
 from faultweave.operators.vectors import cosines, tfidf
 
+#: Rows of two cases that one task makes, about; tasks and rows of a batch at most.
+ROWS_A_PART, MAX_PARTS, ROWS_A_BATCH = 20_000_000, 2000, 100_000
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays as sets; two empty ones are alike."""
@@ -145,13 +152,79 @@ def class_pairs(named: DataFrame) -> DataFrame:
     return pairs.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), "signature", "cosine", "distance")
 
 
-def distance_pairs(cases: DataFrame, with_text: bool = True) -> DataFrame:
-    """(a, b, signature, cosine, distance) for all pairs of signature rows with ``ord`` a < b; equal keys are at distance 0."""
+def spread(pairs: DataFrame, members: DataFrame) -> DataFrame:
+    """``pairs(a, b, values)`` of classes as rows of all cases ``members(cls, ord)``, ``a`` and ``b`` being ords a < b.
+
+    A row per two cases is by far more than what it is made of, so no such row is moved or looked up: a
+    class's values are laid over all cases once, and each of its cases gives those after it as a slice.
+    The cases' ords and classes are two numbers each; beyond what is broadcast at most they are joined.
+    """
+    n = members.count()
+    if n > MAX_BROADCAST:
+        a, b = (members.select(F.col("cls").alias(k), F.col("ord").alias(f"{k}_ord")) for k in "ab")
+        out = pairs.join(a, "a").join(b, "b").where("a_ord < b_ord")
+        return out.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), *[c for c in pairs.columns if c not in ("a", "b")])
+    known = members.where("ord IS NOT NULL").select("cls", F.col("ord").cast("long").alias("ord")).toArrow().sort_by("ord")
+    shared = pairs.sparkSession.sparkContext.broadcast((known.column("cls").to_numpy(), known.column("ord").to_numpy()))
+    parts = F.floor(F.count("*") * F.lit(n) / F.lit(ROWS_A_PART)).cast("int")
+    sizes = members.groupBy("cls").agg(parts.alias("last")).select(F.col("cls").alias("a"), F.explode(F.sequence(F.lit(0), "last")).alias("part"), "last")
+    values = [c for c in pairs.columns if c not in ("a", "b")]
+    dealt = pairs.join(F.broadcast(sizes), "a").select("a", "part", "last", "b", *values)
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cls, ords = shared.value
+        names, cls = np.unique(cls, return_inverse=True)
+
+        def laid(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(held).combine_chunks()
+            own, part, last = (t.column(c)[0].as_py() for c in ("a", "part", "last"))
+            at = np.full(len(names), -1)
+            at[np.searchsorted(names, t.column("b").to_numpy())] = np.arange(t.num_rows)
+            later = np.flatnonzero(at[cls] >= 0)  # the cases whose class has a row
+            cols = [pa.array(ords[later]), *[t.column(c).combine_chunks().take(pa.array(at[cls[later]])) for c in values]]
+            for a in ords[cls == np.searchsorted(names, own)][part :: last + 1].tolist():
+                for s in range(int(np.searchsorted(ords[later], a, "right")), len(later), ROWS_A_BATCH):
+                    here = [c.slice(s, ROWS_A_BATCH) for c in cols]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here[0]), a)), *here], names=["a", "b", *values])
+
+        held: list[pa.RecordBatch] = []
+        for rb in it:
+            a, part = rb.column(0).to_numpy(), rb.column(1).to_numpy()
+            edges = np.flatnonzero((a[1:] != a[:-1]) | (part[1:] != part[:-1])) + 1
+            for s, e in zip([0, *edges], [*edges, len(a)], strict=True):
+                if e > s:
+                    if held and (held[0].column(0)[0].as_py(), held[0].column(1)[0].as_py()) != (a[s], part[s]):
+                        yield from laid(held)
+                        held = []
+                    held.append(rb.slice(s, e - s))
+        if held:
+            yield from laid(held)
+
+    tasks = max(1, min(MAX_PARTS, n * n // ROWS_A_PART))
+    ddl = ", ".join(["a long", "b long", *[f"{c} {pairs.schema[c].dataType.simpleString()}" for c in values]])
+    return dealt.repartition(tasks, "a", "part").sortWithinPartitions("a", "part").mapInArrow(run, ddl)
+
+
+def distance_pairs(cases: DataFrame, with_text: bool = True, digits: dict[str, int] | None = None) -> DataFrame:
+    """(a, b, signature, cosine, distance) for all pairs of signature rows with ``ord`` a < b; equal keys are at distance 0.
+
+    ``digits`` rounds the columns named, once for two classes and not for each two cases.
+    """
     named = alike(cases, with_text)
     own = named.select("cls").distinct().select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(0.0).alias("signature"), F.lit(1.0).alias("cosine"), F.lit(0.0).alias("distance"))
     pairs = class_pairs(named).unionByName(own)
-    a, b = (named.select(F.col("cls").alias(k), F.col("ord").alias(f"{k}_ord")) for k in "ab")
-    out = pairs.join(a, "a").join(b, "b").where("a_ord < b_ord")
     if not with_text:
-        out = out.withColumn("cosine", F.lit(0.0)).withColumn("distance", F.col("signature"))
-    return out.select(F.col("a_ord").alias("a"), F.col("b_ord").alias("b"), "signature", "cosine", "distance")
+        pairs = pairs.withColumn("cosine", F.lit(0.0)).withColumn("distance", F.col("signature"))
+    if digits is not None:
+        pairs = pairs.select("a", "b", *[F.round(c, d).alias(c) for c, d in digits.items()])
+    return spread(pairs, named.select("cls", "ord"))
+
+
+def overlap_pairs(rows: DataFrame, sets: str, places: str) -> DataFrame:
+    """(a, b, jaccard, overlap) of the arrays ``sets`` and ``places`` for all pairs of ``rows`` with ``ord`` a < b, by 6 decimals; worked out for unlike rows only."""
+    named = rows.select("ord", sets, places, F.xxhash64(F.to_json(F.struct(sets, places), {"ignoreNullFields": "false"})).alias("cls"))
+    classes = named.groupBy("cls").agg(F.min("ord").alias("ord"), F.max("ord").alias("last"), F.first(sets).alias("sets"), F.first(places).alias("places"))
+    a, b = (classes.select(*[F.col(c).alias(f"{k}_{c}") for c in classes.columns]) for k in "ab")
+    pairs = a.join(b, F.col("a_ord") < F.col("b_last"))
+    pairs = pairs.select(F.col("a_cls").alias("a"), F.col("b_cls").alias("b"), F.round(jaccard(*_pair("sets")), 6).alias("jaccard"), F.round(overlap(*_pair("places")), 6).alias("overlap"))
+    return spread(pairs, named.select("cls", "ord"))

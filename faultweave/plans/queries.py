@@ -432,10 +432,8 @@ SELECT a, b, round(least(1.0, dot / (sa.size * sb.size)), 6) AS cosine FROM p JO
 
 
 def q_set_and_place_overlap(spark, d):
-    t = parsing.summarise_trace(_trace(spark, d)).select("case_id", "loop_mnems", "mismatch_context_mnemonics")
-    a, b = (t.select(*[F.col(c).alias(f"{s}_{c}") for c in t.columns]) for s in "ab")
-    p = a.join(b, F.col("a_case_id") < F.col("b_case_id"))
-    return p.select(F.col("a_case_id").alias("a"), F.col("b_case_id").alias("b"), F.round(distances.jaccard(F.col("a_loop_mnems"), F.col("b_loop_mnems")), 6).alias("jaccard"), F.round(distances.overlap(F.col("a_mismatch_context_mnemonics"), F.col("b_mismatch_context_mnemonics")), 6).alias("overlap"))
+    t = parsing.summarise_trace(_trace(spark, d)).select(F.col("case_id").alias("ord"), "loop_mnems", "mismatch_context_mnemonics")
+    return distances.overlap_pairs(Saved(spark).save(t), "loop_mnems", "mismatch_context_mnemonics")
 
 
 OVERLAP_SQL = f"""WITH {_SUMMARY}, t AS (SELECT case_id, string_split(loop_mnems, ' ') AS s, context AS c FROM summary)
@@ -465,8 +463,7 @@ SELECT a.k AS a, b.k AS b, {_fatal_sql("a.kind", "b.kind")} AS distance FROM n a
 
 
 def q_signature_distance(spark, d):
-    out = distances.distance_pairs(_cases(spark, d), with_text=False)
-    return out.select("a", "b", F.round("signature", 6).alias("distance"))
+    return distances.distance_pairs(_cases(spark, d), with_text=False, digits={"signature": 6}).withColumnRenamed("signature", "distance")
 
 
 def _pair_sql() -> str:
@@ -508,7 +505,7 @@ SELECT a, b, round(d, 6) AS signature, round(cosine, 5) AS cosine, round(CASE WH
 
 
 def q_hybrid_matrix(spark, d):
-    return distances.distance_pairs(_cases(spark, d)).select("a", "b", F.round("signature", 6).alias("signature"), F.round("cosine", 5).alias("cosine"), F.round("distance", 5).alias("distance"))
+    return distances.distance_pairs(_cases(spark, d), digits={"signature": 6, "cosine": 5, "distance": 5})
 
 
 def _vectors(spark, d):

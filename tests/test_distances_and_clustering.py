@@ -175,3 +175,23 @@ def test_vectors_link_without_a_row_for_a_pair(spark):
     want = linkage.labels(slow_linkage(np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)), 5), 40)
     assert [got[i] for i in range(40)] == want.tolist()
     assert clustering.by_vectors(rows.limit(0), 5).count() == 0
+
+
+@pytest.mark.parametrize("most", [distances.MAX_BROADCAST, 1])
+def test_class_pairs_are_laid_over_all_cases(spark, monkeypatch, most):
+    monkeypatch.setattr(distances, "MAX_BROADCAST", most)
+    monkeypatch.setattr(distances, "ROWS_A_PART", 50)
+    monkeypatch.setattr(distances, "ROWS_A_BATCH", 7)
+    cls = [5, 9, 5, 5, 7, 9, 7, 5] * 5
+    members = spark.createDataFrame(list(zip(cls, range(40), strict=True)), "cls long, ord long")
+    pairs = spark.createDataFrame([(a, b, a * 10.0 + b if a != b else None, f"{a}-{b}") for a in (5, 7, 9) for b in (5, 7, 9)], "a long, b long, x double, y string")
+    got = sorted(tuple(r) for r in distances.spread(pairs, members).collect())
+    assert got == [(i, j, cls[i] * 10.0 + cls[j] if cls[i] != cls[j] else None, f"{cls[i]}-{cls[j]}") for i in range(40) for j in range(i + 1, 40)]
+
+
+@pytest.mark.parametrize("query", ["set_and_place_overlap", "signature_distance", "hybrid_matrix"])
+def test_queries_on_pairs_work_out_like_rows_once(spark, query):
+    from faultweave.plans import queries
+
+    plan = queries.QUERIES[query][0](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith(("MapInArrow", "Project")) and "MapInArrow" in "".join(plan.splitlines()[:2])
