@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from faultweave.llm._shared import Saved, kept, table
+from faultweave.llm._shared import Saved, kept, table, trim
 from faultweave.llm.words import text_buffers
 
 SIZE, END_ID = 4096, 1
@@ -29,8 +29,8 @@ SIZE, END_ID = 4096, 1
 PARTNERS, WASTES, ROUNDS = 24, (16, 2, 0, None), 200
 #: Parts that a length's rows are ranked in, so that a common length is never one task.
 SALTS = 64
-#: New strings and those met again that are remembered, and characters of either, at most; bytes of text encoded together (a longer text alone).
-_YOUNG, _OLD, _CHARS, _SLICE = 300_000, 400_000, 20_000_000, 3 << 20
+#: New strings and those met again that are remembered, and characters of either, at most; bytes of text encoded together (a longer text alone), and by a worker that knows no string yet.
+_YOUNG, _OLD, _CHARS, _SLICE, _FIRST = 500_000, 400_000, 30_000_000, 3 << 20, 1 << 18
 _BLANKS = np.arange(256, dtype=np.uint8)
 _BLANKS[[9, 10, 13]] = 32
 _RUNS = re.compile(r"[^\W\d_]+|[\W\d_]+")
@@ -61,7 +61,7 @@ class Encoder:
         self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        self.chars = [0, 0]
+        self.chars, self.slices = [0, 0], 0
         tried = [chr(c) for c in (*range(0x21, 0x7F), *range(0xA1, 0x530)) if chr(c) != "'" and self.alone(chr(c))]
         whole = self.tokenizer.encode_batch([f"a{c}b{c}{c}" for c in tried], add_special_tokens=False)
         parts = self.tokenizer.encode_batch([" ".join(_RUNS.findall(f"a{c}b{c}{c}".lower())) for c in tried], add_special_tokens=False)
@@ -152,7 +152,9 @@ def pieces(documents: DataFrame, vocabulary: str, size: int = SIZE, end_id: int
             rows, upto = [], np.cumsum(pc.fill_null(pc.binary_length(rb.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             i = 0
             while i < rb.num_rows:
-                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + _SLICE, "right")))
+                most = min(_SLICE, _FIRST << min(encoder.slices, 8))  # while nearly every string is new, a slice takes far more memory
+                encoder.slices += 1
+                j = max(i + 1, int(np.searchsorted(upto, (upto[i - 1] if i else 0) + most, "right")))
                 ids, ends = encoder.encode(pc.fill_null(rb.column(1).slice(i, j - i), "").cast(pa.large_string()))
                 for doc, first, end in zip(rb.column(0).slice(i, j - i).to_pylist(), [0, *ends[:-1]], ends, strict=True):
                     n = end - first + 1
@@ -160,6 +162,8 @@ def pieces(documents: DataFrame, vocabulary: str, size: int = SIZE, end_id: int
                         crc = zlib.crc32(ids[first + s : min(end, first + s + size)])
                         rows.append((doc, k, s, min(size, n - s), zlib.crc32(last, crc) if s + size >= n else crc))
                 i = j
+                del ids, ends
+                trim()
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)] if rows else [pa.array([], f.type) for f in _PIECES], schema=_PIECES)
 
     return documents.mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
