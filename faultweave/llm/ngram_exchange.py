@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from faultweave.llm import words as W
-from faultweave.llm._shared import kept
+from faultweave.llm._shared import kept, trim
 
 #: Words in a batch, at most (a longer text is a batch of its own).
 BATCH_WORDS = 1_400_000
@@ -121,10 +121,13 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
                     if e > s or number == 0:
                         rows.append((p, name, number, int(e - s), W.pack_sorted(u[s:e]), W.pack(c[s:e].astype(np.uint32)), None, None))
                 yield from _rows(rows)
+            del rows, u, c
+            trim()
 
     def send_texts(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, task, b in batches(it):
             yield from _rows([(task % parts, name, -1, *_pack_texts(b))])
+            trim()
 
     def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("exchange", dict)
@@ -133,10 +136,12 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
         for rb in it:
             for r in rb.to_pylist():
                 held.setdefault((r["dest"], r["gram"]), []).append((r["batch"], r["n"], r["a"], r["b"]))
-        for (dest, gram), rows in held.items():
+        for dest, gram in list(held):
+            rows = held.pop((dest, gram))
             keys = np.concatenate([W.unpack_sorted(x[2], np.uint64) for x in rows])
             counts = np.concatenate([W.unpack(x[3], np.uint32) for x in rows]).astype(np.int64)
             u, inverse = np.unique(keys, return_inverse=True)
+            del keys
             sums = np.zeros(len(u), np.int64)
             np.add.at(sums, inverse, counts)
             all_ = int(counts.sum())
@@ -147,7 +152,10 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
                 at += n
                 if len(more) or gram == 0:
                     out.append((dest, name, gram, all_, W.pack_sorted(more.astype(np.uint32)), W.pack(now[more]), None, None))
+            del inverse, sums, counts, u, rows
             yield from _rows(out)
+            del out
+            trim()
 
     def answer(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept("exchange", dict)
@@ -168,6 +176,7 @@ def exchange(documents: DataFrame, numbers: list[int], grams: Callable, finish:
                 return u, c, sums
 
             yield from finish(b, known, sum(r["n"] for r in rows if r["gram"] == 0), bits)
+            trim()
 
         for rb in it:
             for r in rb.to_pylist():

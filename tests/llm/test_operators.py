@@ -1012,3 +1012,13 @@ def test_leaks_in_parts(spark):
     got = {(r["doc_id"], r["item_id"]): (r["start_word"], r["item_start"], r["n_tokens"]) for r in leaks.find_leaks(df, bench).collect()}
     assert got[1, 1] == (0, 0, 30) and got[2, 1] == (0, 0, 55) and got[4, 1] == (0, 0, 140) and (3, 1) not in got
     assert got[5, 2] == (0, 0, 14)
+
+
+def test_what_a_worker_drops_goes_back_to_the_machine(monkeypatch):
+    from faultweave.llm import _shared
+
+    given = []
+    monkeypatch.setattr(_shared, "_kept", {})
+    monkeypatch.setattr(_shared, "trim", lambda: given.append(1))
+    assert [_shared.kept("a", list), _shared.kept("a", dict), _shared.kept("b", dict)] == [[], [], {}]
+    assert len(given) == 2
