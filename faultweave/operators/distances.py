@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from faultweave.functions import rules as R
 from faultweave.functions import text as X
+from faultweave.operators import kernels as K
 from faultweave.operators.components import MAX_BROADCAST
 from faultweave.operators.signatures import categorical_key
 from faultweave.operators.vectors import cosines, tfidf
@@ -205,6 +206,23 @@ def spread(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return dealt.repartition(tasks, "a", "part").sortWithinPartitions("a", "part").mapInArrow(run, ddl)
 
 
+def text_cosines(texts: DataFrame) -> tuple[np.ndarray, K.Cosines]:
+    """(ids in order, cosines of their rows) of ``texts(case_id, text, n)``."""
+    ids = np.sort(texts.select("case_id").toArrow().column("case_id").to_numpy())
+    w = tfidf(texts).select("case_id", F.xxhash64("space", "term").alias("term"), "weight").toArrow()
+    row, term, weight = (w.column(c).to_numpy() for c in ("case_id", "term", "weight"))
+    return ids, K.Cosines(len(ids), np.searchsorted(ids, row), term, weight)
+
+
+def classes(named: DataFrame, with_text: bool = True) -> K.Classes:
+    """The classes of ``alike`` rows, their texts' cosines too: they are far fewer than their pairs, and come to the driver to be broadcast."""
+    found = named.groupBy("cls").agg(*[F.first(c).alias(c) for c in (*RELEVANT, "key")], F.first(F.xxhash64("text")).alias("text")).toArrow().sort_by("cls")
+    if not with_text:
+        return K.Classes(found)
+    ids, cosines_ = text_cosines(named.groupBy(F.xxhash64("text").alias("case_id")).agg(F.first("text").alias("text"), F.count("*").alias("n")))
+    return K.Classes(found, cosines_, np.searchsorted(ids, found.column("text").to_numpy()))
+
+
 def distance_pairs(cases: DataFrame, with_text: bool = True, digits: dict[str, int] | None = None) -> DataFrame:
     """(a, b, signature, cosine, distance) for all pairs of signature rows with ``ord`` a < b; equal keys are at distance 0.
 
