@@ -61,3 +61,12 @@ def test_tfidf_moves_no_pair_of_texts(spark):
     got = {r["ord"]: r["label"] for r in clustering.cluster_tfidf(rows, 4).collect()}
     assert texts.select("text").distinct().count() < 40
     assert [got[i] for i in range(40)] == linkage.labels(slow(np.maximum(0.0, d) * (1 - np.eye(40)), 4), 40).tolist()
+
+
+def test_dbscan_moves_no_pair_of_classes(spark):
+    rows = strange_cases(spark, seed=2)
+    assert "b_last" not in plan(clustering.cluster_dbscan(rows, 4))
+    got = {r["ord"]: r["label"] for r in clustering.cluster_dbscan(rows, 4).collect()}
+    d = matrix(rows, "distance")
+    want = clustering._density(d, np.arange(40), 4)
+    assert [got[i] for i in range(40)] == linkage.labels(want, 40).tolist()
