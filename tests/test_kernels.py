@@ -70,3 +70,11 @@ def test_dbscan_moves_no_pair_of_classes(spark):
     d = matrix(rows, "distance")
     want = clustering._density(d, np.arange(40), 4)
     assert [got[i] for i in range(40)] == linkage.labels(want, 40).tolist()
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_hybrid_moves_no_pair_of_classes(spark, seed):
+    rows = strange_cases(spark, seed=seed)
+    assert "b_last" not in plan(clustering.cluster_hybrid(rows, 4))
+    got = {r["ord"]: r["label"] for r in clustering.cluster_hybrid(rows, 4).collect()}
+    assert [got[i] for i in range(40)] == linkage.labels(slow(matrix(rows, "distance"), 4), 40).tolist()
