@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from faultweave.functions import rules as R
@@ -19,6 +19,8 @@ from faultweave.operators.vectors import cosines, tfidf
 
 #: Rows of two cases that one task makes, about; tasks and rows of a batch at most.
 ROWS_A_PART, MAX_PARTS, ROWS_A_BATCH = 20_000_000, 2000, 100_000
+#: Items of arrays that are broadcast, for each case that may be; values that are looked up in a table at most.
+ITEMS_A_CASE, TABLE = 8, 2**20
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -223,6 +225,24 @@ def classes(named: DataFrame, with_text: bool = True) -> K.Classes:
     return K.Classes(found, cosines_, np.searchsorted(ids, found.column("text").to_numpy()))
 
 
+def in_tasks(spark: SparkSession, tasks: int, ddl: str, made: Callable[[int], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """The batches of ``made(t)`` for each t below ``tasks``."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rb in it:
+            for t in rb.column(0).to_pylist():
+                yield from made(t)
+
+    return spark.range(0, tasks, 1, tasks).mapInArrow(run, ddl)
+
+
+def sliced(a: int, cols: list[pa.Array], names: list[str], start: int = 0) -> Iterator[pa.RecordBatch]:
+    """Case a's rows from ``start`` on, a batch at a time."""
+    for s in range(start, len(cols[0]), ROWS_A_BATCH):
+        here = [c.slice(s, ROWS_A_BATCH) for c in cols]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(here[0]), a)), *here], names=names)
+
+
 def distance_pairs(cases: DataFrame, with_text: bool = True, digits: dict[str, int] | None = None) -> DataFrame:
     """(a, b, signature, cosine, distance) for all pairs of signature rows with ``ord`` a < b; equal keys are at distance 0.
 
@@ -239,7 +259,43 @@ def distance_pairs(cases: DataFrame, with_text: bool = True, digits: dict[str, i
 
 
 def overlap_pairs(rows: DataFrame, sets: str, places: str) -> DataFrame:
-    """(a, b, jaccard, overlap) of the arrays ``sets`` and ``places`` for all pairs of ``rows`` with ``ord`` a < b, by 6 decimals; worked out for unlike rows only."""
+    """(a, b, jaccard, overlap) of the arrays ``sets`` and ``places`` for all pairs of ``rows`` with ``ord`` a < b, by 6 decimals.
+
+    The arrays are broadcast as numbers, and a case's values are worked out where its rows are made. Too many
+    to broadcast, or null arrays: the values of unlike rows are joined with the cases.
+    """
+    rows = rows.select("ord", sets, places)
+    n, many, whole = rows.agg(F.count("*"), F.sum(F.coalesce(F.size(sets), F.lit(0)) + F.coalesce(F.size(places), F.lit(0))), F.count(F.when(F.col(sets).isNotNull() & F.col(places).isNotNull(), 1))).first()
+    if n > MAX_BROADCAST or whole < n or (many or 0) > ITEMS_A_CASE * MAX_BROADCAST:
+        return _overlaps_joined(rows, sets, places)
+    known = rows.where("ord IS NOT NULL").withColumn("ord", F.col("ord").cast("long")).toArrow().sort_by("ord")
+    n = known.num_rows
+    shared = rows.sparkSession.sparkContext.broadcast((known.column("ord").to_numpy(), K.Sets(known.column(sets)), K.Places(known.column(places))))
+    tasks = max(1, min(MAX_PARTS, n * n // ROWS_A_PART))
+
+    def made(t: int) -> Iterator[pa.RecordBatch]:
+        ords, sets, places = shared.value
+        of, length, most, alike = sets.of.astype(np.int32), places.length.astype(np.int32), places.most, {}
+        few = (most + 1) ** 2 <= TABLE
+        longer, equal = np.divmod(np.arange((most + 1) ** 2 if few else 0), most + 1)
+        table = K.rounded(np.where(longer == 0, 1.0, equal / np.maximum(longer, 1)), 6)
+        for i in range(t, n, tasks):
+            since = int(np.searchsorted(ords, ords[i], "right"))
+            row = alike.get(of[i])
+            if row is None:
+                row = K.rounded(sets.jaccard(of[i]), 6)
+                if len(row) ** 2 <= TABLE:
+                    alike[of[i]] = row
+            if few:
+                overlap_ = table[np.maximum(length[i], length[since:]) * np.int32(most + 1) + places.equal(i, since)]
+            else:
+                overlap_ = K.rounded(places.overlap(i, since), 6)
+            yield from sliced(int(ords[i]), [pa.array(ords[since:]), pa.array(row[of[since:]]), pa.array(overlap_)], ["a", "b", "jaccard", "overlap"])
+
+    return in_tasks(rows.sparkSession, tasks, "a long, b long, jaccard double, overlap double", made)
+
+
+def _overlaps_joined(rows: DataFrame, sets: str, places: str) -> DataFrame:
     named = rows.select("ord", sets, places, F.xxhash64(F.to_json(F.struct(sets, places), {"ignoreNullFields": "false"})).alias("cls"))
     classes = named.groupBy("cls").agg(F.min("ord").alias("ord"), F.max("ord").alias("last"), F.first(sets).alias("sets"), F.first(places).alias("places"))
     a, b = (classes.select(*[F.col(c).alias(f"{k}_{c}") for c in classes.columns]) for k in "ab")

@@ -78,3 +78,30 @@ def test_hybrid_moves_no_pair_of_classes(spark, seed):
     assert "b_last" not in plan(clustering.cluster_hybrid(rows, 4))
     got = {r["ord"]: r["label"] for r in clustering.cluster_hybrid(rows, 4).collect()}
     assert [got[i] for i in range(40)] == linkage.labels(slow(matrix(rows, "distance"), 4), 40).tolist()
+
+
+def test_overlap_of_unlike_rows_needs_no_join(spark):
+    rng = np.random.default_rng(8)
+    some = lambda n: [None if rng.random() < 0.1 else "abcdefgh"[rng.integers(8)] for _ in range(rng.integers(0, n))]
+    data = [(int(i) // 2 * 3 if i < 6 else int(i) * 3, some(4), some(300 if i % 17 == 0 else 6)) for i in rng.permutation(60)]  # ords 0, 3 and 6 occur twice
+    rows = spark.createDataFrame(data, "ord long, s array<string>, p array<string>")
+    found = distances.overlap_pairs(rows, "s", "p")
+    assert "Join" not in plan(found)
+    got = {(r["a"], r["b"]): [] for r in found.collect()}
+    for r in found.collect():
+        got[r["a"], r["b"]].append((r["jaccard"], r["overlap"]))
+
+    def both(x, y):
+        union, longer = set(x[1]) | set(y[1]), max(len(x[2]), len(y[2]))
+        equal = sum(u == v and u is not None for u, v in zip(x[2], y[2], strict=False))
+        return len(set(x[1]) & set(y[1])) / len(union) if union else 1.0, equal / longer if longer else 1.0
+
+    want = {}
+    for x in data:
+        for y in data:
+            if x[0] < y[0]:
+                want.setdefault((x[0], y[0]), []).append(both(x, y))
+    assert got.keys() == want.keys()
+    assert all(np.abs(np.array(sorted(got[k])) - np.array(sorted(want[k]))).max() < 6e-7 for k in want)
+    joined = distances._overlaps_joined(rows, "s", "p").collect()
+    assert sorted(map(tuple, joined)) == sorted(map(tuple, found.collect()))
