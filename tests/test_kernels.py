@@ -105,3 +105,11 @@ def test_overlap_of_unlike_rows_needs_no_join(spark):
     assert all(np.abs(np.array(sorted(got[k])) - np.array(sorted(want[k]))).max() < 6e-7 for k in want)
     joined = distances._overlaps_joined(rows, "s", "p").collect()
     assert sorted(map(tuple, joined)) == sorted(map(tuple, found.collect()))
+
+
+def test_dbscan_pca_moves_no_pair_of_classes(spark):
+    rows = strange_cases(spark, seed=5)
+    assert "b_last" not in plan(clustering.cluster_dbscan_pca(rows, 4))
+    twice = rows.unionByName(rows.withColumn("case_id", F.col("case_id") + 40).withColumn("ord", F.col("ord") + 40).where("text_blob <> ''"))
+    got = {r["ord"]: r["label"] for r in clustering.cluster_dbscan_pca(twice, 4).collect()}
+    assert len(got) == twice.count() and len(set(got.values())) == 4
