@@ -246,16 +246,39 @@ def sliced(a: int, cols: list[pa.Array], names: list[str], start: int = 0) -> It
 def distance_pairs(cases: DataFrame, with_text: bool = True, digits: dict[str, int] | None = None) -> DataFrame:
     """(a, b, signature, cosine, distance) for all pairs of signature rows with ``ord`` a < b; equal keys are at distance 0.
 
-    ``digits`` rounds the columns named, once for two classes and not for each two cases.
+    ``digits`` rounds the columns named, once for two classes and not for each two cases. A class's distances
+    are worked out where its cases' rows are made; too many cases to broadcast are joined with their classes' pairs.
     """
     named = alike(cases, with_text)
-    own = named.select("cls").distinct().select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(0.0).alias("signature"), F.lit(1.0).alias("cosine"), F.lit(0.0).alias("distance"))
-    pairs = class_pairs(named).unionByName(own)
-    if not with_text:
-        pairs = pairs.withColumn("cosine", F.lit(0.0)).withColumn("distance", F.col("signature"))
-    if digits is not None:
-        pairs = pairs.select("a", "b", *[F.round(c, d).alias(c) for c, d in digits.items()])
-    return spread(pairs, named.select("cls", "ord"))
+    n = named.count()
+    if n > MAX_BROADCAST:
+        own = named.select("cls").distinct().select(F.col("cls").alias("a"), F.col("cls").alias("b"), F.lit(0.0).alias("signature"), F.lit(1.0).alias("cosine"), F.lit(0.0).alias("distance"))
+        pairs = class_pairs(named).unionByName(own)
+        if not with_text:
+            pairs = pairs.withColumn("cosine", F.lit(0.0)).withColumn("distance", F.col("signature"))
+        if digits is not None:
+            pairs = pairs.select("a", "b", *[F.round(c, d).alias(c) for c, d in digits.items()])
+        return spread(pairs, named.select("cls", "ord"))
+    wanted = digits or dict.fromkeys(("signature", "cosine", "distance"))
+    kernel = classes(named, with_text)
+    known = named.where("ord IS NOT NULL").select("cls", F.col("ord").cast("long").alias("ord")).toArrow().sort_by("ord")
+    own, ords = np.searchsorted(kernel.cls, known.column("cls").to_numpy()), known.column("ord").to_numpy()
+    size = np.bincount(own, minlength=len(kernel.cls))
+    parts = size * n // ROWS_A_PART + 1
+    items = np.stack([np.repeat(np.arange(len(size)), parts), np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts), np.repeat(parts, parts)], axis=1)
+    items = items[np.argsort(-size[items[:, 0]] / items[:, 2], kind="stable")]
+    tasks = max(1, min(MAX_PARTS, n * n // ROWS_A_PART))
+    shared = cases.sparkSession.sparkContext.broadcast((kernel, own, ords, items))
+
+    def made(t: int) -> Iterator[pa.RecordBatch]:
+        kernel, own, ords, items = shared.value
+        for i, part, parts in items[t::tasks].tolist():
+            row = kernel.row(i)
+            cols = [pa.array(ords), *[pa.array((row[c] if d is None else K.rounded(row[c], d))[own]) for c, d in wanted.items()]]
+            for a in ords[own == i][part::parts].tolist():
+                yield from sliced(a, cols, ["a", "b", *wanted], int(np.searchsorted(ords, a, "right")))
+
+    return in_tasks(cases.sparkSession, tasks, ", ".join(["a long", "b long", *[f"{c} double" for c in wanted]]), made)
 
 
 def overlap_pairs(rows: DataFrame, sets: str, places: str) -> DataFrame:

@@ -113,3 +113,17 @@ def test_dbscan_pca_moves_no_pair_of_classes(spark):
     twice = rows.unionByName(rows.withColumn("case_id", F.col("case_id") + 40).withColumn("ord", F.col("ord") + 40).where("text_blob <> ''"))
     got = {r["ord"]: r["label"] for r in clustering.cluster_dbscan_pca(twice, 4).collect()}
     assert len(got) == twice.count() and len(set(got.values())) == 4
+
+
+@pytest.mark.parametrize("seed", [6, 7])
+def test_distances_of_unlike_rows_need_no_join(spark, seed):
+    rows = strange_cases(spark, seed=seed)
+    assert "Join" not in plan(distances.distance_pairs(rows))
+    named = distances.alike(rows)
+    cls = {r["ord"]: r["cls"] for r in named.select("ord", "cls").collect()}
+    want = {(r["a"], r["b"]): (r["signature"], r["cosine"], r["distance"]) for r in distances.class_pairs(named).collect()}  # by Columns
+    got = {(r["a"], r["b"]): (r["signature"], r["cosine"], r["distance"]) for r in distances.distance_pairs(rows).collect()}
+    assert len(got) == 40 * 39 // 2
+    for (a, b), values in got.items():
+        assert values == pytest.approx(want.get((cls[a], cls[b]), (0.0, 1.0, 0.0)), abs=1e-12)
+        assert values[0] == want.get((cls[a], cls[b]), (0.0,))[0]
