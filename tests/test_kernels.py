@@ -127,3 +127,14 @@ def test_distances_of_unlike_rows_need_no_join(spark, seed):
     for (a, b), values in got.items():
         assert values == pytest.approx(want.get((cls[a], cls[b]), (0.0, 1.0, 0.0)), abs=1e-12)
         assert values[0] == want.get((cls[a], cls[b]), (0.0,))[0]
+
+
+@pytest.mark.parametrize("columns", [3, 10])
+def test_vectors_merge_in_rounds_without_all_their_distances(columns):
+    rng = np.random.default_rng(7)
+    x = np.round(rng.normal(size=(300, columns)), 2)
+    x[50], x[70:80] = x[3], x[5]
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    for whole, most in ((20, 1500), (5, 300), (150, 4000)):
+        for k in (1, 10, 60):
+            assert linkage.merged_vectors(x, k, whole, most) == linkage.average_linkage(d, k)
